@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from .bpe import op9_bpe_encode
+from .warc import OP7_SQL, op7_warc_round_trip
 
 QUERIES = {
+    "op7_warc_round_trip": op7_warc_round_trip,
     "op9_bpe_encode": op9_bpe_encode,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_warc_round_trip": OP7_SQL,
+}
