@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from .ann import op8_ivfpq_search
 from .bpe import op9_bpe_encode
+from .html import op10_html_extract
 from .warc import OP7_SQL, op7_warc_round_trip
 
 QUERIES = {
+    "op10_html_extract": op10_html_extract,
     "op8_ivfpq_search": op8_ivfpq_search,
     "op7_warc_round_trip": op7_warc_round_trip,
     "op9_bpe_encode": op9_bpe_encode,
