@@ -5,9 +5,13 @@ from __future__ import annotations
 from .ann import op8_ivfpq_search
 from .bpe import op9_bpe_encode
 from .html import op10_html_extract
+from .mixing import op5_pfair_mixing
+from .toxicity import op1_toxicity
 from .warc import OP7_SQL, op7_warc_round_trip
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op5_pfair_mixing": op5_pfair_mixing,
     "op10_html_extract": op10_html_extract,
     "op8_ivfpq_search": op8_ivfpq_search,
     "op7_warc_round_trip": op7_warc_round_trip,
