@@ -7,10 +7,12 @@ from .bpe import op9_bpe_encode
 from .html import op10_html_extract
 from .mixing import op5_pfair_mixing
 from .ngram_join import op4_ngram_join
+from .spotsigs import op6_spot_signatures
 from .toxicity import op1_toxicity
 from .warc import OP7_SQL, op7_warc_round_trip
 
 QUERIES = {
+    "op6_spot_signatures": op6_spot_signatures,
     "op4_ngram_join": op4_ngram_join,
     "op1_toxicity": op1_toxicity,
     "op5_pfair_mixing": op5_pfair_mixing,
