@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pack_ints, table, unpack_ints
-from .wordblocks import blocks, bucket_count, each_block, each_word
+from .common import pack_ints, table, unpack_ints, unpack_places
+from .wordblocks import blocks, bucket_count, each_block, each_word, places_of
 
 _BREAK = re.compile(r" (?=[^\s\x1c-\x1f\x85])")
 
@@ -103,7 +103,7 @@ def _encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, make, schema
         is_docs = [b < 0 for b in t.column("bucket").to_pylist()]
         row = is_docs.index(True)
         payloads, places = t.column("payload"), t.column("places")
-        parts = [(unpack_ints(places[i].as_py()), unpack_ints(payloads[i].as_py())) for i, d in enumerate(is_docs) if not d]
+        parts = [(places_of(places[i].as_py()), unpack_ints(payloads[i].as_py())) for i, d in enumerate(is_docs) if not d]
         n_words = sum(len(p) for p, _ in parts)
         length, start = np.zeros(n_words, np.int64), np.zeros(n_words, np.int64)
         pools, base = [], 0
@@ -115,7 +115,7 @@ def _encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, make, schema
             pools.append(v[1 + n :])
             base += len(v) - 1 - n
         pool = np.concatenate(pools) if pools else np.zeros(0, np.uint32)
-        seq = unpack_ints(payloads[row].as_py())
+        seq = unpack_places(payloads[row].as_py())
         doc_ids, sizes = t.column("doc_ids")[row].as_py(), t.column("sizes")[row].as_py()
         found, at = [], 0
         for n in sizes:

@@ -66,14 +66,41 @@ def unpack_ints(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel()
 
 
+def pack_places(values: np.ndarray) -> bytes:
+    """Small integers, most of them below 192: one byte each for those, three for others below 4,194,304."""
+    v = np.ascontiguousarray(values, dtype="<u4")
+    if len(v) and int(v.max()) >= 64 << 16:
+        return b"\0" + pack_ints(v)
+    first = np.where(v < 192, v, 192 + (v >> 16)).astype(np.uint8)
+    more = v[v >= 192]
+    return b"\1" + zstandard.ZstdCompressor(5).compress(np.uint32(len(v)).tobytes() + first.tobytes() + (more & 255).astype(np.uint8).tobytes() + (more >> 8 & 255).astype(np.uint8).tobytes())
+
+
+def unpack_places(data: bytes) -> np.ndarray:
+    if data[0] == 0:
+        return unpack_ints(data[1:])
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint8)
+    n = int(raw[:4].view("<u4")[0])
+    v = raw[4 : 4 + n].astype(np.uint32)
+    big = v >= 192
+    m = int(big.sum())
+    v[big] = (v[big] - 192 << 16) + raw[4 + n : 4 + n + m] + (raw[4 + n + m :].astype(np.uint32) << 8)
+    return v
+
+
 def pack_words(words: list[bytes]) -> bytes:
-    """Byte strings of any content: count, lengths, bytes; compressed."""
+    """Byte strings of any content: ended by zero bytes where none holds one, else count, lengths, bytes; compressed."""
+    ended = b"\0".join(words) + b"\0" if words else b""
+    if ended.count(b"\0") == len(words):
+        return b"\1" + zstandard.ZstdCompressor(5).compress(ended)
     lens = np.fromiter(map(len, words), "<u4", len(words))
-    return zstandard.ZstdCompressor(3).compress(np.uint32(len(words)).tobytes() + lens.tobytes() + b"".join(words))
+    return b"\0" + zstandard.ZstdCompressor(5).compress(np.uint32(len(words)).tobytes() + lens.tobytes() + b"".join(words))
 
 
 def unpack_words(data: bytes) -> list[bytes]:
-    raw = zstandard.ZstdDecompressor().decompress(data)
+    raw = zstandard.ZstdDecompressor().decompress(data[1:])
+    if data[0] == 1:
+        return raw.split(b"\0")[:-1]
     n = int(np.frombuffer(raw, "<u4", 1)[0])
     ends = np.cumsum(np.frombuffer(raw, "<u4", n, 4), dtype=np.int64) + 4 + 4 * n
     starts = np.concatenate([[4 + 4 * n], ends[:-1]]) if n else ends

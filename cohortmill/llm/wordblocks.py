@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Numbering, pack_ints, pack_words, shuffle_partitions, unpack_words
+from .common import Numbering, pack_places, pack_words, shuffle_partitions, unpack_places, unpack_words
 
 #: Bytes of text in a block, and of text for one bucket.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 32 << 20
 BUCKET_BYTES = 4 << 20
 
 #: bucket < 0: a block's documents; otherwise some of its words.
@@ -40,7 +40,14 @@ def bucket_count(docs: DataFrame) -> int:
 def _emit(block: int, words: Numbering, ids: list, seqs: list, extra: list, buckets: int, weights: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     sizes = [len(s) for s in seqs]
     seq = np.concatenate(seqs) if seqs else np.zeros(0, np.uint32)
-    keys = list(words)
+    # Frequent words get the small numbers.
+    order = np.argsort(-np.bincount(seq, minlength=len(words)), kind="stable")
+    names = list(words)
+    keys = [names[i] for i in order.tolist()]
+    number = np.empty(len(keys), np.uint32)
+    number[order] = np.arange(len(keys), dtype=np.uint32)
+    seq = number[seq]
+    weights = None if weights is None else weights[order]
     where = np.fromiter((zlib.crc32(k) % buckets for k in keys), np.int32, len(keys))
     order = np.argsort(where, kind="stable")
     cuts = np.searchsorted(where[order], np.arange(buckets + 1))
@@ -50,22 +57,22 @@ def _emit(block: int, words: Numbering, ids: list, seqs: list, extra: list, buck
         for k, v in rows.items():
             v.append(row.get(k))
 
-    add(key=-1 - block, block=block, bucket=-1, payload=pack_ints(seq), doc_ids=ids, sizes=sizes, extra=extra)
+    add(key=-1 - block, block=block, bucket=-1, payload=pack_places(seq), doc_ids=ids, sizes=sizes, extra=extra)
     for b in np.flatnonzero(np.diff(cuts)).tolist():
         at = order[cuts[b] : cuts[b + 1]]
-        add(key=b, block=block, bucket=b, places=pack_ints(at), payload=pack_words([keys[i] for i in at.tolist()]), extra=None if weights is None else weights[at].tolist())
+        add(key=b, block=block, bucket=b, places=pack_places(np.diff(at, prepend=0)), payload=pack_words([keys[i] for i in at.tolist()]), extra=None if weights is None else weights[at].tolist())
     yield pa.RecordBatch.from_arrays([pa.array(rows[f.name], f.type) for f in ARROW], schema=ARROW)
 
 
 def blocks(docs: DataFrame, split: Callable[[str], list[bytes]], buckets: int, counted: str | None = None) -> DataFrame:
     """docs: (doc_id, text[, counted]); null text is empty. With ``counted`` a word's row carries how often the
-    documents where that column is true hold it, and the documents' row carries the column."""
+    documents where that column is true hold it, and the documents' row carries, for each, twice its bytes, and one more if it is true."""
 
     def run(batches):
         from pyspark import TaskContext
 
         part, made = TaskContext.get().partitionId(), 0
-        words, ids, seqs, flags, size = Numbering(), [], [], [], 0
+        words, ids, seqs, flags, lengths, size = Numbering(), [], [], [], [], 0
 
         def close():
             weights = None
@@ -76,7 +83,7 @@ def blocks(docs: DataFrame, split: Callable[[str], list[bytes]], buckets: int, c
                         weights += np.bincount(s, minlength=len(words)) if 4 * len(s) > len(words) else 0
                         if 4 * len(s) <= len(words):
                             np.add.at(weights, s, 1)
-            return _emit((part << 32) + made, words, ids, seqs, [int(f) for f in flags], buckets, weights)
+            return _emit((part << 32) + made, words, ids, seqs, [int(f) + 2 * n for f, n in zip(flags, lengths, strict=True)], buckets, weights)
 
         for batch in batches:
             cols = batch.to_pydict()
@@ -86,19 +93,21 @@ def blocks(docs: DataFrame, split: Callable[[str], list[bytes]], buckets: int, c
                 ids.append(d)
                 flags.append(bool(cols[counted][i]) if counted else False)
                 size += len(text or "")
+                lengths.append(0 if not text else len(text) if text.isascii() else len(text.encode("utf-8", "surrogatepass")))
                 if size >= BLOCK_BYTES:
                     yield from close()
                     made += 1
-                    words, ids, seqs, flags, size = Numbering(), [], [], [], 0
+                    words, ids, seqs, flags, lengths, size = Numbering(), [], [], [], [], 0
         if ids:
             yield from close()
 
     return docs.select("doc_id", "text", *[counted] * bool(counted)).mapInArrow(run, SCHEMA)
 
 
-def each_word(blocks_: DataFrame, answer: Callable[[list[bytes], list[np.ndarray | None]], Callable[[int], tuple[bytes, list | None]]]) -> DataFrame:
+def each_word(blocks_: DataFrame, answer: Callable, summary: Callable[[], bytes] | None = None) -> DataFrame:
     """In each bucket ``answer(distinct words, ...)`` is called once. It gets the distinct words and, for each row of the
-    bucket, (places of the row's words among them, the row's counts); it returns for each row (payload, extra)."""
+    bucket, (places of the row's words among them, the row's counts); it returns for each row (payload, extra). After it,
+    ``summary()`` gives the payload of one more row of the bucket, of no block."""
 
     def run(t: pa.Table) -> pa.Table:
         if t.column("bucket")[0].as_py() < 0:
@@ -110,11 +119,20 @@ def each_word(blocks_: DataFrame, answer: Callable[[list[bytes], list[np.ndarray
             at.append(np.fromiter(map(seen.__getitem__, w), np.int64, len(w)))
         counts = [None if x is None else np.array(x, np.int64) for x in t.column("extra").to_pylist()]
         made = answer(list(seen), at, counts)
+        if callable(summary):
+            extra_row = summary()
+            t = pa.concat_tables([t, pa.table([pa.array([v], f.type) for v, f in zip((t.column("key")[0].as_py(), None, t.column("bucket")[0].as_py(), None, None, None, None, None), ARROW, strict=True)], schema=ARROW)])
+            made = [*made, (extra_row, None)]
         return pa.table([t.column("key"), t.column("block"), t.column("bucket"), t.column("places"), pa.array([m[0] for m in made], pa.binary()), t.column("doc_ids"), t.column("sizes"), pa.array([m[1] for m in made], pa.list_(pa.int64()))], schema=ARROW)
 
     return blocks_.groupBy("key").applyInArrow(run, SCHEMA)
 
 
+def places_of(data: bytes) -> np.ndarray:
+    """Where in its block's word list the words of a row stand."""
+    return np.cumsum(unpack_places(data), dtype=np.int64)
+
+
 def each_block(answered: DataFrame, finish: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
     """All rows of a block meet again: one with its documents, the others with the answers for its words."""
     return answered.drop("key").groupBy("block").applyInArrow(finish, schema)
