@@ -5,6 +5,7 @@ from __future__ import annotations
 from .ann import op8_ivfpq_search
 from .bpe import op9_bpe_encode
 from .html import op10_html_extract
+from .licenses import op2_license_scan
 from .lm_score import op3_lm_score
 from .mixing import op5_pfair_mixing
 from .ngram_join import op4_ngram_join
@@ -13,6 +14,7 @@ from .toxicity import op1_toxicity
 from .warc import OP7_SQL, op7_warc_round_trip
 
 QUERIES = {
+    "op2_license_scan": op2_license_scan,
     "op3_lm_score": op3_lm_score,
     "op6_spot_signatures": op6_spot_signatures,
     "op4_ngram_join": op4_ngram_join,

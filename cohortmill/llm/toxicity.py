@@ -9,7 +9,8 @@ linear classifier over the lexicon's features and the votes is then trained on t
 and scores every text. Scoring is one pass over the documents without a shuffle.
 
 Counts for the lexicon cover the labelled rows that may be learned from, up to SAMPLE_ROWS of them by a hash of
-their id; model, lexicon and votes are bounded by parameters. Labels, lang, source and doc_id are no
+their id; model, lexicon and votes are bounded by parameters. An entry must stand in LEAST_FAMILIES families of toxic
+texts, told apart by the smallest hash of their words, so that words which only copies of one text share do not count. Labels, lang, source and doc_id are no
 inputs of a score. Null text is empty. A null or empty text gets the score of a text without
 features. Null or conflicting labels: null ones teach nothing, repeated ones count each. Without labels of both classes every
 score is the prior, 0 where there is none. Extra columns are not read.
@@ -18,6 +19,7 @@ score is the prior, 0 where there is none. Extra columns are not read.
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import fold, table
 
 #: Labelled rows learned from, and lexicon entries, at most; rows that must hold an entry, at least.
-SAMPLE_ROWS, LEXICON, LEAST_ROWS = 40_000, 20_000, 4
+SAMPLE_ROWS, LEXICON, LEAST_ROWS, LEAST_FAMILIES = 40_000, 20_000, 4, 4
 #: Letters of word beginnings; log-odds from which bands begin; numbers of entries that voters ask for.
 BEGINNINGS, BANDS, ASKS = (4, 5, 6, 7), (1.5, 3.0, 4.5), (1, 2, 4)
 
@@ -131,21 +133,22 @@ def fit(docs: DataFrame, labels: DataFrame, learn=None) -> Model | None:
     def count(batches):
         for batch in batches:
             tally: dict[str, list[int]] = {}
-            rows = 0
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows += 1
-                for f in features(text):
-                    tally.setdefault(f, [0, 0])[toxic > 0] += 1
-                tally.setdefault("", [0, 0])[toxic > 0] += 1
-            yield pa.record_batch([pa.array(list(tally), pa.string()), pa.array([v[0] for v in tally.values()], pa.int64()), pa.array([v[1] for v in tally.values()], pa.int64())], names=["f", "clean", "toxic"])
-
-    tallies = known.mapInArrow(count, "f string, clean long, toxic long").groupBy("f").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+                has = features(text)
+                family = 1 << min((zlib.crc32(f.encode()) for f in has if f[0] == "="), default=0) % 63 if toxic > 0 else 0
+                for f in (*has, ""):
+                    v = tally.setdefault(f, [0, 0, 0])
+                    v[toxic > 0] += 1
+                    v[2] |= family
+            yield pa.record_batch([pa.array(list(tally), pa.string()), *(pa.array([v[i] for v in tally.values()], pa.int64()) for i in range(3))], names=["f", "clean", "toxic", "families"])
+
+    tallies = known.mapInArrow(count, "f string, clean long, toxic long, families long").groupBy("f").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"), F.bit_count(F.bit_or("families")).alias("families"))
     tallies = tallies.where(F.col("clean") + F.col("toxic") >= LEAST_ROWS)
     total = tallies.where("f = ''").first()
     if not total or not total.clean or not total.toxic:
         return None
     odds = F.log((F.col("toxic") + 0.5) / (total.toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (total.clean + 1.0))
-    strong = tallies.where("f <> ''").withColumn("odds", odds).where(F.col("odds") >= BANDS[0]).where(F.col("toxic") >= LEAST_ROWS)
+    strong = tallies.where("f <> ''").withColumn("odds", odds).where(F.col("odds") >= BANDS[0]).where((F.col("toxic") >= LEAST_ROWS) & (F.col("families") >= LEAST_FAMILIES))
     top = strong.orderBy(F.desc(F.col("odds") * F.sqrt("toxic")), "f").limit(LEXICON).collect()
     lexicon = {r.f: i for i, r in enumerate(top)}
     model = Model(lexicon, np.array([r.odds for r in top], float), total.toxic / (total.toxic + total.clean))
