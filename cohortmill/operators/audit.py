@@ -12,8 +12,8 @@ def resolved(output: Column, path: Column) -> Column:
     """The number at a dotted, indexed path ('a.b[0].c') of a JSON text; a last index may be negative; null where nothing is there."""
     negative = F.regexp_extract(path, r"\[(-[0-9]+)\]$", 1)
     stem = F.regexp_replace(path, r"\[-[0-9]+\]$", "")
-    plain = F.get_json_object(output, F.concat(F.lit("$."), path))
-    array = F.from_json(F.get_json_object(output, F.concat(F.lit("$."), stem)), "array<string>")
+    plain = F.call_function("get_json_object", output, F.concat(F.lit("$."), path))
+    array = F.from_json(F.call_function("get_json_object", output, F.concat(F.lit("$."), stem)), "array<string>")
     last = F.try_element_at(array, F.when(negative != "", negative).try_cast("int"))
     return F.when(negative != "", last).otherwise(plain).try_cast("double")
 

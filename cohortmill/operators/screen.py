@@ -169,7 +169,7 @@ def reason() -> Column:
 def evaluate(screen: DataFrame, key: tuple[str, ...] = ("ticker",)) -> DataFrame:
     """key, n_evaluated, n_abstained, passes (null if nothing was evaluated), first_fail, borderline."""
     failed = F.col("passed") == F.lit(False)
-    near = F.coalesce((F.abs(F.col("observed") - F.col("threshold")) / F.abs(F.col("threshold")) <= 0.05) & (F.col("threshold") != 0), F.lit(False))
+    near = F.coalesce((F.try_divide(F.abs(F.col("observed") - F.col("threshold")), F.abs(F.col("threshold"))) <= 0.05) & (F.col("threshold") != 0), F.lit(False))
     return screen.groupBy(*key).agg(
         F.count("passed").cast("int").alias("n_evaluated"), F.count_if(F.col("passed").isNull()).cast("int").alias("n_abstained"), F.bool_and("passed").alias("passes"),
         F.min_by(F.when(failed, reason()), F.when(failed, F.col("ord"))).alias("first_fail"), F.bool_or(failed & near).alias("borderline"),
