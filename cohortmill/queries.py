@@ -771,3 +771,98 @@ def window_session(spark, sf):
     from .streaming import windows
 
     return windows.sessions(table(spark, sf, "events"), "30 minutes").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
+
+
+# Reporting and ingestion ---------------------------------------------------------------------------
+
+from .functions import venue  # noqa: E402
+from .operators import narration, reporting  # noqa: E402
+
+TREND = "tr AS (SELECT 'C' || o_custkey AS ticker, strftime(o_orderdate, '%Y-%m') AS period, " + ", ".join(f"CAST(count(*) FILTER (o_orderpriority LIKE '{i}%') AS INT) AS {g}" for i, g in enumerate(reporting.GRADES, 1)) + " FROM orders GROUP BY 1, 2)"
+
+
+@query(with_(TREND) + ", t AS (SELECT *, strong_buy + buy + hold + sell + strong_sell AS total, row_number() OVER (PARTITION BY ticker ORDER BY period DESC) AS i FROM tr WHERE strong_buy + buy + hold + sell + strong_sell > 0) SELECT ticker, period, total, round_even((strong_buy + buy) / total::DOUBLE, 4) AS bullish FROM t WHERE i = 1")
+def sentiment_snapshot(spark, sf):
+    o = table(spark, sf, "orders")
+    t = o.groupBy(F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("ticker"), F.date_format("o_orderdate", "yyyy-MM").alias("period")).agg(*[F.count_if(F.col("o_orderpriority").startswith(str(i))).cast("int").alias(g) for i, g in enumerate(reporting.GRADES, 1)])
+    return reporting.sentiment(t)
+
+
+@query("""WITH o AS (SELECT l_suppkey AS site, CAST(l_shipdate AS DATE) AS observed, CAST(l_shipdate AS DATE) + CAST(l_quantity AS INT) AS ends FROM lineitem), a AS (SELECT site, min(observed) AS first_seen, max(observed) AS last_seen, count(DISTINCT ends) AS n_ends, arg_min(ends, (observed, ends)) AS first_end, arg_max(ends, (observed, ends)) AS current_end FROM o GROUP BY 1)
+SELECT *, CAST(current_end - first_end AS INT) AS slip_days, CASE WHEN current_end > first_end THEN 'later' WHEN current_end < first_end THEN 'earlier' ELSE 'same' END AS tally FROM a""")
+def feed_observations(spark, sf):
+    li = table(spark, sf, "lineitem")
+    day = F.col("l_shipdate").cast("date")
+    return reporting.observations(li.select(F.col("l_suppkey").alias("site"), day.alias("observed"), F.date_add(day, F.col("l_quantity").cast("int")).alias("ends")))
+
+
+@query(PIPE_SQL + "SELECT reason, count(*) AS n FROM res WHERE reason IS NOT NULL GROUP BY 1 ORDER BY n DESC, reason LIMIT 3")
+def top_exclusion_reasons(spark, sf):
+    return reporting.top_reasons(rank_pipeline(spark, sf))
+
+
+@query("""WITH c AS (SELECT o_custkey AS ticker, substring(o_orderpriority, 1, 1) AS lens, CASE WHEN o_orderstatus <> 'P' THEN CAST(o_orderkey % 7 AS INT) END AS position FROM orders), m AS (SELECT *, CASE lens WHEN '3' THEN 1 WHEN '1' THEN 2 WHEN '2' THEN 3 WHEN '5' THEN 4 ELSE 5 END AS o FROM c WHERE position IS NOT NULL)
+SELECT ticker, lens, position FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY position, o) AS i FROM m) WHERE i = 1""")
+def best_lens(spark, sf):
+    o = table(spark, sf, "orders")
+    cells = o.select(F.col("o_custkey").alias("ticker"), F.substring("o_orderpriority", 1, 1).alias("lens"), F.when(F.col("o_orderstatus") != "P", (F.col("o_orderkey") % 7).cast("int")).alias("position"))
+    return reporting.best_lens(cells, ["3", "1", "2", "5", "4"])
+
+
+@query("SELECT p_size % 5 AS kind, arg_min(p_partkey::VARCHAR, (p_retailprice, p_partkey::VARCHAR)) AS cheapest, arg_min(p_partkey::VARCHAR, (-p_retailprice, p_partkey::VARCHAR)) AS dearest, arg_min(p_partkey::VARCHAR, (-p_size, p_partkey::VARCHAR)) AS largest FROM part GROUP BY 1")
+def fund_anchors(spark, sf):
+    p = table(spark, sf, "part")
+    return reporting.anchors(p.select((F.col("p_size") % 5).alias("kind"), F.col("p_partkey").cast("string").alias("ticker"), F.col("p_retailprice").alias("fee"), F.col("p_size").alias("size")))
+
+
+@query("""WITH s AS (SELECT s_suppkey, s_acctbal AS fee, s_acctbal * 1e5 AS size, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE 'usd' END AS ccy FROM supplier)
+SELECT s_suppkey AS ticker, CASE WHEN fee > 0 THEN fee END AS fee, CASE WHEN ccy IS NOT NULL AND size BETWEEN 1e7 AND 1.5e12 THEN size END AS size, upper(ccy) AS size_currency, round(fee / 100, 6) AS yield, list_filter([CASE WHEN fee <= 0 THEN 'fee of zero dropped' END, CASE WHEN NOT size BETWEEN 1e7 AND 1.5e12 THEN 'size out of range' END, CASE WHEN size BETWEEN 1e7 AND 1.5e12 AND ccy IS NULL THEN 'size without currency' END], lambda x: x IS NOT NULL) AS notes FROM s""")
+def static_rows(spark, sf):
+    s = table(spark, sf, "supplier")
+    x = reporting.guarded_static(s.select(F.col("s_suppkey").alias("ticker"), F.col("s_acctbal").alias("fee"), (F.col("s_acctbal") * 1e5).alias("size"), F.when(F.col("s_suppkey") % 3 != 0, "usd").alias("size_currency"), F.col("s_acctbal").alias("yield_pct")))
+    return x.withColumn("yield", r("yield"))
+
+
+@query("SELECT p_partkey FROM part p WHERE NOT EXISTS (SELECT 1 FROM part m WHERE m.p_partkey % 2 = 0 AND lower(trim(m.p_brand)) = lower(trim(p.p_brand)) AND lower(trim(m.p_type)) = lower(trim(p.p_type)) AND m.p_size > 45)")
+def staging_new_rows(spark, sf):
+    p = table(spark, sf, "part")
+    return reporting.new_rows(p.select("p_partkey", F.upper(F.concat(F.lit(" "), "p_brand")).alias("p_brand"), "p_type"), p.where("p_partkey % 2 = 0 and p_size > 45").select("p_brand", "p_type"), ["p_brand", "p_type"]).select("p_partkey")
+
+
+@query("""WITH ids AS (SELECT DISTINCT lower(p_brand) AS stem, p_size AS v FROM part WHERE p_size % 3 <> 0), t AS (SELECT stem, unnest(range(1, max(v) + 2)) AS v FROM ids GROUP BY stem)
+SELECT stem, stem || '_v' || min(v) AS next_id FROM t WHERE NOT EXISTS (SELECT 1 FROM ids i WHERE i.stem = t.stem AND i.v = t.v) GROUP BY stem""")
+def next_free_id(spark, sf):
+    p = table(spark, sf, "part").where("p_size % 3 <> 0")
+    return reporting.next_free_id(p.select(F.concat(F.lower("p_brand"), F.lit("_v"), F.col("p_size").cast("string")).alias("id")))
+
+
+@query(with_(DIV) + ", d AS (SELECT 'S' || l_suppkey AS ticker, CAST(l_shipdate AS DATE) AS ex_date, l_quantity AS amount FROM lineitem WHERE l_returnflag = 'R') SELECT ticker, CAST(count(*) AS BIGINT) AS n, min(ex_date) AS earliest, max(ex_date) AS latest FROM d GROUP BY 1")
+def dividend_view(spark, sf):
+    return reporting.dividend_view(market.dividends(spark, sf)).select("ticker", "n", "earliest", "latest")
+
+
+@query("""SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'S' || s_suppkey || '-B' WHEN 1 THEN 'S' || s_suppkey || '.DE' WHEN 2 THEN 'S' || s_suppkey END AS symbol, CASE s_suppkey % 4 WHEN 0 THEN 'S' || s_suppkey || '-B' WHEN 1 THEN 'S' || s_suppkey || '.XETRA' WHEN 2 THEN 'S' || s_suppkey END AS query FROM supplier""")
+def symbol_parse(spark, sf):
+    k, s = F.col("s_suppkey") % 4, F.concat(F.lit("s"), F.col("s_suppkey").cast("string"))
+    cell = F.when(k == 0, F.concat(F.lit("ETR: 1X / NYSE: "), s, F.lit(".b"))).when(k == 1, F.concat(F.lit("Some Name (ETR "), s, F.lit(")"))).when(k == 2, F.concat(s, F.lit(" / other"))).otherwise(F.lit("no symbol here at all"))
+    t = venue.parse_ticker(cell)
+    return table(spark, sf, "supplier").select("s_suppkey", t.alias("symbol"), venue.query_symbol(t).alias("query"))
+
+
+@query("SELECT o_custkey, CAST(o_orderdate AS DATE) AS start, CAST(CAST(o_orderdate AS DATE) + INTERVAL 6 MONTH AS DATE) AS want_end, CAST(least(CAST(o_orderdate AS DATE) + INTERVAL 6 MONTH, TIMESTAMP '2001-06-01') AS DATE) AS ends, CAST(o_orderdate AS DATE) + INTERVAL 6 MONTH > TIMESTAMP '2001-06-01' AS partial FROM orders")
+def horizon_months(spark, sf):
+    d = F.col("o_orderdate").cast("date")
+    today = F.lit("2001-06-01").cast("date")
+    want = F.add_months(d, 6)
+    return table(spark, sf, "orders").select("o_custkey", d.alias("start"), want.alias("want_end"), F.least(want, today).alias("ends"), (want > today).alias("partial"))
+
+
+@query()
+def narration_check(spark, sf):
+    """Each name's narrative cites its momentum rank one too high and its verdict rightly."""
+    v = _values(spark, sf)
+    ranked = rank.rank_universe(v, RANK3)
+    ranks = rank.factor_ranks(v, RANK3).select("run", "ticker", "factor", "rank")
+    m = ranks.where("factor = 'momentum'").join(ranked.select("run", "ticker", "verdict"), ["run", "ticker"])
+    n = m.select("run", "ticker", F.concat(F.lit("It ranks "), text.ordinal(F.rint("rank").cast("int") + 1), F.lit(" on momentum. The verdict is "), F.upper("verdict"), F.lit(".")).alias("narrative"))
+    return narration.check(n, ranked, ranks, {"momentum": "momentum", "size": "size"}).select("ticker", "i", "flag")

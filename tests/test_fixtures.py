@@ -289,3 +289,43 @@ def test_streams_equal_batches(spark, tmp_path):
     windows.run_available(spark, f"file://{tmp_path}/in", events.schema, lambda s: windows.tumbling(s, "1 hour"), out, ck)
     got, want = spark.read.parquet(out), windows.tumbling(events, "1 hour")
     assert got.subtract(want).count() == 0 and 0 < got.count() <= want.count()  # windows still open under the watermark wait
+
+
+def test_venues(spark):
+    from cohortmill.functions import venue
+
+    cells = {"NYSE: BRK.B": "BRK-B", "ETR: 1BR / NYSE: ABC": "ABC", "Sony (TSE 6758)": "6758.T", " aapl ": "AAPL", "no symbol at all": None, "": None, "ETR: 1BR": "1BR.DE"}
+    df = spark.createDataFrame([(k,) for k in cells], "c string").select("c", venue.parse_ticker(F.col("c")).alias("t"))
+    assert {r.c: r.t for r in df.collect()} == cells
+    x = one(spark, a=venue.compact_amount(F.lit(4172812800.0)), b=venue.compact_amount(F.lit(4e6)), c=venue.country_code(F.lit("ireland")), d=venue.country_code(F.lit("Chile")), e=venue.is_transient(F.lit("Read timed out")), f=venue.scan_key(F.lit("scan_2026-01-05_r2.csv")), g=venue.query_symbol(F.lit("SAP.DE")))
+    assert (x.a, x.b, x.c, x.d, x.e, x.f.rerun, x.g) == ("4.17bn", "4m", "IE", "Chile", True, 2, "SAP.XETRA")
+
+
+def test_narration_flags(spark):
+    from cohortmill.operators import narration
+
+    ranked = spark.createDataFrame([("r", "AAA", 3, 4.0, "buy"), ("r", "BBB", 3, 6.0, "hold"), ("r", "CCC", 3, 8.0, "sell")], "run string, ticker string, n int, combined double, verdict string")
+    ranks = spark.createDataFrame([("r", t, f, v) for t, vs in (("AAA", (1.0, 2.5)), ("BBB", (2.0, 2.5)), ("CCC", (3.0, 1.0))) for f, v in zip(("momentum", "size"), vs, strict=True)], "run string, ticker string, factor string, rank double")
+    text_ = "AAA has the best momentum. It ranks 2nd on size. BBB ranks 3rd on momentum. CCC is a BUY. Its score is 4.0. Its rank-sum is 5.5. AAA and BBB and CCC rank 9th on momentum. Not the best size."
+    n = spark.createDataFrame([("r", "AAA", text_)], "run string, ticker string, narrative string")
+    got = {r.i: r.flag for r in narration.check(n, ranked, ranks, {"momentum": "momentum", "size": "size"}).collect()}
+    assert {i for i, f in got.items() if f} == {2, 3, 5} and 6 not in got
+    out = narration.annotated(n, narration.check(n, ranked, ranks, {"momentum": "momentum", "size": "size"})).first().narrative
+    assert out.startswith(text_) and out.count("rank: cited 3, is 2") == 1
+
+
+def test_reporting(spark):
+    from cohortmill.operators import reporting
+
+    t = spark.createDataFrame([("A", "2024-01", 1, 1, 2, 0, 0), ("A", "2024-02", 0, 0, None, 0, 0)], "ticker string, period string, strong_buy int, buy int, hold int, sell int, strong_sell int")
+    x = reporting.sentiment(t).first()
+    assert (x.period, x.total, x.bullish) == ("2024-01", 4, 0.5)
+    s = spark.createDataFrame([(1, "c"), (2, "a"), (3, "b")], "ord int, id string")
+    assert [r.id for r in reporting.suggested_first(s, ["b", "zz", "c"], "id", "ord").collect()] == ["b", "c", "a"]
+    st_ = spark.createDataFrame([("x", ["equity"]), ("y", ["ETF"]), ("z", [])], "id string, kinds array<string>")
+    c = spark.createDataFrame([("etf",), (None,)], "kind string")
+    assert {r.id for r in reporting.applicable(st_, c).collect()} == {"y", "z"}
+    h = spark.createDataFrame([("OK", []), ("OK", ["late"]), ("FETCH_ERROR", [])], "status string, issues array<string>")
+    assert reporting.health(h).first().asDict() == {"total": 3, "clean": 1, "degraded": 1, "fetch": 1, "insufficient": 0}
+    news = spark.createDataFrame([("A", D("2024-01-10"), "b"), ("A", D("2024-01-10"), "a"), ("A", D("2023-01-10"), "old")], "ticker string, published date, headline string")
+    assert reporting.headlines(news, F.lit("2024-01-12").cast("date")).first().headlines == ["a", "b"]
