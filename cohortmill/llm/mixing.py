@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import table
 
 #: Documents in a block; slots in a period; documents for each hash bucket of a source.
 BLOCK_DOCS, PERIOD, BUCKET_DOCS = 32, 4096, 20_000
@@ -100,7 +100,7 @@ def mix(docs: DataFrame, weights: dict | None = None, block_docs: int = BLOCK_DO
     order = positions(docs, weights, block_docs).groupBy("doc_id").agg(F.min(F.struct("slot", "place")).alias("__at"))
     joined = docs.join(order.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")))
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    placed = materialise(joined.select(*docs.columns, F.col("__at.slot").alias("__slot"), F.col("__at.place").alias("__place")), "mixed")
+    placed = joined.select(*docs.columns, F.col("__at.slot").alias("__slot"), F.col("__at.place").alias("__place"))
     return placed.repartitionByRange(n, "__slot", "__place").sortWithinPartitions("__slot", "__place").drop("__slot", "__place")
 
 
