@@ -866,3 +866,56 @@ def narration_check(spark, sf):
     m = ranks.where("factor = 'momentum'").join(ranked.select("run", "ticker", "verdict"), ["run", "ticker"])
     n = m.select("run", "ticker", F.concat(F.lit("It ranks "), text.ordinal(F.rint("rank").cast("int") + 1), F.lit(" on momentum. The verdict is "), F.upper("verdict"), F.lit(".")).alias("narrative"))
     return narration.check(n, ranked, ranks, {"momentum": "momentum", "size": "size"}).select("ticker", "i", "flag")
+
+
+# Review and display ----------------------------------------------------------------------------------
+
+from .functions import display  # noqa: E402
+from .operators import review  # noqa: E402
+
+
+@query(with_(ANNUAL, YEARS, PAIR, CHECKS) + "SELECT ticker, list_reduce([CASE WHEN checks[i] THEN 'P' WHEN NOT checks[i] THEN '-' ELSE '?' END FOR i IN range(1, 10)], lambda a, b: a || b) AS glyphs FROM ck")
+def fscore_glyphs(spark, sf):
+    return _checks(spark, sf).select("ticker", display.glyphs(F.col("checks")).alias("glyphs"))
+
+
+@query("SELECT count(*) FILTER (o_orderstatus = 'O') AS agree, count(*) FILTER (o_orderstatus = 'F') AS disagree, count(*) FILTER (o_orderstatus NOT IN ('O', 'F')) AS not_run FROM orders")
+def agreement_table(spark, sf):
+    s = F.col("o_orderstatus")
+    return review.agreement_counts(table(spark, sf, "orders").select(F.col("o_orderkey").alias("ticker"), F.lit("buy").alias("ranker"), F.when(s == "O", "BUY").when(s == "F", "SELL").alias("council")))
+
+
+@query("""WITH i AS (SELECT event_type AS source, event_id AS ord, CASE event_id % 4 WHEN 0 THEN 'LATE' WHEN 1 THEN 'MISSING_KEY' WHEN 2 THEN CASE WHEN event_type = 'click' THEN 'FETCH_ERROR' ELSE 'LATE' END ELSE 'LATE' END AS reason FROM events)
+SELECT source, arg_min(reason, (CASE WHEN reason = 'FETCH_ERROR' THEN 0 ELSE 1 END, ord)) AS reason, bool_or(reason = 'FETCH_ERROR') AS degraded FROM i GROUP BY 1""")
+def source_status(spark, sf):
+    k = F.col("event_id") % 4
+    reason = F.when(k == 1, "MISSING_KEY").when((k == 2) & (F.col("event_type") == "click"), "FETCH_ERROR").otherwise("LATE")
+    return review.source_status(table(spark, sf, "events").select(F.col("event_type").alias("source"), F.col("event_id").alias("ord"), reason.alias("reason")))
+
+
+@query("""WITH d AS (SELECT o_orderkey AS ticker, CASE o_orderkey % 3 WHEN 0 THEN 'BUY' WHEN 1 THEN 'HOLD' ELSE 'SELL' END AS base, CASE WHEN o_orderstatus = 'F' THEN 'SELL' END AS ceiling, o_orderstatus = 'P' AS ins, o_totalprice > 300000 AS veto FROM orders)
+SELECT ticker, CASE WHEN ceiling IS NOT NULL THEN 'SELL' WHEN ins THEN 'INSUFFICIENT' WHEN veto AND base = 'BUY' THEN 'HOLD' ELSE base END AS verdict, CASE WHEN ceiling IS NOT NULL THEN CASE WHEN base <> 'SELL' THEN 'ceiling' ELSE 'base' END WHEN ins THEN 'evidence' WHEN veto AND base = 'BUY' THEN 'veto' ELSE 'base' END AS why, ceiling IS NOT NULL OR ins AS gated FROM d""")
+def decision_ladder(spark, sf):
+    k = F.col("o_orderkey") % 3
+    o = table(spark, sf, "orders")
+    rows = o.select(F.col("o_orderkey").alias("ticker"), F.when(k == 0, "BUY").when(k == 1, "HOLD").otherwise("SELL").alias("base"), F.when(F.col("o_orderstatus") == "F", "SELL").alias("ceiling"), (F.col("o_orderstatus") == "P").alias("insufficient"), decision.vetoes({"size": F.col("o_totalprice") > 300000}).alias("vetoed"))
+    return review.decided(rows)
+
+
+@query(SCREEN_CTES.rstrip() + ", " + GATE_SQL + """, w AS (SELECT ticker, 0 AS k, ord, gate AS what FROM g WHERE state = 'FAIL' UNION ALL SELECT ticker, 1, ord, criterion FROM sc WHERE passed = false) SELECT ticker, list(what ORDER BY k, ord) AS would_exclude FROM w GROUP BY 1""")
+def would_exclude(spark, sf):
+    return review.pointer(_screen(spark, sf), screen.gate_cells(_gate_inputs(spark, sf), GATES))
+
+
+@query("""WITH c AS (SELECT o_custkey AS ticker, substring(o_orderpriority, 1, 1) AS agent, o_orderstatus AS stance, count(*) AS k FROM orders GROUP BY 1, 2, 3), m AS (SELECT *, row_number() OVER (PARTITION BY ticker, agent ORDER BY k DESC, stance) AS i FROM c)
+SELECT ticker, max(stance) FILTER (agent = '1' AND i = 1) AS "1", max(stance) FILTER (agent = '2' AND i = 1) AS "2" FROM m GROUP BY 1""")
+def stance_by_agent(spark, sf):
+    o = table(spark, sf, "orders")
+    return review.per_agent(o.select(F.col("o_custkey").alias("ticker"), F.substring("o_orderpriority", 1, 1).alias("agent"), F.col("o_orderstatus").alias("stance")), ["1", "2"])
+
+
+@query(_rank_sql(SIZE_ALL) + "SELECT ticker, round(rm, 6) AS momentum, round(rs, 6) AS size, round(rv, 6) AS volatility, CAST(position AS INT) AS position FROM rk JOIN ranked USING (ticker)")
+def ranked_table(spark, sf):
+    v = _values(spark, sf)
+    wide = rank.factor_ranks(v, RANK3).groupBy("ticker").pivot("factor", [s.name for s in RANK3]).agg(F.first(r("rank")))
+    return wide.join(rank.rank_universe(v, RANK3).select("ticker", "position"), "ticker")

@@ -329,3 +329,16 @@ def test_reporting(spark):
     assert reporting.health(h).first().asDict() == {"total": 3, "clean": 1, "degraded": 1, "fetch": 1, "insufficient": 0}
     news = spark.createDataFrame([("A", D("2024-01-10"), "b"), ("A", D("2024-01-10"), "a"), ("A", D("2023-01-10"), "old")], "ticker string, published date, headline string")
     assert reporting.headlines(news, F.lit("2024-01-12").cast("date")).first().headlines == ["a", "b"]
+
+
+def test_display_and_review(spark):
+    from cohortmill.functions import display
+    from cohortmill.operators import review
+
+    lit = F.lit
+    x = one(spark, a=display.brand_token(lit("The Coca Cola Co.")), b=display.suspect_mapping(lit("Pepsi Inc"), lit("The Coca Cola Co.")), c=display.factor_value(lit("roic"), lit(0.22), lit("USD")), d=display.factor_value(lit("piotroski_f_score"), lit(7.0), lit("USD")), e=display.glyphs(F.array(lit(True), lit(False), lit(None).cast("boolean"))), f=display.f_score_cell(lit(None).cast("int"), lit(4)), g=display.csv_line(lit("a,b"), lit(None).cast("string"), lit(1)), h=display.trimmed(F.array(lit("a"), lit(""), lit("b"), lit(" "))), i=display.short_reason(lit("screen: min_roic: 0.1234 against 0.1200")), j=display.fee_gloss(lit(0.2)))
+    assert (x.a, x.b, x.c, x.d, x.e) == ("coca", True, "22.0%", "7/9", "P-?") and x.f.startswith("ABSTAIN") and x.g == '"a,b",,1' and x.h == ["a", "", "b"] and x.i == "min_roic: 0.12 vs 0.12" and "2.00" in x.j
+    y = one(spark, a=review.contested(F.array(lit("flip")), lit(True), lit(0.5)), b=review.contested(F.array().cast("array<string>"), lit(False), lit(0.5)))
+    assert y.a == ["veto: flip", "dissent", "confidence in the middle"] and y.b == []
+    issues = spark.createDataFrame([("s", 1, "LATE"), ("s", 2, "FETCH_ERROR"), ("t", 1, "LATE")], "source string, ord int, reason string")
+    assert review.banner(issues).first().banner == "s: FETCH_ERROR" and review.banner(issues.where("source = 't'")).first().banner is None
