@@ -26,12 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, table
+from .common import fold, materialise, table
 
 #: Labelled rows learned from, and lexicon entries, at most; rows that must hold an entry, at least.
-SAMPLE_ROWS, LEXICON, LEAST_ROWS, LEAST_FAMILIES = 40_000, 20_000, 4, 4
+SAMPLE_ROWS, LEXICON, LEAST_ROWS, LEAST_FAMILIES = 24_000, 20_000, 4, 4
 #: Letters of word beginnings; log-odds from which bands begin; numbers of entries that voters ask for.
 BEGINNINGS, BANDS, ASKS = (4, 5, 6, 7), (1.5, 3.0, 4.5), (1, 2, 4)
+#: Log-odds with which a row's label votes beside the lexicons.
+TRUST = 4.0
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -84,8 +86,8 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.w[at] @ x, -40, 40))))
 
 
-def label_model(votes: np.ndarray, truth: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(posterior, rate of firing by class [2, voters], discount of each voter) by expectation maximisation. ``truth`` starts it."""
+def label_model(votes: np.ndarray, truth: np.ndarray, rounds: int = 25, trust: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(posterior, rate of firing by class [2, voters], discount of each voter) by expectation maximisation. ``truth`` starts it, and votes with log-odds ``trust``."""
     post = np.clip(truth.astype(float), 0.02, 0.98)
     discount = np.ones(votes.shape[1])
     rate = np.zeros((2, votes.shape[1]))
@@ -100,7 +102,7 @@ def label_model(votes: np.ndarray, truth: np.ndarray, rounds: int = 25) -> tuple
             discount = 1 / np.maximum(corr.sum(1), 1)
         prior = np.clip(post.mean(), 1e-4, 1 - 1e-4)
         on, off = np.log(rate[1] / rate[0]), np.log((1 - rate[1]) / (1 - rate[0]))
-        logit = np.log(prior / (1 - prior)) + (votes * on + (1 - votes) * off) @ discount
+        logit = trust * (2 * truth - 1) + np.log(prior / (1 - prior)) + (votes * on + (1 - votes) * off) @ discount
         post = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
     return post, rate, discount
 
@@ -128,7 +130,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn=None) -> Model | None:
         lab = lab.where(learn(F.col("l_id")))
     n = lab.count()
     lab = lab.where(F.pmod(F.xxhash64("l_id"), F.lit(1 << 20)) < (1 << 20) * min(1.0, SAMPLE_ROWS / max(n, 1)))
-    known = docs.select("doc_id", "text").join(lab, F.col("doc_id") == F.col("l_id")).select(F.coalesce("text", F.lit("")).alias("text"), "toxic")
+    # SAMPLE_ROWS small rows, about, whatever the corpus: the texts are not shuffled.
+    known = docs.select("doc_id", "text").join(F.broadcast(lab), F.col("doc_id") == F.col("l_id")).select(F.coalesce("text", F.lit("")).alias("text"), "toxic")
+    known = materialise(known, "labelled")
 
     def count(batches):
         for batch in batches:
@@ -160,7 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn=None) -> Model | None:
 
     seen = known.mapInArrow(look, "hits array<int>, toxic int").collect()  # SAMPLE_ROWS rows, about, of small integers
     hits, truth = [r.hits for r in seen], np.array([float(r.toxic > 0) for r in seen])
-    post, _, _ = label_model(np.stack([model.votes(h) for h in hits]), truth)
+    post, _, _ = label_model(np.stack([model.votes(h) for h in hits]), truth, trust=TRUST)
     _train_linear(model, hits, post)
     return model
 
