@@ -5,12 +5,14 @@
 2. Each class gives its prefix: with n shingles and threshold t, the first n - ceil(t n) + 1 in that
    order; two sets that are similar enough share one. The longer set of a pair probes with its whole prefix, the
    shorter one is found by its first n - ceil(2 t / (1 + t) n) + 1.
-3. In each shingle's posting list, by length, a class is paired with up to WINDOW classes before it, if lengths
-   and positions allow the overlap. A pair is taken once, filtered by the sizes of hash
-   ranges of both sets (no overlap is larger than the sum of the smaller ones), and verified on
-   whole sets. Its links give first components.
-4. In longer lists, all pairs of different first components that pass the filters are verified
-   too. Pairs within a component cannot change the components, so a group of near copies costs
+3. In each shingle's posting list, by length, the first classes are all paired, if lengths and positions allow
+   the overlap. A later one is paired with the class before it, in the lists of the LAST most frequent shingles of its prefix. A pair is taken once, filtered by the parities of
+   both sets' sizes in hash ranges (each parity that differs is an element that only one of them has), and verified on
+   whole sets. First each class is verified with two partners, then one pair of any two components that
+   pairs still join, then all pairs that are left between components: a pair within a component is not needed. The links give first components.
+4. In longer lists, ROUNDS times, classes are put in a random order and neighbours of different components are
+   paired and verified, which joins most of what belongs together. Then all pairs of different components that
+   pass the filters are verified. Pairs within a component cannot change the components, so a group of near copies costs
    links in proportion to its size and no link between components is lost.
 
 A null or empty text has an empty set and no links. A null doc_id takes no part; its component is
@@ -27,14 +29,15 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import materialise, table
 from .components import components
 from .shingles import mix, shingle_set
 
-#: Threshold as a fraction; words of a shingle; classes that one is paired with in a list at once; cells of the sketch; hash ranges of the suffix filter.
-NUMERATOR, DENOMINATOR, WORDS, WINDOW, CELLS, RANGES = 3, 4, 5, 4, 1 << 22, 32
+#: Threshold as a fraction; words of a shingle; classes that one is paired with in a list at once; places at the end of its prefix with which a class is paired in long lists; rounds of random pairs, and one in how many lists they take; cells of the sketch; hash ranges of the suffix filter, a bit each.
+NUMERATOR, DENOMINATOR, WORDS, WINDOW, LAST, ROUNDS, LISTS, CELLS, BITS = 3, 4, 5, 2, 3, 4, 6, 1 << 22, 512
 _CHUNK = 1 << 16
 
 
@@ -129,6 +132,13 @@ def _may(n1, p1, f1, n2, p2, num: int, den: int):
     return f1 & (den * n1 >= num * n2) & (1 + np.minimum(n1 - p1, n2 - p2) - 1 >= need)
 
 
+def _may_link(n, p, f, m, q, g, num: int, den: int):
+    """The same for columns of two rows in any order."""
+    n, p, f, m, q, g = (F.col(c) for c in (n, p, f, m, q, g))
+    need = F.ceil(F.lit(num) * (n + m) / F.lit(num + den))
+    return F.when(n <= m, f).otherwise(g) & (den * F.least(n, m) >= num * F.greatest(n, m)) & (F.least(n - p, m - q) >= need)
+
+
 def window_pairs(num: int, den: int):
     """Over rows by (shingle, n, cls): the pairs of each row with up to WINDOW before it in its list; and the rows of longer lists."""
 
@@ -155,6 +165,8 @@ def window_pairs(num: int, den: int):
             for back in range(1, WINDOW + 1):
                 at = np.arange(max(back, old), len(s))
                 at = at[s[at] == s[at - back]]
+                end = n[at] - -(-num * n[at] // den) - p[at]  # places left in the prefix
+                at = at[(index[at] <= WINDOW) | ((back == 1) & (end < LAST))]
                 at = at[_may(n[at - back].astype(np.int64), p[at - back], f[at - back], n[at].astype(np.int64), p[at], num, den)]
                 pairs[0].append(c[at - back])
                 pairs[1].append(c[at])
@@ -179,12 +191,20 @@ def window_pairs(num: int, den: int):
     return run
 
 
-def range_sizes(s: np.ndarray) -> list[int]:
-    return np.bincount((s >> np.uint64(59)).astype(np.int64), minlength=RANGES).tolist()
+def parities(s: np.ndarray) -> list[int]:
+    """The parity of the set's size in each hash range, packed."""
+    odd = (np.bincount((s >> np.uint64(55)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64).tolist()
+
+
+def fits(a, b, n_a, n_b, num: int, den: int):
+    """Whether the parities leave room for enough overlap."""
+    apart = sum(F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(BITS // 64))
+    return apart <= n_a + n_b - 2 * F.ceil(F.lit(num) * (n_a + n_b) / F.lit(num + den))
 
 
 def packed_texts(docs: DataFrame, of: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """cls, n, sizes, packed: a compressed text for each wanted class. of: (cls, doc_id), one document for each class."""
+    """cls, n, parity, packed: a compressed text for each wanted class. of: (cls, doc_id), one document for each class."""
 
     def run(batches):
         for batch in batches:
@@ -192,19 +212,18 @@ def packed_texts(docs: DataFrame, of: DataFrame, wanted: DataFrame, words: int)
             for text, want in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 s = shingle_set(text, words)
                 if len(s) and class_id(s) == want:
-                    rows.append((want, len(s), range_sizes(s), zstandard.ZstdCompressor(3).compress(text.encode("utf-8", "surrogatepass"))))
-            yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary()))], names=["cls", "n", "sizes", "packed"])
+                    rows.append((want, len(s), parities(s), zstandard.ZstdCompressor(3).compress(text.encode("utf-8", "surrogatepass"))))
+            yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()))], names=["cls", "n", "parity", "packed"])
 
     ids = of.join(wanted, "cls")
-    return docs.join(ids, "doc_id").select("text", "cls").mapInArrow(run, "cls long, n long, sizes array<int>, packed binary").dropDuplicates(["cls"])
+    return docs.join(ids, "doc_id").select("text", "cls").mapInArrow(run, "cls long, n long, parity array<long>, packed binary").dropDuplicates(["cls"])
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold."""
-    sizes = texts.select("cls", "n", "sizes")
-    pairs = pairs.join(sizes.select(F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("sizes").alias("s_a")), "a").join(sizes.select(F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("sizes").alias("s_b")), "b")
-    most = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.least(x, y)), F.lit(0), lambda t, x: t + x)
-    pairs = pairs.where((num + den) * most >= num * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+    known = texts.select("cls", "n", "parity")
+    pairs = pairs.join(known.select(F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("parity").alias("p_a")), "a").join(known.select(F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("parity").alias("p_b")), "b")
+    pairs = pairs.where(fits(F.col("p_a"), F.col("p_b"), F.col("n_a"), F.col("n_b"), num, den)).select("a", "b")
     both = pairs.join(texts.select(F.col("cls").alias("a"), F.col("packed").alias("t_a")), "a").join(texts.select(F.col("cls").alias("b"), F.col("packed").alias("t_b")), "b")
 
     def run(batches):
@@ -229,6 +248,27 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int)
     return both.mapInArrow(run, "a long, b long")
 
 
+def _between(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """a, b, x, y: the pairs whose ends lie in different components x < y."""
+    of = lambda c, x: comp.select(F.col("node").alias(c), F.col("component").alias(x))
+    p = pairs.join(of("a", "x"), "a", "left").join(of("b", "y"), "b", "left").withColumns({"x": F.coalesce("x", "a"), "y": F.coalesce("y", "b")})
+    return p.where("x <> y").select("a", "b", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+
+
+def settle(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Links among ``pairs`` that connect what all links among them connect."""
+    first = pairs.groupBy("a").agg(F.min("b").alias("b")).unionByName(pairs.groupBy("b").agg(F.min("a").alias("a"))).distinct().select("a", "b")
+    first = materialise(first, "first")
+    links = materialise(verified(first, texts, words, num, den), "links")
+    left = materialise(_between(pairs.join(first, ["a", "b"], "left_anti"), components(links)), "left")
+    one = materialise(left.groupBy("x", "y").agg(F.min(F.struct("a", "b")).alias("p")).select("p.*"), "one")
+    if one.isEmpty():
+        return links
+    links = materialise(links.union(verified(one, texts, words, num, den)), "links")
+    rest = _between(left.select("a", "b").join(one, ["a", "b"], "left_anti"), components(links)).select("a", "b")
+    return materialise(links.union(verified(rest, texts, words, num, den)), "links")
+
+
 def near_components(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
     """(doc_id, text) -> doc_id, n_shingles, component_id, a row for each row of ``docs``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -244,16 +284,29 @@ def near_components(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR, d
     of = h.where("doc_id is not null and cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).union(longer.select("cls")).distinct()
     texts = materialise(packed_texts(docs, of, wanted, words), "texts")
-    links = materialise(verified(pairs, texts, words, num, den), "links")
+    links = settle(pairs, texts, words, num, den)
     first = components(links)
     # Pairs of different components in the longer lists.
+    longer = materialise(longer, "longer")
+    for i in range(ROUNDS):
+        w = W.partitionBy("shingle").orderBy(F.xxhash64("cls", F.lit(i)), "cls")
+        part = longer.where(F.pmod(F.xxhash64("shingle", F.lit(i)), F.lit(LISTS)) == 0)
+        part = part.join(first.withColumnRenamed("node", "cls"), "cls", "left").select("shingle", "cls", "n", "place", "found_by", F.coalesce("component", "cls").alias("c"))
+        x = part.withColumn("o", F.lag(F.struct("cls", "n", "place", "found_by", "c")).over(w)).where("o is not null and o.c <> c")
+        x = x.where(_may_link("n", "place", "found_by", "o.n", "o.place", "o.found_by", num, den))
+        some = materialise(x.select(F.least("cls", "o.cls").alias("a"), F.greatest("cls", "o.cls").alias("b")).distinct(), "some")
+        if some.isEmpty():
+            break
+        new = materialise(verified(some, texts, words, num, den), "links")
+        links = links.union(new)
+        first = components(links)
     placed = longer.join(first.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     mixed = placed.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("shingle")
-    placed = materialise(placed.join(mixed, "shingle"), "mixed")
+    placed = materialise(placed.join(mixed, "shingle").join(texts.select("cls", "parity"), "cls"), "mixed")
     x, y = placed.alias("x"), placed.alias("y")
     need = F.ceil(F.lit(num) * (F.col("x.n") + F.col("y.n")) / F.lit(num + den))
-    across = x.join(y, F.expr("x.shingle = y.shingle and x.component <> y.component and (x.n < y.n or x.n = y.n and x.cls < y.cls) and x.found_by")).where((den * F.col("x.n") >= num * F.col("y.n")) & (F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) >= need))
-    more = across.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    across = x.join(y, F.expr("x.shingle = y.shingle and x.component <> y.component and (x.n < y.n or x.n = y.n and x.cls < y.cls) and x.found_by")).where((den * F.col("x.n") >= num * F.col("y.n")) & (F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) >= need) & fits(F.col("x.parity"), F.col("y.parity"), F.col("x.n"), F.col("y.n"), num, den))
+    more = materialise(across.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct(), "more")
     links = links.union(verified(more, texts, words, num, den))
     # Rows that share an id are one document.
     twice = h.where("doc_id is not null and cls is not null").groupBy("doc_id").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a <> b").select("a", "b")
