@@ -8,7 +8,7 @@ from .html import op10_html_extract
 from .licenses import op2_license_scan
 from .lm_score import op3_lm_score
 from .mixing import op5_pfair_mixing
-from .ngram_join import op4_ngram_join
+from .ngram_join import OP4_SQL, op4_ngram_join
 from .spotsigs import op6_spot_signatures
 from .toxicity import op1_toxicity
 from .warc import OP7_SQL, op7_warc_round_trip
@@ -27,5 +27,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_ngram_join": OP4_SQL,
     "op7_warc_round_trip": OP7_SQL,
 }
