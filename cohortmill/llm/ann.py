@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import materialise, table
 
-#: Vectors that the centroids and codebooks are fitted on, at most; vectors in a packed block, at most.
-SAMPLE_ROWS, BLOCK_ROWS = 16384, 4096
+#: Vectors that the centroids and codebooks are fitted on, at most; vectors in a packed block, at most; queries whose best a task holds before it hands them on.
+SAMPLE_ROWS, BLOCK_ROWS, HELD = 16384, 4096, 50_000
 _INDEX = "cell int, n int, ids binary, codes binary, vectors binary"
 
 
@@ -147,8 +147,14 @@ def search(queries: DataFrame, blocks: DataFrame, model, k: int = 10, shortlist:
         cells, books, *_ = shared.value
         edges = np.cumsum([0, *(b.shape[1] for b in books)])
         d = cells.shape[1]
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # of each query, the best of the task's blocks so far
+
+        def out():
+            n = [len(v[0]) for v in held.values()]
+            yield pa.record_batch([pa.array(np.repeat(np.array(list(held), np.int64), n)), pa.array(np.concatenate([v[0] for v in held.values()])), pa.array(np.concatenate([v[1] for v in held.values()]))], names=["query_id", "vec_id", "score"])
+            held.clear()
+
         for batch in batches:
-            found: list[list] = [[], [], []]
             for cell, ids_, codes_, vecs_, q_ids, q_vecs in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("cell", "ids", "codes", "vectors", "q_ids", "q_vectors")), strict=True):
                 ids = np.frombuffer(ids_, np.int64)
                 codes = np.frombuffer(codes_, np.uint8).reshape(len(ids), -1)
@@ -164,12 +170,15 @@ def search(queries: DataFrame, blocks: DataFrame, model, k: int = 10, shortlist:
                         # Ids ascend within a block, so the first of equal distances have the smaller ids.
                         pick = np.concatenate([np.flatnonzero(adc < edge), np.flatnonzero(adc == edge)])[:shortlist]
                     pick = pick[ids[pick] != one]
-                    dist = np.sqrt(((x[pick] - v) ** 2).sum(1))
-                    best = np.lexsort((ids[pick], dist))[:k]
-                    found[0] += [one] * len(best)
-                    found[1] += ids[pick[best]].tolist()
-                    found[2] += dist[best].tolist()
-            yield pa.record_batch([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())], names=["query_id", "vec_id", "score"])
+                    dist, near = np.sqrt(((x[pick] - v) ** 2).sum(1)), ids[pick]
+                    if one in held:
+                        near, dist = np.concatenate([held[one][0], near]), np.concatenate([held[one][1], dist])
+                    best = np.lexsort((near, dist))[:k]
+                    held[one] = near[best], dist[best]
+            if len(held) >= HELD:
+                yield from out()
+        if held:
+            yield from out()
 
     packed = queries.mapInArrow(probed, "cell int, q_ids binary, q_vectors binary")
     best = blocks.join(packed, "cell").select("cell", "ids", "codes", "vectors", "q_ids", "q_vectors").mapInArrow(meet, "query_id long, vec_id long, score double")
