@@ -30,7 +30,8 @@ def unrateable():
 
 def rank(inputs: DataFrame, strategy: RankStrategy, screens: dict[str, ScreenStrategy] = SCREENS) -> RankResult:
     base = inputs.withColumns({c: F.lit(None).cast("double") for c in ("last_close", "market_cap", "total_revenue", "operating_income", "dividend_yield", "pe_ratio", "payout_ratio") if c not in inputs.columns} | {c: F.lit(None).cast("string") for c in ("quote_type", "sector", "currency") if c not in inputs.columns})
-    base = base.withColumn("__shell", unrateable())
+    # One row for each name, read by gates, screen and factors: worked out from the bars once.
+    base = base.withColumn("__shell", unrateable()).cache()
     gates = first_gate(gate_cells(base, strategy.gates))
     state = base.select("ticker", "__shell").join(gates, "ticker", "left").select("ticker", F.when(F.col("__shell"), "unrateable").when(F.col("gate").isNotNull(), "excluded").alias("status"), F.when(F.col("__shell"), "no data").when(F.col("gate").isNotNull(), F.concat(F.lit("gate: "), "gate")).alias("reason"))
     screen = None
@@ -39,7 +40,7 @@ def rank(inputs: DataFrame, strategy: RankStrategy, screens: dict[str, ScreenStr
         fails = evaluate(screen).select("ticker", "first_fail")
         state = state.join(fails, "ticker", "left").select("ticker", F.coalesce("status", F.when(F.col("first_fail").isNotNull(), "excluded")).alias("status"), F.coalesce("reason", F.concat(F.lit("screen: "), "first_fail")).alias("reason"))
     live = base.join(state.where("status is null").select("ticker"), "ticker", "left_semi")
-    values = outcomes(live, list(strategy.factors)).withColumn("run", F.lit(strategy.id))
+    values = outcomes(live, list(strategy.factors)).withColumn("run", F.lit(strategy.id)).cache()
     ranked = rank_universe(values, strategy.specs(), strategy.cut)
     gone = excluded(values, strategy.specs())
     none = lambda c, t: F.lit(None).cast(t).alias(c)
@@ -51,6 +52,7 @@ def rank(inputs: DataFrame, strategy: RankStrategy, screens: dict[str, ScreenStr
 
 def multi(inputs: DataFrame, strategies: list[RankStrategy]) -> DataFrame:
     """The grid: ticker, one struct (position, verdict, status) for each strategy, n_ranked, rank_sum, in order. Inputs are shared; positions are summed only where ranked."""
+    inputs = inputs.cache()
     first = {s.id: s for s in reversed(strategies)}
     ids = list(dict.fromkeys(s.id for s in strategies))
     cells = None

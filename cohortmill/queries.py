@@ -522,7 +522,7 @@ def company_check(spark, sf):
 @query(_rank_sql(SIZE_ALL) + """, a AS (SELECT ticker, rank() OVER (ORDER BY rm) AS p FROM rk), b AS (SELECT ticker, rank() OVER (ORDER BY rs) AS p FROM rk WHERE rs IS NOT NULL)
 SELECT coalesce(a.ticker, b.ticker) AS ticker, CAST(a.p AS INT) AS momentum, CAST(b.p AS INT) AS size, CAST((a.p IS NOT NULL)::INT + (b.p IS NOT NULL)::INT AS INT) AS n_ranked, CAST(coalesce(a.p, 0) + coalesce(b.p, 0) AS BIGINT) AS rank_sum FROM a FULL JOIN b ON a.ticker = b.ticker""")
 def multi_strategy_grid(spark, sf):
-    v = _values(spark, sf)
+    v = _values(spark, sf).cache()
     cells = None
     for s in RANK3[:2]:
         one = rank.rank_universe(v.where(F.col("factor") == s.name), [s]).select("ticker", F.lit(s.name).alias("strategy"), "position", "verdict", F.lit("ranked").alias("status"))
