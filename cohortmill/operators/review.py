@@ -12,8 +12,8 @@ DEGRADING = ("FETCH_ERROR", "EMPTY_RESPONSE")
 
 
 def agreement(rows: DataFrame) -> DataFrame:
-    """(ticker, ranker, council): state AGREE, DISAGREE or NOT-RUN."""
-    return rows.withColumn("state", F.when(F.col("council").isNull(), "NOT-RUN").when(F.upper("ranker") == F.upper("council"), "AGREE").otherwise("DISAGREE"))
+    """(ticker, ranker, panel): state AGREE, DISAGREE or NOT-RUN."""
+    return rows.withColumn("state", F.when(F.col("panel").isNull(), "NOT-RUN").when(F.upper("ranker") == F.upper("panel"), "AGREE").otherwise("DISAGREE"))
 
 
 def agreement_counts(rows: DataFrame) -> DataFrame:

@@ -882,7 +882,7 @@ def fscore_glyphs(spark, sf):
 @query("SELECT count(*) FILTER (o_orderstatus = 'O') AS agree, count(*) FILTER (o_orderstatus = 'F') AS disagree, count(*) FILTER (o_orderstatus NOT IN ('O', 'F')) AS not_run FROM orders")
 def agreement_table(spark, sf):
     s = F.col("o_orderstatus")
-    return review.agreement_counts(table(spark, sf, "orders").select(F.col("o_orderkey").alias("ticker"), F.lit("buy").alias("ranker"), F.when(s == "O", "BUY").when(s == "F", "SELL").alias("council")))
+    return review.agreement_counts(table(spark, sf, "orders").select(F.col("o_orderkey").alias("ticker"), F.lit("buy").alias("ranker"), F.when(s == "O", "BUY").when(s == "F", "SELL").alias("panel")))
 
 
 @query("""WITH i AS (SELECT event_type AS source, event_id AS ord, CASE event_id % 4 WHEN 0 THEN 'LATE' WHEN 1 THEN 'MISSING_KEY' WHEN 2 THEN CASE WHEN event_type = 'click' THEN 'FETCH_ERROR' ELSE 'LATE' END ELSE 'LATE' END AS reason FROM events)
