@@ -3,9 +3,9 @@
 A source's documents are cut into blocks. Block j of a source of weight w is released at slot
 floor((j - 1) / w) and due by slot ceil(j / w); the earliest deadline goes first, ties by the later
 release, then by name. On one processor this keeps each source within less than one block of its target at any
-slot. Weights are shares of a period: the schedule repeats after it, so one period, whose length is
-bounded, is scheduled on the driver, and the slot of any block follows in closed form from its
-number. No loop runs over the blocks, and no source is gathered: a document's place within its
+slot, however many there are. The weights are exact fractions (to 2^-100, where their common denominator is longer).
+The driver schedules all blocks in one pass, a heap step and a row of (source, block, slot) for each block of
+documents; the rows are joined with the documents, and no source is gathered: a document's place within its
 source comes from counts of hash buckets and its place in its own bucket.
 
 A source that runs out leaves its slots free and the others move up, still in proportion. No
@@ -16,16 +16,19 @@ columns, then arbitrarily; equal rows are alike. An empty table gives no rows.
 
 from __future__ import annotations
 
+import heapq
 from fractions import Fraction
-from math import ceil, floor
+from math import floor, lcm
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import table
 
-#: Documents in a block; slots in a period; documents for each hash bucket of a source.
+#: Documents in a block; slots in a period of rounded shares; documents for each hash bucket of a source.
 BLOCK_DOCS, PERIOD, BUCKET_DOCS = 32, 4096, 20_000
 
 
@@ -41,30 +44,57 @@ def shares(weights: dict, period: int = PERIOD) -> dict:
     return out
 
 
-def schedule(slots: dict) -> list:
-    """The source of each slot of one period, earliest deadline first among the blocks released."""
-    period, done, out = sum(slots.values()), dict.fromkeys(slots, 0), []
-    rank = {s: i for i, s in enumerate(sorted(slots, key=lambda s: (s is None, str(s))))}
-    for t in range(period):
-        ready = []
-        for s, k in slots.items():
-            j, w = done[s] + 1, Fraction(k, period)
-            if j <= k and floor((j - 1) / w) <= t:
-                ready.append((ceil(j / w), -floor((j - 1) / w), rank[s], s))
-        s = min(ready)[3]
-        done[s] += 1
-        out.append(s)
+def ranked(sources) -> list:
+    return sorted(sources, key=lambda s: (s is None, str(s)))
+
+
+def parts(weights: dict) -> dict:
+    """Whole numbers in proportion to the weights; exact unless their common denominator passes 128 bits."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    scale = 1
+    for w in exact.values():
+        scale = lcm(scale, w.denominator)
+        if scale.bit_length() > 128:
+            scale = 1 << 100
+            break
+    return {s: max(1, floor(w * scale)) for s, w in exact.items()}
+
+
+def slots_of(weights: dict, blocks: dict) -> dict:
+    """The slot of each block of each source: earliest deadline first among the blocks released, without the blocks of sources that ran out."""
+    total, out = sum(weights.values()), {s: np.zeros(n, np.int64) for s, n in blocks.items()}
+    names = ranked(blocks)
+    later = [(0, i, 1) for i, s in enumerate(names) if blocks[s]]
+    ready: list[tuple] = []
+    t = 0
+    while later or ready:
+        if not ready:
+            t = max(t, later[0][0])
+        while later and later[0][0] <= t:
+            release, i, j = heapq.heappop(later)
+            heapq.heappush(ready, (-(-j * total // weights[names[i]]), -release, i, j))
+        i, j = heapq.heappop(ready)[2:]
+        out[names[i]][j - 1] = t
+        if j < blocks[names[i]]:
+            heapq.heappush(later, (j * total // weights[names[i]], i, j + 1))
+        t += 1
     return out
 
 
+def schedule(slots: dict) -> list:
+    """The source of each slot of one period of whole slots."""
+    at = slots_of(slots, slots)
+    return [s for _, s in sorted(((t, s) for s, v in at.items() for t in v.tolist()), key=lambda x: x[0])]
+
+
 def size_weights(docs: DataFrame, power: float = 0.5) -> dict:
     """Target weights: each source's number of documents to ``power``, so that large sources weigh less than their size.
     One row for each source."""
     return {r.source: Fraction(max(r["count"], 1) ** power).limit_denominator(10**6) for r in docs.groupBy("source").count().collect()}
 
 
-def positions(docs: DataFrame, weights: dict | None = None, block_docs: int = BLOCK_DOCS, period: int = PERIOD) -> DataFrame:
-    """(doc_id, source) -> doc_id, source, block long (from 1 within the source), slot long, place long (within the block), row_key.
+def positions(docs: DataFrame, weights: dict | None = None, block_docs: int = BLOCK_DOCS) -> DataFrame:
+    """(doc_id, source) -> doc_id, source, block long (from 1 within the source), slot long, place long (within the block).
 
     The order of (slot, place) is the mixture. A slot holds one block."""
     spark = docs.sparkSession
@@ -74,14 +104,13 @@ def positions(docs: DataFrame, weights: dict | None = None, block_docs: int = BL
         return spark.createDataFrame([], "doc_id long, source string, block long, slot long, place long")
     weights = weights or size_weights(docs)
     rest = sum(weights.values()) or 1
-    slots = shares({r.source: weights.get(r.source) or Fraction(r["count"], sum(c["count"] for c in counts)) * rest for r in counts}, period)
-    order = schedule(slots)
-    period = len(order)
-    offsets: dict = {}
-    for t, s in enumerate(order):
-        offsets.setdefault(s, []).append(t)
-    # The period's schedule, one row for each source, PERIOD offsets in all.
-    plan = F.broadcast(spark.createDataFrame([(s, v, 1 + next(c["count"] for c in counts if c.source == s) // BUCKET_DOCS) for s, v in offsets.items()], "source string, offsets array<int>, buckets long").withColumnRenamed("source", "plan_source"))
+    exact = parts({r.source: weights.get(r.source) or Fraction(r["count"], sum(c["count"] for c in counts)) * rest for r in counts})
+    size = {r.source: r["count"] for r in counts}
+    at = slots_of(exact, {s: -(-n // block_docs) for s, n in size.items()})
+    names = ranked(size)
+    # One row for each source; and one for each block, joined by keys.
+    plan = F.broadcast(spark.createDataFrame([(s, i, 1 + size[s] // BUCKET_DOCS) for i, s in enumerate(names)], "plan_source string, nr int, buckets long"))
+    slots = spark.createDataFrame(pa.table({"of": np.repeat(np.arange(len(names), dtype=np.int32), [len(at[s]) for s in names]), "block": np.concatenate([np.arange(1, len(at[s]) + 1) for s in names]), "slot": np.concatenate([at[s] for s in names])}))
     d = docs.select("doc_id", "source").join(plan, F.col("source").eqNullSafe(F.col("plan_source"))).drop("plan_source")
     d = d.withColumn("hash", F.xxhash64(F.lit(11), "doc_id")).withColumn("bucket", F.pmod("hash", "buckets"))
     sizes = d.groupBy("source", "bucket").count()
@@ -89,10 +118,8 @@ def positions(docs: DataFrame, weights: dict | None = None, block_docs: int = BL
     d = d.withColumn("at", F.row_number().over(W.partitionBy("source", "bucket").orderBy("hash", "doc_id")))
     d = d.join(before, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
     number = F.col("before") + F.col("at") - 1
-    block = F.floor(number / block_docs)
-    k = F.size("offsets")
-    slot = F.floor(block / k) * period + F.get("offsets", (block % k).cast("int"))
-    return d.select("doc_id", "source", (block + 1).alias("block"), slot.cast("long").alias("slot"), (number % block_docs).alias("place"))
+    d = d.select("doc_id", "source", "nr", (F.floor(number / block_docs) + 1).alias("block"), (number % block_docs).alias("place"))
+    return d.join(slots.withColumnRenamed("block", "of_block"), (F.col("nr") == F.col("of")) & (F.col("block") == F.col("of_block"))).select("doc_id", "source", "block", "slot", "place")
 
 
 def mix(docs: DataFrame, weights: dict | None = None, block_docs: int = BLOCK_DOCS) -> DataFrame:

@@ -258,6 +258,18 @@ def test_positions_hold_every_document(spark, docs):
     assert mixing.positions(empty(spark)).count() == 0
 
 
+def test_pfair_keeps_given_weights_for_ever():
+    """Against the weights as given, over many times 4096 slots: skewed, tiny and irrational ones."""
+    hot = {f"s{i}": math.sqrt(n) for i, n in enumerate([33_000] + [3_500] * 19)}
+    for w, n in ((hot, 40_000), ({"a": 1, "b": 1e-5, None: 0.3}, 120_000), ({f"t{i}": 1 + i % 7 for i in range(5000)}, 20_000)):
+        total = sum(w.values())
+        at = mixing.slots_of(mixing.parts(w), {s: math.ceil(n * v / total) + 1 for s, v in w.items()})
+        assert len(np.unique(np.concatenate(list(at.values())))) == sum(map(len, at.values()))
+        for s, slots in at.items():
+            j, slots = np.arange(1, len(slots) + 1), slots
+            assert (np.abs(j - (slots + 1) * w[s] / total) < 1 + 1e-6).all() and (np.abs(j - 1 - slots * w[s] / total) < 1 + 1e-6).all()
+
+
 # 6: spot signatures ---------------------------------------------------------------------------------
 
 
