@@ -1,44 +1,44 @@
 """Exact self-join of texts by the Jaccard similarity of their word shingles, and its components.
 
-1. Texts of equal sets form a class. A sketch of counts over all documents, of fixed size, orders
-   shingles rare first; any order gives the same result, a better one gives fewer candidates.
+1. Texts of equal sets form a class. Blocks of documents send the shingles of their classes to buckets by ranges
+   of the hash; in its bucket each shingle is counted over the whole corpus, and what blocks get back are the
+   shingles that more than one class holds, with their counts. A shingle of one class comes first in the rare-first order,
+   and finds nothing.
 2. Each class gives its prefix: with n shingles and threshold t, the first n - ceil(t n) + 1 in that
-   order; two sets that are similar enough share one. The longer set of a pair probes with its whole prefix, the
-   shorter one is found by its first n - ceil(2 t / (1 + t) n) + 1.
-3. In each shingle's posting list, by length, the first classes are all paired, if lengths and positions allow
-   the overlap. A later one is paired with the class before it, in the lists of the LAST most frequent shingles of its prefix. A pair is taken once, filtered by the parities of
-   both sets' sizes in hash ranges (each parity that differs is an element that only one of them has), and verified on
-   whole sets. First each class is verified with two partners, then one pair of any two components that
-   pairs still join, then all pairs that are left between components: a pair within a component is not needed. The links give first components.
-4. In longer lists, ROUNDS times, classes are put in a random order and neighbours of different components are
-   paired and verified, which joins most of what belongs together. Then all pairs of different components that
-   pass the filters are verified. Pairs within a component cannot change the components, so a group of near copies costs
-   links in proportion to its size and no link between components is lost.
+   order; two sets that are similar enough share one. Of a pair, the shorter set must show it within its first
+   n - ceil(2 t / (1 + t) n) + 1. Places count the shingles of one class too, so a set whose prefix has nothing else is in no list.
+3. In each shingle's posting list, classes stand by their places: those with the least of their own come first. Each is paired with the
+   first of its list and with the one before it. A pair must allow for the overlap by its lengths, by what each has behind the common shingle, and
+   by what both have before it, which the other lacks (suffix filter: parities of both sets' sizes in hash ranges count more such elements).
+   What is left is verified on whole sets, each pair once. The links give first components.
+4. In longer lists, all pairs of different components that pass the same filters are verified, but for those that already were. A pair within a component cannot change
+   the components, so a group of near copies costs links in proportion to its size and no link between components is lost.
 
 A null or empty text has an empty set and no links. A null doc_id takes no part; its component is
 null. Rows that repeat an id are separate texts of one document: what either links with is
-connected. Ties in the order are broken by the hash. Extra columns are not read.
+connected. Ties in the order are broken by the hash. Very long texts are taken whole. An empty table gives no rows. Extra columns are not read.
+Candidates are found by 48 bits of the hashes, and verified by 64.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import materialise, table
 from .components import components
-from .shingles import mix, shingle_set
+from .shingles import shingle_set
+from .wordblocks import bucket_count
 
-#: Threshold as a fraction; words of a shingle; classes that one is paired with in a list at once; places at the end of its prefix with which a class is paired in long lists; rounds of random pairs, and one in how many lists they take; cells of the sketch; hash ranges of the suffix filter, a bit each.
-NUMERATOR, DENOMINATOR, WORDS, WINDOW, LAST, ROUNDS, LISTS, CELLS, BITS = 3, 4, 5, 2, 3, 4, 6, 1 << 22, 512
-_CHUNK = 1 << 16
+#: Threshold as a fraction; words of a shingle; hash ranges of the suffix filter, a bit each; shingles in a block.
+NUMERATOR, DENOMINATOR, WORDS, BITS, BLOCK_SHINGLES = 3, 4, 5, 512, 2_000_000
+#: Bits of a hash that the candidate search compares.
+SHORT = 48
 
 
 def class_id(s: np.ndarray) -> int:
@@ -46,50 +46,139 @@ def class_id(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little") >> 1
 
 
-def heads(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, n, cls of each document, and rows (chunk, counts) with parts of the sketch."""
-
-    def run(batches):
-        sketch = np.zeros(CELLS, np.uint32)
-        names = ["doc_id", "n", "cls", "chunk", "counts"]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-        for batch in batches:
-            ids = batch.column(0).to_pylist()
-            ns, cls = [], []
-            for d, text in zip(ids, batch.column(1).to_pylist(), strict=True):
-                s = shingle_set(text, words)
-                ns.append(len(s))
-                cls.append(class_id(s) if len(s) else None)
-                if d is not None:
-                    at = (s & np.uint64(CELLS - 1)).astype(np.int64)
-                    np.add.at(sketch, at, 1)
-            yield pa.record_batch([pa.array(v, t) for v, t in zip((ids, ns, cls, [None] * len(ids), [None] * len(ids)), types, strict=True)], names=names)
-        for i in range(CELLS // _CHUNK):
-            part = sketch[i * _CHUNK : (i + 1) * _CHUNK]
-            if part.any():
-                yield pa.record_batch([pa.array([v], t) for v, t in zip((None, None, None, i, zstandard.ZstdCompressor(3).compress(part.view(np.uint8).reshape(-1, 4).T.tobytes())), types, strict=True)], names=names)
-
-    return docs.mapInArrow(run, "doc_id long, n long, cls long, chunk int, counts binary")
+def pack_columns(*columns: np.ndarray) -> bytes:
+    """Columns of as many unsigned integers each, byte planes apart, compressed."""
+    out = [np.uint32(len(columns[0])).tobytes()]
+    for c in columns:
+        v = np.ascontiguousarray(c, "<u8")
+        width = max(1, (int(v.max()).bit_length() + 7) // 8) if len(v) else 1
+        out += [bytes([width]), np.ascontiguousarray(v.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()]
+    return zstandard.ZstdCompressor(1).compress(b"".join(out))
+
+
+def unpack_columns(data: bytes) -> list[np.ndarray]:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    n, at, out = int(raw[:4].view("<u4")[0]), 4, []
+    while at < len(raw):
+        width = int(raw[at])
+        v = np.zeros((n, 8), np.uint8)
+        v[:, :width] = raw[at + 1 : at + 1 + n * width].reshape(width, n).T
+        out.append(v.view("<u8").ravel())
+        at += 1 + n * width
+    return out
 
 
-def _counts(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+_SENT = "key long, block long, payload binary, doc_ids array<long>, sizes array<int>, classes array<long>"
+_ARROW = pa.schema([("key", pa.int64()), ("block", pa.int64()), ("payload", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("classes", pa.list_(pa.int64()))])
 
 
-def total_sketch(rows: DataFrame) -> np.ndarray:
-    """The summed sketch: CELLS numbers, whatever the corpus."""
+def sent(docs: DataFrame, words: int, buckets: int) -> DataFrame:
+    """A row for each block (key < 0) with its documents' ids, set sizes and classes; and for each bucket of it one with the
+    shingles of its classes: hashes in order, and which of the block's classes holds each."""
+    bounds = np.array([-(-(b << SHORT) // buckets) for b in range(buckets + 1)], np.uint64)
 
-    def add(t: pa.Table) -> pa.Table:
-        total = np.zeros(_CHUNK, np.uint64)
-        for c in t.column("counts"):
-            total += _counts(c.as_py())
-        total = np.minimum(total, 2**32 - 1).astype("<u4")
-        return pa.table([t.column("chunk").slice(0, 1), pa.array([zstandard.ZstdCompressor(3).compress(total.view(np.uint8).reshape(-1, 4).T.tobytes())], pa.binary())], names=["chunk", "counts"])
+    def run(batches):
+        from pyspark import TaskContext
+
+        part, made = TaskContext.get().partitionId(), 0
+        ids, sizes, classes, sets, seen, total = [], [], [], [], set(), 0
+
+        def close():
+            block = (part << 32) + made
+            rows: list[list] = [[-1 - block], [block], [None], [ids], [sizes], [classes]]
+            if sets:
+                h = np.concatenate(sets) >> np.uint64(64 - SHORT)
+                of = np.repeat(np.arange(len(sets), dtype=np.uint32), [len(s) for s in sets])
+                order = np.argsort(h)
+                h, of = h[order], of[order]
+                cuts = np.searchsorted(h, bounds)
+                for b in np.flatnonzero(np.diff(cuts)).tolist():
+                    x = slice(cuts[b], cuts[b + 1])
+                    for k, v in enumerate((b, block, pack_columns(np.diff(h[x], prepend=np.uint64(0)), of[x]), None, None, None)):
+                        rows[k].append(v)
+            return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(rows, _ARROW, strict=True)], schema=_ARROW)
 
-    out = np.zeros(CELLS, np.uint32)
-    for r in rows.where("chunk is not null").select("chunk", "counts").groupBy("chunk").applyInArrow(add, "chunk int, counts binary").collect():
-        out[r.chunk * _CHUNK : (r.chunk + 1) * _CHUNK] = _counts(bytes(r.counts))
-    return out
+        for batch in batches:
+            for d, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                s = shingle_set(text, words)
+                cls = class_id(s) if len(s) else None
+                ids.append(d)
+                sizes.append(len(s))
+                classes.append(cls)
+                if d is not None and cls is not None and cls not in seen:
+                    seen.add(cls)
+                    sets.append(s)
+                    total += len(s)
+                if total >= BLOCK_SHINGLES or len(ids) >= BLOCK_SHINGLES:
+                    yield close()
+                    made += 1
+                    ids, sizes, classes, sets, seen, total = [], [], [], [], set(), 0
+        if ids:
+            yield close()
+
+    return docs.select("doc_id", "text").mapInArrow(run, _SENT)
+
+
+def counted(rows: DataFrame) -> DataFrame:
+    """In each bucket shingles are counted; each of its rows keeps those that it does not hold alone: hashes, classes, counts."""
+
+    def run(t: pa.Table) -> pa.Table:
+        if t.column("key")[0].as_py() < 0:
+            return t.cast(_ARROW)
+        parts = [unpack_columns(p) for p in t.column("payload").to_pylist()]
+        h = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
+        order = np.argsort(h)
+        v = h[order]
+        first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+        times = np.diff(np.append(first, len(v)))
+        count = np.empty(len(v), np.int64)
+        count[order] = np.repeat(times, times)
+        payloads, at = [], 0
+        for _, of in parts:
+            x = slice(at, at + len(of))
+            at += len(of)
+            keep = count[x] > 1
+            payloads.append(pack_columns(np.diff(h[x][keep], prepend=np.uint64(0)), of[keep], count[x][keep]) if keep.any() else None)
+        return t.set_column(2, "payload", pa.array(payloads, pa.binary())).cast(_ARROW)
+
+    return rows.groupBy("key").applyInArrow(run, _SENT)
+
+
+def prefix_size(n, num: int, den: int):
+    return n - -(-num * n // den) + 1
+
+
+def listed(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """doc_id, n, cls of each document; and, with a null doc_id, shingle, place, n, cls of the shared shingles in the prefix of each class of each block."""
+
+    def run(t: pa.Table) -> pa.Table:
+        row = [k < 0 for k in t.column("key").to_pylist()].index(True)
+        sizes, classes = t.column("sizes")[row].as_py(), t.column("classes")[row].as_py()
+        doc_ids = t.column("doc_ids")[row].as_py()
+        place_of: dict[int, int] = {}
+        for d, n, c in zip(doc_ids, sizes, classes, strict=True):
+            if d is not None and c is not None:
+                place_of.setdefault(c, n)
+        cls, size = np.fromiter(place_of, np.int64, len(place_of)), np.fromiter(place_of.values(), np.int64, len(place_of))
+        parts = [unpack_columns(p) for p in t.column("payload").to_pylist() if p is not None]
+        if parts:
+            h = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
+            of, count = (np.concatenate([p[i] for p in parts]).astype(np.int64) for i in (1, 2))
+            order = np.lexsort((h, count, of))
+            h, of = h[order], of[order]
+            shared = np.bincount(of, minlength=len(cls))
+            place = np.arange(len(of)) - (np.cumsum(shared) - shared)[of] + (size - shared)[of]
+            keep = place < prefix_size(size, num, den)[of]
+            h, of, place = h[keep].astype(np.int64), of[keep], place[keep]
+        else:
+            h = of = place = np.zeros(0, np.int64)
+        m, none = len(doc_ids), [None] * len(doc_ids)
+        return pa.table(
+            [pa.array([*doc_ids, *[None] * len(of)], pa.int64()), pa.array([*sizes, *size[of].tolist()], pa.int32()), pa.array([*classes, *cls[of].tolist()], pa.int64()), pa.concat_arrays([pa.array(none, pa.int64()), pa.array(h)]), pa.concat_arrays([pa.nulls(m, pa.int32()), pa.array(place.astype(np.int32))])],
+            names=["doc_id", "n", "cls", "shingle", "place"],
+        )
+
+    return rows.where("key < 0 or payload is not null").groupBy("block").applyInArrow(run, "doc_id long, n int, cls long, shingle long, place int")
 
 
 def least_overlap(m: int, n: int, num: int, den: int) -> int:
@@ -97,96 +186,64 @@ def least_overlap(m: int, n: int, num: int, den: int) -> int:
     return -(-num * (m + n) // (num + den))
 
 
-def prefixes(docs: DataFrame, sketch: np.ndarray, words: int, num: int, den: int) -> DataFrame:
-    """shingle, n, cls, place, found_by: the prefix of each class, once for each partition that holds it."""
-    shared = docs.sparkSession.sparkContext.broadcast(sketch)
+def may_link(n, p, m, q, num: int, den: int):
+    """Whether sets of n and m, whose first common shingle has places p and q, may reach the threshold."""
+    need = -(-num * (n + m) // (num + den))
+    short, at = np.minimum(n, m), np.where(n <= m, p, q)
+    found = short - -(-2 * num * short // (num + den)) + 1
+    return (den * short >= num * np.maximum(n, m)) & (np.minimum(n - p, m - q) >= need) & (p + q <= n + m - 2 * need) & (at < found)
 
-    def run(batches):
-        order, seen = shared.value, set()
-        for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for text in batch.column(0).to_pylist():
-                s = shingle_set(text, words)
-                n = len(s)
-                if not n or (cls := class_id(s)) in seen:
-                    continue
-                seen.add(cls)
-                probe = n - -(-num * n // den) + 1
-                found = n - -(-2 * num * n // (num + den)) + 1
-                rank = order[(s & np.uint64(CELLS - 1)).astype(np.int64)]
-                first = s[np.lexsort((s, rank))[:probe]]
-                out[0].append(first.view(np.int64))
-                out[1].append(np.full(probe, n, np.int32))
-                out[2].append(np.full(probe, cls, np.int64))
-                out[3].append(np.arange(probe, dtype=np.int32))
-                out[4].append(np.arange(probe) < found)
-            if out[0]:
-                yield pa.record_batch([pa.array(np.concatenate(c)) for c in out], names=["shingle", "n", "cls", "place", "found_by"])
-
-    return docs.select("text").mapInArrow(run, "shingle long, n int, cls long, place int, found_by boolean")
-
-
-def _may(n1, p1, f1, n2, p2, num: int, den: int):
-    """Whether a shorter set (1) and a longer or equal one (2), whose first common shingle has these places, may reach the threshold."""
-    need = -(-num * (n1 + n2) // (num + den))
-    return f1 & (den * n1 >= num * n2) & (1 + np.minimum(n1 - p1, n2 - p2) - 1 >= need)
-
-
-def _may_link(n, p, f, m, q, g, num: int, den: int):
-    """The same for columns of two rows in any order."""
-    n, p, f, m, q, g = (F.col(c) for c in (n, p, f, m, q, g))
+
+def may_link_column(n, p, m, q, num: int, den: int):
+    """The same for columns."""
+    n, p, m, q = (F.col(c) for c in (n, p, m, q))
     need = F.ceil(F.lit(num) * (n + m) / F.lit(num + den))
-    return F.when(n <= m, f).otherwise(g) & (den * F.least(n, m) >= num * F.greatest(n, m)) & (F.least(n - p, m - q) >= need)
+    short = F.least(n, m)
+    found = short - F.ceil(F.lit(2 * num) * short / F.lit(num + den)) + 1
+    return (den * short >= num * F.greatest(n, m)) & (F.least(n - p, m - q) >= need) & (p + q <= n + m - 2 * need) & (F.when(n <= m, p).otherwise(q) < found)
 
 
-def window_pairs(num: int, den: int):
-    """Over rows by (shingle, n, cls): the pairs of each row with up to WINDOW before it in its list; and the rows of longer lists."""
+def list_pairs(num: int, den: int):
+    """Over rows by (shingle, place, n, cls): pairs (a, b) of each class with the first of its list and the one before it, with place -1; and the rows of lists
+    of three or more: b the shingle, a the class."""
 
     def run(batches):
-        kept = None  # the last WINDOW rows and their index within their list
+        head = None  # shingle, class, n, place of the first and of the last row of the list so far, and its length
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = [batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("shingle", "n", "cls", "place", "found_by")]
-            old = 0 if kept is None else len(kept[0])
-            s, n, c, p, f = now if kept is None else [np.concatenate([a, b]) for a, b in zip(kept[:5], now, strict=True)]
-            # Rows of a list that have the same class come one after the other; only the first counts.
+            s, c, n, p = (batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("shingle", "cls", "n", "place"))
+            old, length = 0, 0
+            if head is not None:
+                old, length = 2, head[1]
+                s, c, n, p = (np.concatenate([a, b]) for a, b in zip(head[0], (s, c, n, p), strict=True))
+            # A class that several blocks hold stands in a list several times, one after the other.
+            again = np.concatenate([[False], (s[1:] == s[:-1]) & (c[1:] == c[:-1])])
+            again[:old] = False
+            if again.any():
+                s, c, n, p = s[~again], c[~again], n[~again], p[~again]
             start = np.concatenate([[True], s[1:] != s[:-1]])
-            same = np.concatenate([[False], (s[1:] == s[:-1]) & (c[1:] == c[:-1])])
-            same[:old] = False
-            if same.any():
-                keep = ~same
-                s, n, c, p, f, start = s[keep], n[keep], c[keep], p[keep], f[keep], start[keep]
             first = np.flatnonzero(start)
-            index = np.arange(len(s)) - first[np.cumsum(start) - 1]
-            if kept is not None:  # the list that goes on from the batch before
-                index[: first[1] if len(first) > 1 else len(s)] += kept[5][0]
+            run_of = np.cumsum(start) - 1
+            index = np.arange(len(s)) - first[run_of]
+            if old:
+                index[run_of == 0] += length - 2
+                index[:2] = (0, length - 1)
+            new = np.arange(len(s)) >= old
             pairs: list[list] = [[], []]
-            for back in range(1, WINDOW + 1):
-                at = np.arange(max(back, old), len(s))
-                at = at[s[at] == s[at - back]]
-                end = n[at] - -(-num * n[at] // den) - p[at]  # places left in the prefix
-                at = at[(index[at] <= WINDOW) | ((back == 1) & (end < LAST))]
-                at = at[_may(n[at - back].astype(np.int64), p[at - back], f[at - back], n[at].astype(np.int64), p[at], num, den)]
-                pairs[0].append(c[at - back])
-                pairs[1].append(c[at])
+            for at, before in (((x := np.flatnonzero(new & (index >= 1))), first[run_of[x]]), ((y := np.flatnonzero(new & (index >= 2))), y - 1)):
+                ok = may_link(n[at], p[at], n[before], p[before], num, den)
+                pairs[0].append(c[at[ok]])
+                pairs[1].append(c[before[ok]])
             a, b = np.concatenate(pairs[0]), np.concatenate(pairs[1])
             ab = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-            none = np.zeros(ab.shape[1], np.int32)
-            # A list is longer where a row has WINDOW + 1 before it; that row brings those before it along.
-            long = np.zeros(len(s), bool)
-            reach = np.flatnonzero(index == WINDOW + 1)
-            reach = reach[reach >= old]
-            for back in range(WINDOW + 2):
-                long[reach - back] = True
-            long |= (index > WINDOW + 1) & (np.arange(len(s)) >= old)
-            x = np.flatnonzero(long)
-            yield pa.record_batch(
-                [pa.array(np.concatenate([u, v])) for u, v in ((ab[0], c[x]), (ab[1], s[x]), (none, n[x]), (none - 1, p[x]), (none > 0, f[x]))],
-                names=["a", "b", "n", "place", "found_by"],
-            )
-            keep = slice(max(0, len(s) - WINDOW - 1), None)
-            kept = [v[keep] for v in (s, n, c, p, f, index)]
+            none = np.zeros(ab.shape[1], np.int64)
+            third = np.flatnonzero(new & (index == 2))
+            x = np.concatenate([third - 2, third - 1, np.flatnonzero(new & (index >= 2))])
+            yield pa.record_batch([pa.array(np.concatenate([u, v])) for u, v in ((ab[0], c[x]), (ab[1], s[x]), (none, n[x]), (none - 1, p[x]))], names=["a", "b", "n", "place"])
+            last = len(s) - 1
+            top = first[-1]
+            head = (tuple(np.array([v[top], v[last]]) for v in (s, c, n, p)), int(index[last]) + 1)
 
     return run
 
@@ -224,6 +281,7 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int)
     known = texts.select("cls", "n", "parity")
     pairs = pairs.join(known.select(F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("parity").alias("p_a")), "a").join(known.select(F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("parity").alias("p_b")), "b")
     pairs = pairs.where(fits(F.col("p_a"), F.col("p_b"), F.col("n_a"), F.col("n_b"), num, den)).select("a", "b")
+    # One text travels with its pair to where the other one is.
     both = pairs.join(texts.select(F.col("cls").alias("a"), F.col("packed").alias("t_a")), "a").join(texts.select(F.col("cls").alias("b"), F.col("packed").alias("t_b")), "b")
 
     def run(batches):
@@ -248,65 +306,33 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int)
     return both.mapInArrow(run, "a long, b long")
 
 
-def _between(pairs: DataFrame, comp: DataFrame) -> DataFrame:
-    """a, b, x, y: the pairs whose ends lie in different components x < y."""
-    of = lambda c, x: comp.select(F.col("node").alias(c), F.col("component").alias(x))
-    p = pairs.join(of("a", "x"), "a", "left").join(of("b", "y"), "b", "left").withColumns({"x": F.coalesce("x", "a"), "y": F.coalesce("y", "b")})
-    return p.where("x <> y").select("a", "b", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-
-
-def settle(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """Links among ``pairs`` that connect what all links among them connect."""
-    first = pairs.groupBy("a").agg(F.min("b").alias("b")).unionByName(pairs.groupBy("b").agg(F.min("a").alias("a"))).distinct().select("a", "b")
-    first = materialise(first, "first")
-    links = materialise(verified(first, texts, words, num, den), "links")
-    left = materialise(_between(pairs.join(first, ["a", "b"], "left_anti"), components(links)), "left")
-    one = materialise(left.groupBy("x", "y").agg(F.min(F.struct("a", "b")).alias("p")).select("p.*"), "one")
-    if one.isEmpty():
-        return links
-    links = materialise(links.union(verified(one, texts, words, num, den)), "links")
-    rest = _between(left.select("a", "b").join(one, ["a", "b"], "left_anti"), components(links)).select("a", "b")
-    return materialise(links.union(verified(rest, texts, words, num, den)), "links")
+def across(longer: DataFrame, comp: DataFrame, num: int, den: int) -> DataFrame:
+    """a, b: the pairs of different components in the lists that pass the filters. Of each list the largest component is only compared with the others."""
+    placed = longer.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    placed = materialise(placed.select("shingle", "cls", "n", "place", "component"), "placed")
+    sizes = placed.groupBy("shingle", "component").count()
+    most = sizes.groupBy("shingle").agg(F.max_by("component", F.struct("count", "component")).alias("most"), F.count(F.lit(1)).alias("k")).where("k > 1").select("shingle", "most")
+    mixed = placed.join(most, "shingle")
+    x, y = mixed.where("component <> most").alias("x"), mixed.alias("y")
+    once = F.expr("x.shingle = y.shingle and x.component <> y.component and (y.component = y.most or x.cls < y.cls)")
+    found = x.join(y, once & may_link_column("x.n", "x.place", "y.n", "y.place", num, den))
+    return found.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
 
 
 def near_components(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
     """(doc_id, text) -> doc_id, n_shingles, component_id, a row for each row of ``docs``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    h = materialise(heads(docs, words), "heads")
-    sketch = total_sketch(h)
-    h = h.where("chunk is null").select("doc_id", "n", "cls")
-    named = docs.where("doc_id is not null")
-    p = prefixes(named, sketch, words, num, den)
-    listed = p.repartition("shingle").sortWithinPartitions("shingle", "n", "cls").select("shingle", "n", "cls", "place", "found_by")
-    made = materialise(listed.mapInArrow(window_pairs(num, den), "a long, b long, n int, place int, found_by boolean"), "pairs")
-    pairs = materialise(made.where("place < 0").select("a", "b").distinct(), "distinct-pairs")
-    longer = made.where("place >= 0").select(F.col("b").alias("shingle"), F.col("a").alias("cls"), "n", "place", "found_by")
+    rows = materialise(listed(counted(sent(docs, words, bucket_count(docs))), num, den), "listed")
+    h = rows.where("shingle is null").select("doc_id", "n", "cls")
+    lists = rows.where("shingle is not null").repartition("shingle").sortWithinPartitions("shingle", "place", "n", "cls")
+    made = materialise(lists.select("shingle", "cls", "n", "place").mapInArrow(list_pairs(num, den), "a long, b long, n long, place long"), "made")
+    pairs = materialise(made.where("place < 0").select("a", "b").distinct(), "pairs")
+    longer = made.where("place >= 0").select(F.col("b").alias("shingle"), F.col("a").alias("cls"), "n", "place")
     of = h.where("doc_id is not null and cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).union(longer.select("cls")).distinct()
     texts = materialise(packed_texts(docs, of, wanted, words), "texts")
-    links = settle(pairs, texts, words, num, den)
-    first = components(links)
-    # Pairs of different components in the longer lists.
-    longer = materialise(longer, "longer")
-    for i in range(ROUNDS):
-        w = W.partitionBy("shingle").orderBy(F.xxhash64("cls", F.lit(i)), "cls")
-        part = longer.where(F.pmod(F.xxhash64("shingle", F.lit(i)), F.lit(LISTS)) == 0)
-        part = part.join(first.withColumnRenamed("node", "cls"), "cls", "left").select("shingle", "cls", "n", "place", "found_by", F.coalesce("component", "cls").alias("c"))
-        x = part.withColumn("o", F.lag(F.struct("cls", "n", "place", "found_by", "c")).over(w)).where("o is not null and o.c <> c")
-        x = x.where(_may_link("n", "place", "found_by", "o.n", "o.place", "o.found_by", num, den))
-        some = materialise(x.select(F.least("cls", "o.cls").alias("a"), F.greatest("cls", "o.cls").alias("b")).distinct(), "some")
-        if some.isEmpty():
-            break
-        new = materialise(verified(some, texts, words, num, den), "links")
-        links = links.union(new)
-        first = components(links)
-    placed = longer.join(first.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    mixed = placed.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("shingle")
-    placed = materialise(placed.join(mixed, "shingle").join(texts.select("cls", "parity"), "cls"), "mixed")
-    x, y = placed.alias("x"), placed.alias("y")
-    need = F.ceil(F.lit(num) * (F.col("x.n") + F.col("y.n")) / F.lit(num + den))
-    across = x.join(y, F.expr("x.shingle = y.shingle and x.component <> y.component and (x.n < y.n or x.n = y.n and x.cls < y.cls) and x.found_by")).where((den * F.col("x.n") >= num * F.col("y.n")) & (F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) >= need) & fits(F.col("x.parity"), F.col("y.parity"), F.col("x.n"), F.col("y.n"), num, den))
-    more = materialise(across.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct(), "more")
+    links = materialise(verified(pairs, texts, words, num, den), "links")
+    more = materialise(across(longer, components(links), num, den).join(pairs, ["a", "b"], "left_anti"), "more")
     links = links.union(verified(more, texts, words, num, den))
     # Rows that share an id are one document.
     twice = h.where("doc_id is not null and cls is not null").groupBy("doc_id").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a <> b").select("a", "b")
@@ -316,7 +342,7 @@ def near_components(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR, d
     known = materialise(known, "components")
     least = known.where("cls is not null and doc_id is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
     out = known.join(least, "component", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("cls").isNotNull(), F.col("least")), F.col("doc_id"))))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
