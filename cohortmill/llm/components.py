@@ -42,7 +42,8 @@ def components(links: DataFrame) -> DataFrame:
     e = materialise(links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")), "links")
     n = e.count()
     parts = max(1, -(-n // PART_LINKS))
-    e = materialise(e.repartition(parts, "u").mapInArrow(contract, "u long, v long"), "links")
+    # One part must be one task, or links would be left between parts.
+    e = materialise((e.coalesce(1) if parts == 1 else e.repartition(parts, "u")).mapInArrow(contract, "u long, v long"), "links")
     before = None
     while parts > 1:
         both = e.union(e.select("v", "u"))
