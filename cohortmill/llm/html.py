@@ -44,9 +44,27 @@ AWAY_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo|banner|cookies?|consent|gdpr|notices?|notification|alert|popup|modal|newsletter|subscribe|signup|sidebar|side-bar|menu|navbar|navigation|nav|breadcrumbs?|masthead|site-header|page-header|header|footer|comments?|comment-list|commentlist|respond|replies|disqus|share|sharing|social|related|recommended|widget)(?:$|[\s_-])",
     re.IGNORECASE,
 )
+# The same within an article, where a name must be a whole class or id; its own headings, notes and figures are content.
+AWAY_INSIDE = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo banner cookie cookies consent gdpr notice notices notification popup modal newsletter subscribe signup sidebar side-bar menu navbar navigation nav breadcrumb breadcrumbs comment comments comment-list commentlist respond replies disqus share sharing social related recommended widget".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[/a-zA-Z][^<>]*\Z|[^<]+|<", re.DOTALL)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|itemprop)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
+# One attribute after the other, so that names within values or within longer names do not count.
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_MARKS = frozenset(("class", "id", "role", "hidden", "itemprop"))
+
+
+def marks_of(attributes: str) -> dict[str, str]:
+    """The marks among an element's attributes, by lower-case name; the first of a name counts."""
+    out: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(attributes):
+        if (name := m[1].lower()) in _MARKS:
+            out.setdefault(name, m[2] or m[3] or m[4] or "")
+    return out
+
+
+def away_by_name(named: str, article: bool) -> bool:
+    """Whether class and id say that an element is no content."""
+    return any(n.lower() in AWAY_INSIDE for n in named.split()) if article else bool(AWAY_NAMES.search(named))
 
 
 def host(url):
@@ -102,12 +120,12 @@ class Walk:
                 elif name == "br":
                     self.texts.append((block, " ", stack[-1][2] if stack else False, stack[-1][3] if stack else False, tuple(s[1] for s in stack)))
                 away, article, above = (stack[-1][2], stack[-1][3], stack[-1][1]) if stack else (False, False, 0)
-                marks = {a[0].lower(): a[1] or a[2] or a[3] for a in _ATTRIBUTE.findall(more)} if more else {}
+                marks = marks_of(more) if more else {}
                 named = f"{marks.get('class', '')} {marks.get('id', '')}"
                 role = zlib.crc32(f"{name}|{named}".encode(), above)
                 is_main = name in ("article", "main") or marks.get("role") == "main" or marks.get("itemprop") == "articleBody"
                 if not is_main and not away:
-                    away = name in AWAY or (name == "header" and not article) or marks.get("role") in AWAY_ROLES or "hidden" in marks or (named != " " and name not in ("html", "body") and bool(AWAY_NAMES.search(named)))
+                    away = name in AWAY or (name == "header" and not article) or marks.get("role") in AWAY_ROLES or "hidden" in marks or (named != " " and name not in ("html", "body") and away_by_name(named, article))
                 article = article or (is_main and not away)
                 self.opened.append((role, name, away, is_main and not away))
                 if name not in VOID and not more.endswith("/"):
