@@ -12,8 +12,8 @@ by a partial aggregation; a frequent payload costs one small row for each task.
 
 Null html is an empty payload. Null url: no target header. Null page_id: kept as null; among equal
 payloads it is a revisit of the smallest id, and a response where no id is known. Rows that repeat
-the smallest id with the same payload are all responses. Further columns are not read. An empty
-table gives no archives and no rows.
+the smallest id with the same payload are all responses. Further columns are not read. Very long payloads are written
+whole, in an archive that ends with them. An empty table gives no archives and no rows.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ _PADDING = struct.pack("<II", PADDING_MAGIC, 1)
 _ID = "urn:page:"
 #: Payloads from which the dictionary is trained, at most, and its size.
 DICTIONARY_SAMPLES, DICTIONARY_BYTES, SAMPLE_BYTES = 256, 32 << 10, 16 << 10
+#: Bytes from which an archive is closed and another begun; tasks that the copies of a payload are dealt over.
+ARCHIVE_BYTES, SALTS = 128 << 20, 16
 RECORD = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 
 
@@ -70,29 +72,37 @@ def with_originals(pages: DataFrame, revisit_from: int = 100) -> DataFrame:
     p = p.withColumn("digest", F.sha2(F.encode("html", "utf-8"), 256)).withColumn("key", F.when(F.octet_length("html") >= revisit_from, F.col("digest")))
     groups = p.where("key is not null").groupBy("key").agg(F.min("page_id").alias("original"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("original")), F.col("original"))
-    return p.join(groups, "key", "left").select("page_id", "url", "html", "digest", refers.alias("refers_to"))
+    # Copies of a frequent payload are dealt over SALTS tasks; short payloads, which refer to nothing, by their ids.
+    p = p.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS))).withColumn("key", F.coalesce("key", F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string"))))
+    groups = groups.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return p.join(groups, ["key", "salt"], "left").select("page_id", "url", "html", "digest", refers.alias("refers_to"))
 
 
-def write_archives(pages: DataFrame, path: str, revisit_from: int = 100, date: str = "1970-01-01T00:00:00Z", level: int = 3) -> None:
-    """One archive for each task, of (page_id, url, html) rows."""
+def write_archives(pages: DataFrame, path: str, revisit_from: int = 100, date: str = "1970-01-01T00:00:00Z", level: int = 3, archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """Archives of (page_id, url, html) rows: each task begins another when one has ``archive_bytes``, so that a reader's task holds one of bounded size."""
     # The dictionary has DICTIONARY_BYTES at most, whatever the corpus.
     shared = pages.sparkSession.sparkContext.broadcast(train_dictionary(pages))
 
     def run(batches):
         data = shared.value
         made = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(data), write_checksum=True)
-        lead = struct.pack("<II", DICTIONARY_MAGIC, len(data)) + data
+        first = struct.pack("<II", DICTIONARY_MAGIC, len(data)) + data
+        archive, nth, size = 0, 0, 0
         for batch in batches:
-            frames = []
+            frames, archives, places = [], [], []
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 page_id, url, html, digest, refers = row
-                frames.append(lead + made.compress(_record(page_id, url, html.encode("utf-8", "surrogatepass"), digest, refers, date)) + _PADDING)
-                lead = b""
+                if size >= archive_bytes:
+                    archive, size = archive + 1, 0
+                frames.append((b"" if size else first) + made.compress(_record(page_id, url, html.encode("utf-8", "surrogatepass"), digest, refers, date)) + _PADDING)
+                archives.append(archive)
+                places.append(nth)
+                size, nth = size + len(frames[-1]), nth + 1
             if frames:
-                yield pa.record_batch([pa.array(frames, pa.binary())], names=["frame"])
+                yield pa.record_batch([pa.array(archives, pa.int32()), pa.array(places, pa.int64()), pa.array(frames, pa.binary())], names=["archive", "nth", "frame"])
 
-    framed = with_originals(pages, revisit_from).mapInArrow(run, "frame binary")
-    framed.select(F.col("frame").cast("string")).write.option("lineSep", "\n").text(path)
+    framed = with_originals(pages, revisit_from).mapInArrow(run, "archive int, nth long, frame binary").sortWithinPartitions("archive", "nth")
+    framed.select("archive", F.col("frame").cast("string").alias("frame")).write.partitionBy("archive").option("lineSep", "\n").text(path)
 
 
 def frames(data: memoryview) -> Iterator[tuple[int, int, int]]:
