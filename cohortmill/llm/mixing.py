@@ -1,17 +1,21 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-A source's documents are cut into blocks. Block j of a source of weight w is released at slot
-floor((j - 1) / w) and due by slot ceil(j / w); the earliest deadline goes first, ties by the later
-release, then by name. On one processor this keeps each source within less than one block of its target at any
-slot, however many there are. The weights are exact fractions (to 2^-100, where their common denominator is longer).
-The driver schedules all blocks in one pass, a heap step and a row of (source, block, slot) for each block of
-documents; the rows are joined with the documents, and no source is gathered: a document's place within its
-source comes from counts of hash buckets and its place in its own bucket.
+A source's documents are cut into half blocks, one for each slot. Time is cut into periods. Where a period ends, each source stands at one
+of the two whole numbers of half blocks around its exact share, by rounding the running sum of all shares; so any period can be worked out by itself, from the
+weights alone. In it, half block j of a source with q of the period's P slots is released at
+slot floor((j - 1) P / q) and due by slot ceil(j P / q); the earliest deadline goes first, ties by the later
+release, then by name. On one processor no deadline is missed: a source is within one half block of a straight line from where it stands at
+one end of the period to where it stands at the other, and that line within another of its exact share. So each source keeps within less than
+one block of its target at any slot, however many there are. A period has two slots at least for the smallest weight, so none is lost.
+The weights are exact fractions (to 2^-100, where their common denominator is longer). Tasks schedule the periods; the rows of
+(source, half block, slot) are joined with the documents, and no source is gathered: a document's place within its
+source comes from counts of hash buckets and its place in its own bucket. The driver holds one small row for each source.
 
 A source that runs out leaves its slots free and the others move up, still in proportion. No
 document is dropped or repeated. Sources without a given weight share what is left equally by count
-of documents. A null source is a source of its own. Ties between equal rows are broken by all given
-columns, then arbitrarily; equal rows are alike. An empty table gives no rows.
+of documents. A null source is a source of its own. Documents of a source are ordered by a hash of their id, then the id; rows
+that share an id stand in any order. Null, empty and very long texts do not matter: texts are not read. Extra columns are not read
+by ``positions`` and pass through ``mix``. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,20 +32,8 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Documents in a block; slots in a period of rounded shares; documents for each hash bucket of a source.
-BLOCK_DOCS, PERIOD, BUCKET_DOCS = 32, 4096, 20_000
-
-
-def shares(weights: dict, period: int = PERIOD) -> dict:
-    """Whole slots of a period for each source, one at least, by largest remainder; they add up to the period."""
-    names = sorted(weights, key=lambda s: (s is None, str(s)))
-    period = max(period, len(names))
-    total = sum(Fraction(weights[s]) for s in names)
-    exact = {s: Fraction(weights[s]) / total * (period - len(names)) for s in names}
-    out = {s: 1 + floor(exact[s]) for s in names}
-    for s in sorted(names, key=lambda s: exact[s] - floor(exact[s]), reverse=True)[: period - sum(out.values())]:
-        out[s] += 1
-    return out
+#: Documents in a block, two slots; slots of a period, at least; documents for each hash bucket of a source; sources whose rows are broadcast, at most.
+BLOCK_DOCS, PERIOD, BUCKET_DOCS, BROADCAST_SOURCES = 32, 4096, 20_000, 100_000
 
 
 def ranked(sources) -> list:
@@ -60,11 +52,11 @@ def parts(weights: dict) -> dict:
     return {s: max(1, floor(w * scale)) for s, w in exact.items()}
 
 
-def slots_of(weights: dict, blocks: dict) -> dict:
-    """The slot of each block of each source: earliest deadline first among the blocks released, without the blocks of sources that ran out."""
-    total, out = sum(weights.values()), {s: np.zeros(n, np.int64) for s, n in blocks.items()}
-    names = ranked(blocks)
-    later = [(0, i, 1) for i, s in enumerate(names) if blocks[s]]
+def slots_of(shares: list[int], blocks: list[int]) -> list[np.ndarray]:
+    """The slot of each half block of each source in a period of sum(shares) slots: earliest deadline first among those released.
+    ``blocks``: how many there are of the shares; a source that has fewer runs out."""
+    total, out = sum(shares), [np.zeros(n, np.int64) for n in blocks]
+    later = [(0, i, 1) for i, n in enumerate(blocks) if n]
     ready: list[tuple] = []
     t = 0
     while later or ready:
@@ -72,54 +64,86 @@ def slots_of(weights: dict, blocks: dict) -> dict:
             t = max(t, later[0][0])
         while later and later[0][0] <= t:
             release, i, j = heapq.heappop(later)
-            heapq.heappush(ready, (-(-j * total // weights[names[i]]), -release, i, j))
+            heapq.heappush(ready, (-(-j * total // shares[i]), -release, i, j))
         i, j = heapq.heappop(ready)[2:]
-        out[names[i]][j - 1] = t
-        if j < blocks[names[i]]:
-            heapq.heappush(later, (j * total // weights[names[i]], i, j + 1))
+        out[i][j - 1] = t
+        if j < blocks[i]:
+            heapq.heappush(later, (j * total // shares[i], i, j + 1))
         t += 1
     return out
 
 
-def schedule(slots: dict) -> list:
-    """The source of each slot of one period of whole slots."""
-    at = slots_of(slots, slots)
-    return [s for _, s in sorted(((t, s) for s, v in at.items() for t in v.tolist()), key=lambda x: x[0])]
+def period(weights: list[int]) -> int:
+    """Slots of a period: PERIOD, or as many as give the smallest weight two."""
+    return max(PERIOD, -(-2 * sum(weights) // min(weights)))
+
+
+def stands(weights: list[int], slots: int) -> list[int]:
+    """Half blocks of each source by a slot that ends a period: the running sum of the shares is rounded down, so that each is within one of
+    its exact share and together they are ``slots``."""
+    total, run, before, out = sum(weights), 0, 0, []
+    for w in weights:
+        run += w
+        now = slots * run // total
+        out.append(now - before)
+        before = now
+    return out
+
+
+def schedule(spark: SparkSession, weights: list[int], halves: list[int]) -> DataFrame:
+    """of int, half long, slot long: the slot of each of the ``halves`` of each source, from 1 and from 0. Each task has some periods."""
+    size = period(weights)
+    total = sum(weights)
+    periods = max(-(-n * total // (w * size)) for w, n in zip(weights, halves, strict=True)) + 1
+
+    def run(batches):
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                begin, end = stands(weights, k * size), stands(weights, (k + 1) * size)
+                live = [min(e, n) - min(b, n) for b, e, n in zip(begin, end, halves, strict=True)]
+                some = [i for i, n in enumerate(live) if n]
+                if not some:
+                    continue
+                shares = [e - b for b, e in zip(begin, end, strict=True)]
+                at = slots_of(shares, live)
+                yield pa.record_batch(
+                    [pa.array(np.repeat(np.array(some, np.int32), [live[i] for i in some])), pa.array(np.concatenate([begin[i] + 1 + np.arange(live[i]) for i in some])), pa.array(np.concatenate([k * size + at[i] for i in some]))],
+                    names=["of", "half", "slot"],
+                )
+
+    return spark.range(0, periods, 1, min(periods, int(spark.conf.get("spark.sql.shuffle.partitions")))).mapInArrow(run, "of int, half long, slot long")
 
 
-def size_weights(docs: DataFrame, power: float = 0.5) -> dict:
-    """Target weights: each source's number of documents to ``power``, so that large sources weigh less than their size.
-    One row for each source."""
-    return {r.source: Fraction(max(r["count"], 1) ** power).limit_denominator(10**6) for r in docs.groupBy("source").count().collect()}
+def root(n: int) -> Fraction:
+    """The usual target weight of a source of n documents: large sources weigh less than their size."""
+    return Fraction(max(n, 1) ** 0.5).limit_denominator(10**6)
 
 
 def positions(docs: DataFrame, weights: dict | None = None, block_docs: int = BLOCK_DOCS) -> DataFrame:
-    """(doc_id, source) -> doc_id, source, block long (from 1 within the source), slot long, place long (within the block).
+    """(doc_id, source) -> doc_id, source, block long (from 1 within the source), slot long, place long (within the slot).
 
-    The order of (slot, place) is the mixture. A slot holds one block."""
+    The order of (slot, place) is the mixture. A slot holds half a block."""
     spark = docs.sparkSession
     # A source's documents are shuffled by a hash of their id, in buckets of about BUCKET_DOCS.
-    counts = docs.groupBy("source").count().collect()
-    if not counts:
+    size = {r.source: r["count"] for r in docs.groupBy("source").count().collect()}
+    if not size:
         return spark.createDataFrame([], "doc_id long, source string, block long, slot long, place long")
-    weights = weights or size_weights(docs)
+    weights = weights or {s: root(n) for s, n in size.items()}
     rest = sum(weights.values()) or 1
-    exact = parts({r.source: weights.get(r.source) or Fraction(r["count"], sum(c["count"] for c in counts)) * rest for r in counts})
-    size = {r.source: r["count"] for r in counts}
-    at = slots_of(exact, {s: -(-n // block_docs) for s, n in size.items()})
-    names = ranked(size)
-    # One row for each source; and one for each block, joined by keys.
-    plan = F.broadcast(spark.createDataFrame([(s, i, 1 + size[s] // BUCKET_DOCS) for i, s in enumerate(names)], "plan_source string, nr int, buckets long"))
-    slots = spark.createDataFrame(pa.table({"of": np.repeat(np.arange(len(names), dtype=np.int32), [len(at[s]) for s in names]), "block": np.concatenate([np.arange(1, len(at[s]) + 1) for s in names]), "slot": np.concatenate([at[s] for s in names])}))
+    exact = parts({s: weights.get(s) or Fraction(n, sum(size.values())) * rest for s, n in size.items()})
+    names, half_docs = ranked(size), max(1, block_docs // 2)
+    slots = schedule(spark, [exact[s] for s in names], [-(-size[s] // half_docs) for s in names])
+    plan = spark.createDataFrame([(s, i, 1 + size[s] // BUCKET_DOCS) for i, s in enumerate(names)], "plan_source string, nr int, buckets long")
+    plan = F.broadcast(plan) if len(names) <= BROADCAST_SOURCES else plan
     d = docs.select("doc_id", "source").join(plan, F.col("source").eqNullSafe(F.col("plan_source"))).drop("plan_source")
     d = d.withColumn("hash", F.xxhash64(F.lit(11), "doc_id")).withColumn("bucket", F.pmod("hash", "buckets"))
-    sizes = d.groupBy("source", "bucket").count()
-    before = sizes.withColumn("before", F.coalesce(F.sum("count").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select(F.col("source").alias("s"), F.col("bucket").alias("b"), "before")
-    d = d.withColumn("at", F.row_number().over(W.partitionBy("source", "bucket").orderBy("hash", "doc_id")))
-    d = d.join(before, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
+    sizes = d.groupBy("nr", "bucket").count()
+    before = sizes.withColumn("before", F.coalesce(F.sum("count").over(W.partitionBy("nr").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select(F.col("nr").alias("s"), F.col("bucket").alias("b"), "before")
+    d = d.withColumn("at", F.row_number().over(W.partitionBy("nr", "bucket").orderBy("hash", "doc_id")))
+    d = d.join(before, (F.col("nr") == F.col("s")) & (F.col("bucket") == F.col("b")))
     number = F.col("before") + F.col("at") - 1
-    d = d.select("doc_id", "source", "nr", (F.floor(number / block_docs) + 1).alias("block"), (number % block_docs).alias("place"))
-    return d.join(slots.withColumnRenamed("block", "of_block"), (F.col("nr") == F.col("of")) & (F.col("block") == F.col("of_block"))).select("doc_id", "source", "block", "slot", "place")
+    d = d.select("doc_id", "source", "nr", (F.floor(number / block_docs) + 1).alias("block"), (F.floor(number / half_docs) + 1).alias("nth"), (number % half_docs).alias("place"))
+    return d.join(slots, (F.col("nr") == F.col("of")) & (F.col("nth") == F.col("half"))).select("doc_id", "source", "block", "slot", "place")
 
 
 def mix(docs: DataFrame, weights: dict | None = None, block_docs: int = BLOCK_DOCS) -> DataFrame:
