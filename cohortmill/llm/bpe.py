@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import pack_ints, table, unpack_ints, unpack_places
 from .wordblocks import blocks, bucket_count, each_block, each_word, places_of
 
+#: Ids of a batch of results.
+BATCH_IDS = 500_000
 _BREAK = re.compile(r" (?=[^\s\x1c-\x1f\x85])")
 
 
@@ -55,29 +57,28 @@ def encoder(ranks: dict[bytes, int], pattern: str):
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """(doc_id, text) -> doc_id, token_ids array<int>, decoded binary: the ids of the whole text, and its bytes made again from them."""
-    return _encode(docs, ranks, pattern, _full, "doc_id long, token_ids array<int>, decoded binary")
+    return _encode(docs, ranks, pattern, lambda found, decode: [_lists(found), pa.array([decode(f) for f in found], pa.binary())], "token_ids array<int>, decoded binary")
 
 
-def encode_digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, ids: bool = False) -> DataFrame:
-    """(doc_id, text) -> doc_id, n_tokens, ids_sha256, decoded_sha256[, token_ids]: the same with digests."""
-    return _encode(docs, ranks, pattern, _digests_ids if ids else _digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * ids)
+def encode_digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, ids: bool = False, tag: str | None = None) -> DataFrame:
+    """(doc_id, text[, tag]) -> doc_id[, tag], n_tokens, ids_sha256, decoded_sha256[, token_ids]: the same with digests. ``tag`` is a long column that goes along."""
 
+    def make(found, decode):
+        made = [pa.array([len(f) for f in found], pa.int64()), pa.array([hashlib.sha256(",".join(map(str, f.tolist())).encode()).hexdigest() for f in found]), pa.array([hashlib.sha256(decode(f)).hexdigest() for f in found])]
+        return [*made, _lists(found)] if ids else made
 
-def _full(doc_ids, found, decode):
-    return [pa.array(doc_ids, pa.int64()), pa.array([f.astype(np.int32) for f in found], pa.list_(pa.int32())), pa.array([decode(f) for f in found], pa.binary())]
+    return _encode(docs, ranks, pattern, make, "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * ids, tag)
 
 
-def _digests(doc_ids, found, decode):
-    return [pa.array(doc_ids, pa.int64()), pa.array([len(f) for f in found], pa.int64()), pa.array([hashlib.sha256(",".join(map(str, f.tolist())).encode()).hexdigest() for f in found]), pa.array([hashlib.sha256(decode(f)).hexdigest() for f in found])]
+def _lists(found: list[np.ndarray]) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum([len(f) for f in found])])
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int32), *[f.astype(np.int32) for f in found]])))
 
 
-def _digests_ids(doc_ids, found, decode):
-    return [*_digests(doc_ids, found, decode), pa.array([f.astype(np.int32) for f in found], pa.list_(pa.int32()))]
-
-
-def _encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, make, schema: str) -> DataFrame:
+def _encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, make, made: str, tag: str | None = None) -> DataFrame:
     spark: SparkSession = docs.sparkSession
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", "text", *[tag] * bool(tag))
+    schema = "doc_id long, " + f"{tag} long, " * bool(tag) + made
     # The vocabulary's size is fixed by the rank file, so the broadcast does not grow with the corpus.
     shared = spark.sparkContext.broadcast((ranks, pattern))
     held: dict = {}
@@ -93,7 +94,7 @@ def _encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, make, schema
             out.append((pack_ints(np.concatenate([np.array([len(rows), *map(len, rows)], np.uint32), flat])), None))
         return out
 
-    def finish(t: pa.Table) -> pa.Table:
+    def finish(t: pa.Table):
         if "bytes" not in held:
             by_id = [b""] * (1 + max(shared.value[0].values()))
             for k, v in shared.value[0].items():
@@ -116,21 +117,26 @@ def _encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, make, schema
             base += len(v) - 1 - n
         pool = np.concatenate(pools) if pools else np.zeros(0, np.uint32)
         seq = unpack_places(payloads[row].as_py())
-        doc_ids, sizes = t.column("doc_ids")[row].as_py(), t.column("sizes")[row].as_py()
-        found, at = [], 0
-        for n in sizes:
+        doc_ids, sizes, tags = (t.column(c)[row].as_py() for c in ("doc_ids", "sizes", "extra"))
+        del parts, pools, payloads, places, t
+        found: list[np.ndarray] = []
+        at = held_ids = first = 0
+        for k, n in enumerate(sizes):
             w = seq[at : at + n]
             at += n
             lens = length[w]
             ends = np.cumsum(lens)
             total = int(ends[-1]) if n else 0
             found.append(pool[np.repeat(start[w] - (ends - lens), lens) + np.arange(total)])
-        columns = make(doc_ids, found, lambda ids: b"".join(map(by_id.__getitem__, ids.tolist())))
-        return pa.table(columns, names=names)
+            held_ids += total
+            if held_ids >= BATCH_IDS or k + 1 == len(sizes):
+                carried = [pa.array(v[first : k + 1], pa.int64()) for v in ((doc_ids, tags) if tag else (doc_ids,))]
+                yield pa.RecordBatch.from_arrays([*carried, *make(found, lambda ids: b"".join(map(by_id.__getitem__, ids.tolist())))], names=names)
+                found, held_ids, first = [], 0, k + 1
 
     names = [c.split()[0] for c in schema.split(", ")]
     n = bucket_count(docs)
-    return each_block(each_word(blocks(docs, split_words, n), answer), finish, schema)
+    return each_block(each_word(blocks(docs, split_words, n, tag=tag), answer), finish, schema)
 
 
 def op9_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,9 +13,12 @@ from pyspark.sql import functions as F
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The shared folder the cluster names in ``spark.checkpoint.dir``. Where it is unset, a temporary folder in local mode, whose
+    tasks share the machine; on a cluster an error, for others could not read what is written there."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="cohortmill-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")

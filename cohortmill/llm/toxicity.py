@@ -169,8 +169,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn=None) -> Model | None:
     return model
 
 
-def scored(docs: DataFrame, model: Model | None) -> DataFrame:
-    """All columns of ``docs`` and toxicity double: a score between 0 and 1 of each whole text."""
+def scored(docs: DataFrame, model: Model | None, name: str = "toxicity") -> DataFrame:
+    """All columns of ``docs`` and, called ``name``, a score between 0 and 1 of each whole text. A column of that name gives way."""
+    docs = docs.select(*[c for c in docs.columns if c != name])
     # Bounded by LEXICON.
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -179,11 +180,11 @@ def scored(docs: DataFrame, model: Model | None) -> DataFrame:
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             s = [0.0 if m is None else m.score(found(t or "", m.lexicon)) for t in texts]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64())], names=[*batch.schema.names, "__toxicity"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64())], names=[*batch.schema.names, name])
 
     from pyspark.sql import types as T
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__toxicity", T.DoubleType())])).withColumnRenamed("__toxicity", "toxicity")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def learnable(doc_id):

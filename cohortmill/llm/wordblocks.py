@@ -64,15 +64,16 @@ def _emit(block: int, words: Numbering, ids: list, seqs: list, extra: list, buck
     yield pa.RecordBatch.from_arrays([pa.array(rows[f.name], f.type) for f in ARROW], schema=ARROW)
 
 
-def blocks(docs: DataFrame, split: Callable[[str], list[bytes]], buckets: int, counted: str | None = None) -> DataFrame:
+def blocks(docs: DataFrame, split: Callable[[str], list[bytes]], buckets: int, counted: str | None = None, tag: str | None = None) -> DataFrame:
     """docs: (doc_id, text[, counted]); null text is empty. With ``counted`` a word's row carries how often the
-    documents where that column is true hold it, and the documents' row carries, for each, twice its bytes, and one more if it is true."""
+    documents where that column is true hold it, and the documents' row carries, for each, twice its bytes, and one more if it is true. With
+    ``tag`` it carries that long column of each document instead."""
 
     def run(batches):
         from pyspark import TaskContext
 
         part, made = TaskContext.get().partitionId(), 0
-        words, ids, seqs, flags, lengths, size = Numbering(), [], [], [], [], 0
+        words, ids, seqs, flags, lengths, tags, size = Numbering(), [], [], [], [], [], 0
 
         def close():
             weights = None
@@ -83,7 +84,7 @@ def blocks(docs: DataFrame, split: Callable[[str], list[bytes]], buckets: int, c
                         weights += np.bincount(s, minlength=len(words)) if 4 * len(s) > len(words) else 0
                         if 4 * len(s) <= len(words):
                             np.add.at(weights, s, 1)
-            return _emit((part << 32) + made, words, ids, seqs, [int(f) + 2 * n for f, n in zip(flags, lengths, strict=True)], buckets, weights)
+            return _emit((part << 32) + made, words, ids, seqs, tags if tag else [int(f) + 2 * n for f, n in zip(flags, lengths, strict=True)], buckets, weights)
 
         for batch in batches:
             cols = batch.to_pydict()
@@ -92,16 +93,18 @@ def blocks(docs: DataFrame, split: Callable[[str], list[bytes]], buckets: int, c
                 seqs.append(np.fromiter(map(words.__getitem__, pieces), np.uint32, len(pieces)))
                 ids.append(d)
                 flags.append(bool(cols[counted][i]) if counted else False)
+                if tag:
+                    tags.append(cols[tag][i])
                 size += len(text or "")
                 lengths.append(0 if not text else len(text) if text.isascii() else len(text.encode("utf-8", "surrogatepass")))
                 if size >= BLOCK_BYTES:
                     yield from close()
                     made += 1
-                    words, ids, seqs, flags, lengths, size = Numbering(), [], [], [], [], 0
+                    words, ids, seqs, flags, lengths, tags, size = Numbering(), [], [], [], [], [], 0
         if ids:
             yield from close()
 
-    return docs.select("doc_id", "text", *[counted] * bool(counted)).mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text", *[c for c in (counted, tag) if c]).mapInArrow(run, SCHEMA)
 
 
 def each_word(blocks_: DataFrame, answer: Callable, summary: Callable[[], bytes] | None = None) -> DataFrame:
@@ -133,6 +136,11 @@ def places_of(data: bytes) -> np.ndarray:
     return np.cumsum(unpack_places(data), dtype=np.int64)
 
 
-def each_block(answered: DataFrame, finish: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
-    """All rows of a block meet again: one with its documents, the others with the answers for its words."""
-    return answered.drop("key").groupBy("block").applyInArrow(finish, schema)
+def each_block(answered: DataFrame, finish: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """All rows of a block meet again: one with its documents, the others with the answers for its words. ``finish`` makes
+    the block's result in batches, so that it is never whole in memory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from finish(pa.Table.from_batches(batches))
+
+    return answered.drop("key").groupBy("block").applyInArrow(run, schema)
