@@ -129,11 +129,26 @@ def test_ngram_join_edges(spark):
     assert ngram_join.near_components(empty(spark)).count() == 0
 
 
-def test_large_group_needs_few_pairs(spark):
-    base = text(120, 9)
-    rows = [(i, edited(base, 2, i), "", "", 0) for i in range(300)]
-    got = {r.component_id for r in ngram_join.near_components(spark.createDataFrame(rows, DOCS)).collect()}
-    assert got == {c for _, _, c in brute_components(rows)}
+def test_large_group_needs_few_pairs(spark, monkeypatch):
+    """A group of near copies is verified by pairs in proportion to its size."""
+    base, seen = text(120, 9), []
+    plain = ngram_join.verified
+    monkeypatch.setattr(ngram_join, "verified", lambda pairs, *a: (seen.append(pairs.count()), plain(pairs, *a))[1])
+    for n in (300, 600, 1200):
+        rows = [(i, edited(base, 1 + i % 3, i), "", "", 0) for i in range(n)]
+        seen.clear()
+        got = {r.component_id for r in ngram_join.near_components(spark.createDataFrame(rows, DOCS)).collect()}
+        assert sum(seen) < 12 * n
+        if n == 300:
+            assert got == {c for _, _, c in brute_components(rows)}
+
+
+def test_repeated_ids_long_texts_and_clashing_columns(spark):
+    long = text(6000, 77)
+    rows = [(1, long, "x", 1), (2, edited(long, 20, 3), "x", 1), (3, text(50, 1), "x", 1), (3, long, "x", 1), (4, text(50, 1), "x", 1), (5, "a b", "x", 1), (6, "A  b", "x", 1)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, cls string, shingle long")
+    got = {(r.doc_id, r.component_id) for r in ngram_join.near_components(d).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 5), (6, 5)}
 
 
 def test_components_by_stars(spark, monkeypatch):
@@ -234,16 +249,35 @@ def test_lm_mixer_learns_from_all_blocks(spark, monkeypatch):
 # 5: mixing ----------------------------------------------------------------------------------------------
 
 
-def test_pfair_deviation_is_below_one():
-    for w in ({"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 1, "b": 1, "c": 1, "d": 4}, {"x": 1}, {None: 3, "y": 0.001}):
-        slots = mixing.shares(w, 400)
-        order = mixing.schedule(slots)
-        n = sum(slots.values())
-        done = collections.Counter()
-        for t, s in enumerate(order, 1):
-            done[s] += 1
-            assert all(abs(done[k] - t * c / n) < 1 for k, c in slots.items())
-        assert done == slots
+def test_periods_are_earliest_deadline_first():
+    """Against an interleaving by brute force: at each slot the released half block that is due first."""
+    for shares in ([5, 3, 2], [1, 1, 1, 4], [7], [40, 1, 1, 1, 9], [1] * 50):
+        total, at = sum(shares), mixing.slots_of(shares, shares)
+        given = {int(t): (i, j) for i, v in enumerate(at) for j, t in enumerate(v, 1)}
+        todo = {(i, j) for i, q in enumerate(shares) for j in range(1, q + 1)}
+        assert sorted(given) == list(range(total))
+        for t in range(total):
+            free = [(-(-j * total // shares[i]), -((j - 1) * total // shares[i]), i, j) for i, j in todo if (j - 1) * total // shares[i] <= t]
+            assert given[t] == min(free)[2:]
+            todo.remove(given[t])
+
+
+def test_pfair_keeps_given_weights_for_ever(spark):
+    """Less than one block, two slots, from the weights as given, over many periods: skewed, tiny, irrational and very many ones."""
+    hot = {f"s{i}": math.sqrt(n) for i, n in enumerate([33_000] + [3_500] * 19)}
+    for w, n in ((hot, 40_000), ({"a": 1, "b": 1e-3, None: 0.3}, 60_000), ({f"t{i}": 1 + i % 7 for i in range(5000)}, 80_000), ({"one": 2}, 9000), ({"big": 1000} | {f"u{i}": 1 for i in range(4096)}, 20_000)):
+        exact, total = mixing.parts(w), sum(w.values())
+        names = list(w)
+        weights = [exact[s] for s in names]
+        slots = collections.defaultdict(list)
+        for r in mixing.schedule(spark, weights, [math.ceil(n * w[s] / total) for s in names]).orderBy("slot").collect():
+            slots[names[r["of"]]].append((r.slot, r.half))
+        assert len({t for v in slots.values() for t, _ in v}) == sum(map(len, slots.values()))
+        for s in names:
+            at = np.array([t for t, _ in slots[s]])
+            assert [h for _, h in slots[s]] == list(range(1, len(at) + 1))
+            j = np.arange(1, len(at) + 1)
+            assert (np.abs(j - (at + 1) * w[s] / total) < 2).all() and (np.abs(j - 1 - at * w[s] / total) < 2).all()
 
 
 def test_positions_hold_every_document(spark, docs):
@@ -258,16 +292,12 @@ def test_positions_hold_every_document(spark, docs):
     assert mixing.positions(empty(spark)).count() == 0
 
 
-def test_pfair_keeps_given_weights_for_ever():
-    """Against the weights as given, over many times 4096 slots: skewed, tiny and irrational ones."""
-    hot = {f"s{i}": math.sqrt(n) for i, n in enumerate([33_000] + [3_500] * 19)}
-    for w, n in ((hot, 40_000), ({"a": 1, "b": 1e-5, None: 0.3}, 120_000), ({f"t{i}": 1 + i % 7 for i in range(5000)}, 20_000)):
-        total = sum(w.values())
-        at = mixing.slots_of(mixing.parts(w), {s: math.ceil(n * v / total) + 1 for s, v in w.items()})
-        assert len(np.unique(np.concatenate(list(at.values())))) == sum(map(len, at.values()))
-        for s, slots in at.items():
-            j, slots = np.arange(1, len(slots) + 1), slots
-            assert (np.abs(j - (slots + 1) * w[s] / total) < 1 + 1e-6).all() and (np.abs(j - 1 - slots * w[s] / total) < 1 + 1e-6).all()
+def test_mixing_with_clashing_columns_and_repeats(spark):
+    rows = [(i % 70, f"t{i}", f"s{i % 3}", "x", i, i) for i in range(100)] + [(None, None, None, "y", 1, 2)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, slot string, place long, nr int")
+    out = mixing.mix(d, block_docs=4)
+    assert out.columns == d.columns and sorted(map(tuple, out.collect()), key=str) == sorted(rows, key=str)
+    assert mixing.positions(d).count() == 101
 
 
 # 6: spot signatures ---------------------------------------------------------------------------------
@@ -336,6 +366,15 @@ def test_warc_round_trip(spark):
     assert got == want
 
 
+def test_warc_rolls_archives(spark):
+    d = spark.createDataFrame([(i, f"http://h/{i}", f"<p>{i} " + text(60, i) + "</p>") for i in range(80)] + [(100 + i, None, "<p>" + "same " * 40 + "</p>") for i in range(40)], "page_id long, url string, html string").coalesce(1)
+    path = fresh_path(spark, "warc")
+    warc.write_archives(d, path, archive_bytes=2000)
+    assert spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).count() > 4
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.read_archives(spark, path).collect()}
+    assert got == {i: ("response", None) for i in range(80)} | {100: ("response", None)} | {100 + i: ("revisit", 100) for i in range(1, 40)}
+
+
 def test_warc_empty(spark):
     path = fresh_path(spark, "warc")
     warc.write_archives(empty(spark, PAGES), path)
@@ -409,6 +448,13 @@ def test_html_article():
     assert html.main_text(page(2, f"<article><p>{long}</p></article>")) == long
 
 
+def test_html_attributes_are_read_one_after_the_other():
+    marks = ("title='the hidden gem'", 'aria-hidden="false"', 'data-id="comments"', "", 'data-role=navigation', 'class="section-header"', "alt=\"class='ad'\"", 'id="share-price-history"', "data-class='menu'")
+    body = "".join(f"<p {m}>par {i}</p>" for i, m in enumerate(marks))
+    assert html.main_text(f"<article>{body}<p class='x ad'>no</p><p hidden>no</p><p HIDDEN=''>no</p><div id=comments>no</div></article>") == " ".join(f"par {i}" for i in range(len(marks)))
+    assert html.marks_of("CLASS=a class=b id='x y' hidden") == {"class": "a", "id": "x y", "hidden": ""}
+
+
 def test_html_templates_find_slots_without_articles(spark):
     rows = [(i, f"http://h.example/{i}", page(i, f"<div class='top'><span>Site name</span></div><div class='body-text'><p>{text(30, i)}</p><p>{text(20, i + 500)}</p></div>"), "x") for i in range(12)]
     rows += [(50, None, None, "x"), (51, "http://one.example/", page(51, "<article><p>alone</p></article>"), "x"), (52, "bad url", "", "x"), (0, "http://h.example/0", rows[0][2], "x")]
@@ -439,8 +485,37 @@ def test_licenses(spark):
     assert out[5].own == "MIT" and not out[5].declares and out[6].inherited is None and out[7].inherited is None and out[8].own is None and out[8].inherited == "MIT"
 
 
+def test_wrapped_licence_texts_declare(spark):
+    wrapped = lambda t: "\n".join(t[i : i + 70] for i in range(0, len(t), 70))
+    rows = [(i, f"{n}/sub/readme", wrapped("Copyright (c) 1999 A. Person\n\n" + t), "x") for i, (n, t) in enumerate(sorted(licenses.BODIES.items()))]
+    rows += [(100 + i, f"{n}/sub/deep/code", "plain words", "x") for i, n in enumerate(sorted(licenses.BODIES))]
+    rows += [(103, "MIT/sub/deep/code", "plain words", "x"), (300, None, None, "x"), (301, "x/y", "", "x"), (302, "x/z", "word " * 30_000 + "licensed under the MIT License.", "x")]
+    got = collections.defaultdict(list)
+    for r in licenses.inherit(licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string, own string"))).collect():
+        got[r.doc_id].append(r)
+    for i, n in enumerate(sorted(licenses.BODIES)):
+        assert got[i][0].own == n and got[i][0].declares and {(r.inherited, r.from_dir) for r in got[100 + i]} == {(n, f"{n}/sub")}
+    assert len(got[103]) == 2 and got[300][0].inherited is None and got[301][0].own is None and got[302][0].own is None
+    assert licenses.inherit(licenses.scan(empty(spark, "doc_id long, path string, text string"))).count() == 0
+
+
+def test_cosine_is_that_of_brute_force():
+    s = licenses.Scanner(licenses.TEMPLATES, licenses.BODIES)
+    r = random.Random(5)
+    vocabulary = sorted({w for _, words in s.parts for w in words if " " not in w}) + ["other", "thing"]
+    for _ in range(60):
+        t = " ".join(r.choice(vocabulary) for _ in range(r.randint(1, 40)))
+        weights = lambda c: {w: (1 + math.log(n)) * s.idf.get(w, s.unseen) for w, n in c.items()}
+        v = weights(licenses._words(t))
+        near = []
+        for name, words in s.parts:
+            u = weights(words)
+            near.append((-round(sum(x * u.get(w, 0) for w, x in v.items()) / math.sqrt(sum(x * x for x in v.values()) * sum(x * x for x in u.values())), 9), name))
+        assert round(s.best(t)[1], 9) == -min(near)[0]
+
+
 def test_license_templates_find_themselves():
-    s = licenses.Scanner(licenses.TEMPLATES)
+    s = licenses.Scanner(licenses.TEMPLATES, licenses.BODIES)
     for name, t in licenses.TEMPLATES.items():
         assert s.scan(t)[0] == name
 
@@ -455,7 +530,7 @@ def test_pipeline_stages(spark, tmp_path):
     for i in range(60):
         rows.append((3000 + i, text(30, 9000 + i) + (" scumbagzz " if i % 3 == 0 else ""), "en", "t", 1))
     d = str(tmp_path)
-    spark.createDataFrame(rows, DOCS).withColumn("component_id", F.lit("clash")).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame(rows, DOCS).withColumns({c: F.lit("clash") for c in ("component_id", "toxicity", "__toxicity", "slot", "position", "row")}).write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([(3000 + i, 1, int(i % 3 == 0)) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     docs = spark.read.parquet(f"{d}/documents.parquet")
     kept = cp.drop_toxic(spark, docs, d)
@@ -466,6 +541,12 @@ def test_pipeline_stages(spark, tmp_path):
     comp = {(i, c) for i, _, c in brute_components(rows)}
     assert one.columns == docs.columns and sorted(r.doc_id for r in one.collect()) == sorted(i for i, c in comp if i == c)
     out = cp.run(spark, d)
+    places = sorted((r.position, r.doc_id) for r in out.collect())
+    assert [p for p, _ in places] == list(range(len(places)))
+    mixed = spark.read.parquet(f"{d}/documents.parquet").where(F.col("doc_id").isin([i for _, i in places if i is not None])).dropDuplicates(["doc_id"])
+    order = {r.doc_id: (r.slot, r.place) for r in mixing.positions(mixed).collect()}
+    if len(order) == len(places):
+        assert [order[i] for _, i in places] == sorted(order.values())
     assert out.count() == len({i for i, _, c in brute_components([r for r in rows if r[0] in ids]) if i == c})
 
 
