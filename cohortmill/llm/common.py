@@ -36,6 +36,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a table made by ``materialise``, once nothing will read it."""
+    jvm = df.sparkSession.sparkContext._jvm
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -110,5 +118,27 @@ def unpack_words(data: bytes) -> list[bytes]:
     return [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
 
 
+def pack_columns(*columns: np.ndarray) -> bytes:
+    """Columns of as many unsigned integers each, byte planes apart, compressed."""
+    out = [np.uint32(len(columns[0])).tobytes()]
+    for c in columns:
+        v = np.ascontiguousarray(c, "<u8")
+        width = max(1, (int(v.max()).bit_length() + 7) // 8) if len(v) else 1
+        out += [bytes([width]), np.ascontiguousarray(v.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()]
+    return zstandard.ZstdCompressor(1).compress(b"".join(out))
+
+
+def unpack_columns(data: bytes) -> list[np.ndarray]:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    n, at, out = int(raw[:4].view("<u4")[0]), 4, []
+    while at < len(raw):
+        width = int(raw[at])
+        v = np.zeros((n, 8), np.uint8)
+        v[:, :width] = raw[at + 1 : at + 1 + n * width].reshape(width, n).T
+        out.append(v.view("<u8").ravel())
+        at += 1 + n * width
+    return out
+
+
 def record_batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, pack_columns, table, unpack_columns
 from .components import components
 from .shingles import shingle_set
 from .wordblocks import bucket_count
@@ -46,28 +46,6 @@ def class_id(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little") >> 1
 
 
-def pack_columns(*columns: np.ndarray) -> bytes:
-    """Columns of as many unsigned integers each, byte planes apart, compressed."""
-    out = [np.uint32(len(columns[0])).tobytes()]
-    for c in columns:
-        v = np.ascontiguousarray(c, "<u8")
-        width = max(1, (int(v.max()).bit_length() + 7) // 8) if len(v) else 1
-        out += [bytes([width]), np.ascontiguousarray(v.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()]
-    return zstandard.ZstdCompressor(1).compress(b"".join(out))
-
-
-def unpack_columns(data: bytes) -> list[np.ndarray]:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    n, at, out = int(raw[:4].view("<u4")[0]), 4, []
-    while at < len(raw):
-        width = int(raw[at])
-        v = np.zeros((n, 8), np.uint8)
-        v[:, :width] = raw[at + 1 : at + 1 + n * width].reshape(width, n).T
-        out.append(v.view("<u8").ravel())
-        at += 1 + n * width
-    return out
-
-
 _SENT = "key long, block long, payload binary, doc_ids array<long>, sizes array<int>, classes array<long>"
 _ARROW = pa.schema([("key", pa.int64()), ("block", pa.int64()), ("payload", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("classes", pa.list_(pa.int64()))])
 
