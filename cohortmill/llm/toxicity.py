@@ -1,10 +1,10 @@
 """Toxicity by weak supervision.
 
-Voters are lexicons and patterns mined from labelled rows: words and word beginnings that mark one
-class, in bands of strength, each voting when a text holds as many of them as the voter asks for; a text
-that holds none draws votes for the clean class. A generative label model (a latent class with two
+Voters are lexicons, patterns and signs of clean texts. Lexicons are mined from labelled rows: words and word beginnings that mark the toxic
+class, in bands of strength; a voter fires when a text holds as many of them as it asks for. Patterns look for shouting, exclaiming, masked, drawn-out and
+spaced-out words, whatever the words. Two voters fire on texts that hold no strong entry, and no entry at all. A generative label model (a latent class with two
 states) estimates by expectation maximisation how often each voter fires in either class, starting from the
-labelled rows; the voters' correlations, given the class, discount those that repeat each other. A
+labelled rows; labels keep a share in these estimates, so that the classes stay what the labels mean, and do not vote themselves. The voters' correlations, given the class, discount those that repeat each other. A
 linear classifier over the lexicon's features and the votes is then trained on the posterior labels
 and scores every text. Scoring is one pass over the documents without a shuffle.
 
@@ -13,7 +13,8 @@ their id; model, lexicon and votes are bounded by parameters. An entry must stan
 texts, told apart by the smallest hash of their words, so that words which only copies of one text share do not count. Labels, lang, source and doc_id are no
 inputs of a score. Null text is empty. A null or empty text gets the score of a text without
 features. Null or conflicting labels: null ones teach nothing, repeated ones count each. Without labels of both classes every
-score is the prior, 0 where there is none. Extra columns are not read.
+score is the prior, 0 where there is none. Very long texts are scored whole; equal texts have equal scores, rows that repeat are scored each. An empty table gives no rows. Extra columns
+are not read; a column of the score's name gives way.
 """
 
 from __future__ import annotations
@@ -32,9 +33,17 @@ from .common import fold, materialise, table
 SAMPLE_ROWS, LEXICON, LEAST_ROWS, LEAST_FAMILIES = 24_000, 20_000, 4, 4
 #: Letters of word beginnings; log-odds from which bands begin; numbers of entries that voters ask for.
 BEGINNINGS, BANDS, ASKS = (4, 5, 6, 7), (1.5, 3.0, 4.5), (1, 2, 4)
-#: Log-odds with which a row's label votes beside the lexicons.
-TRUST = 4.0
-
+#: Share of the labels in the estimates of the voters' rates; power of a voter's summed correlations that divides its vote (1: copies count as one).
+ANCHOR, SHARED = 0.5, 0.8
+
+# Patterns that voters look for, whatever the words; each asks for so many matches.
+PATTERNS = (
+    ("shouting", re.compile(r"\b[A-Z]{4,}\b"), 2),
+    ("exclaiming", re.compile(r"[!?]{2,}"), 1),
+    ("masked", re.compile(r"[A-Za-z][0-9@$*#]+[A-Za-z]"), 1),
+    ("drawn out", re.compile(r"([A-Za-z])\1{3,}"), 1),
+    ("spaced out", re.compile(r"\b(?:[A-Za-z][ .-]){4,}[A-Za-z]\b"), 1),
+)
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -58,8 +67,19 @@ def found(text: str, lexicon: dict[str, int]) -> list[int]:
     return sorted(hits)
 
 
+def observed(text: str, lexicon: dict[str, int]) -> list[int]:
+    """The lexicon's entries and, from LEXICON on, the patterns that a text holds."""
+    fired = []
+    for i, (_, pattern, asked) in enumerate(PATTERNS):
+        matches = pattern.finditer(text)
+        if all(next(matches, None) for _ in range(asked)):
+            fired.append(LEXICON + i)
+    return found(text, lexicon) + fired
+
+
 class Model:
-    """Lexicon, voters, label model and classifier."""
+    """Lexicon, voters, label model and classifier. Voters: lexicons by kind, strength and number of entries asked for; patterns; and, for the clean class, texts
+    that hold no strong entry, and no entry at all."""
 
     def __init__(self, lexicon: dict[str, int], odds: np.ndarray, prior: float):
         self.lexicon, self.odds, self.prior = lexicon, odds, prior
@@ -67,18 +87,21 @@ class Model:
         for k, i in lexicon.items():
             self.words[i] = k[0] == "="
         self.voters = [(kind, band, ask) for kind in (True, False) for band in BANDS for ask in ASKS]
-        self.w = np.zeros(len(odds) + len(self.voters) + 1)
+        self.w = np.zeros(len(odds) + len(self.voters) + len(PATTERNS) + 2 + 1)
 
     def votes(self, hits: list[int]) -> np.ndarray:
-        """1 where a voter finds enough toxic entries, else 0."""
+        """1 where a voter fires, else 0."""
         h = np.asarray(hits, np.int64)
+        fired = np.isin(LEXICON + np.arange(len(PATTERNS)), h)
+        h = h[h < LEXICON]
         odds, word = self.odds[h], self.words[h]
-        return np.array([float(((odds >= band) & (word == kind)).sum() >= ask) for kind, band, ask in self.voters])
+        lexicons = [((odds >= band) & (word == kind)).sum() >= ask for kind, band, ask in self.voters]
+        return np.array([*lexicons, *fired, not (odds >= BANDS[1]).any(), not len(h)], float)
 
     def row(self, hits: list[int]) -> tuple[np.ndarray, np.ndarray]:
         v = self.votes(hits)
         n = len(self.odds)
-        at = np.concatenate([np.asarray(hits, np.int64), n + np.flatnonzero(v), [n + len(v)]])
+        at = np.concatenate([[h for h in hits if h < LEXICON], n + np.flatnonzero(v), [n + len(v)]]).astype(np.int64)
         return at, np.ones(len(at))
 
     def score(self, hits: list[int]) -> float:
@@ -86,23 +109,25 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.w[at] @ x, -40, 40))))
 
 
-def label_model(votes: np.ndarray, truth: np.ndarray, rounds: int = 25, trust: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(posterior, rate of firing by class [2, voters], discount of each voter) by expectation maximisation. ``truth`` starts it, and votes with log-odds ``trust``."""
+def label_model(votes: np.ndarray, truth: np.ndarray, rounds: int = 25, anchor: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(posterior, rate of firing by class [2, voters], discount of each voter) by expectation maximisation. ``truth`` starts it: from it the voters' first rates come, and it keeps
+    the share ``anchor`` of them; it does not vote."""
     post = np.clip(truth.astype(float), 0.02, 0.98)
     discount = np.ones(votes.shape[1])
     rate = np.zeros((2, votes.shape[1]))
     for i in range(rounds):
-        side = np.stack([1 - post, post])
+        side = anchor * np.clip(truth, 0.02, 0.98) + (1 - anchor) * post
+        side = np.stack([1 - side, side])
         rate = np.clip((side @ votes + 0.5) / (side.sum(1)[:, None] + 1), 1e-4, 1 - 1e-4)
         if i % 5 == 0:
             # Correlation of the votes that is left once the class is known.
             rest = votes - side.T @ rate
             norm = np.sqrt((rest**2).sum(0)) + 1e-9
             corr = np.abs((rest.T @ rest) / norm[:, None] / norm[None, :])
-            discount = 1 / np.maximum(corr.sum(1), 1)
+            discount = np.maximum(corr.sum(1), 1) ** -SHARED
         prior = np.clip(post.mean(), 1e-4, 1 - 1e-4)
         on, off = np.log(rate[1] / rate[0]), np.log((1 - rate[1]) / (1 - rate[0]))
-        logit = trust * (2 * truth - 1) + np.log(prior / (1 - prior)) + (votes * on + (1 - votes) * off) @ discount
+        logit = np.log(prior / (1 - prior)) + (votes * on + (1 - votes) * off) @ discount
         post = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
     return post, rate, discount
 
@@ -160,11 +185,11 @@ def fit(docs: DataFrame, labels: DataFrame, learn=None) -> Model | None:
 
     def look(batches):
         for batch in batches:
-            yield pa.record_batch([pa.array([found(t, shared.value) for t in batch.column(0).to_pylist()], pa.list_(pa.int32())), batch.column(1)], names=["hits", "toxic"])
+            yield pa.record_batch([pa.array([observed(t, shared.value) for t in batch.column(0).to_pylist()], pa.list_(pa.int32())), batch.column(1)], names=["hits", "toxic"])
 
     seen = known.mapInArrow(look, "hits array<int>, toxic int").collect()  # SAMPLE_ROWS rows, about, of small integers
     hits, truth = [r.hits for r in seen], np.array([float(r.toxic > 0) for r in seen])
-    post, _, _ = label_model(np.stack([model.votes(h) for h in hits]), truth, trust=TRUST)
+    post, _, _ = label_model(np.stack([model.votes(h) for h in hits]), truth, anchor=ANCHOR)
     _train_linear(model, hits, post)
     return model
 
@@ -179,7 +204,7 @@ def scored(docs: DataFrame, model: Model | None, name: str = "toxicity") -> Data
         m = shared.value
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            s = [0.0 if m is None else m.score(found(t or "", m.lexicon)) for t in texts]
+            s = [0.0 if m is None else m.score(observed(t or "", m.lexicon)) for t in texts]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64())], names=[*batch.schema.names, name])
 
     from pyspark.sql import types as T
