@@ -30,3 +30,17 @@ def band(bars: DataFrame, statements: DataFrame, shares: DataFrame, as_of: Colum
     note = F.when(F.col("n_months") < 2, "fewer than two months").when(F.col("covered") < 2, "fewer than two covered months").when(F.months_between("last", "first") < 12 * min_years - 1, "span too short").when(F.col("covered") / F.col("n_months") < 0.5, "coverage below half").when(F.date_diff(as_of, "last") > STALE_DAYS, "newest month is stale")
     j = a.join(p.select("ticker", "percentile"), "ticker", "left").withColumn("note", note)
     return j.select("ticker", F.when(F.col("note").isNull(), F.col("percentile")).alias("percentile"), F.when(F.col("note").isNull(), F.col("current")).alias("current"), "n_months", "covered", "note")
+
+
+def choose_basis(ebit: Column, net_income: Column, debt: Column, cash: Column, debt_now: Column, cash_now: Column) -> Column:
+    """struct(basis, net_debt_basis) from arrays of dated values: EBIT over enterprise value where EBIT and a net debt, dated or the latest, are known; else
+    price over net income; else null. A net debt that is not known is never taken for zero."""
+    some = lambda a: F.coalesce(F.size(F.filter(a, lambda v: v.isNotNull())) > 0, F.lit(False))
+    out = lambda b, n: F.struct(F.lit(b).cast("string").alias("basis"), F.lit(n).alias("net_debt_basis"))
+    dated, latest = some(debt) & some(cash), debt_now.isNotNull() & cash_now.isNotNull()
+    return F.when(some(ebit) & dated, out("ev_ebit", "asof")).when(some(ebit) & latest, out("ev_ebit", "latest")).when(some(net_income), out("pe", "")).otherwise(out(None, ""))
+
+
+def net_debt(basis: Column, debt_known: Column, cash_known: Column, debt_now: Column, cash_now: Column) -> Column:
+    """Debt less cash as known at a day (asof) or held at the latest figures (latest); null where either is not known."""
+    return F.when(basis == "asof", debt_known - cash_known).when(basis == "latest", debt_now - cash_now)

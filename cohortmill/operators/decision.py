@@ -21,12 +21,31 @@ def criterion_points(criterion: Column, passed: Column, observed: Column, thresh
     return F.when(passed.isNull(), 0.0).when(margin.isNull(), F.when(passed, weight).otherwise(-weight)).otherwise(weight * F.greatest(F.lit(-1.0), F.least(F.lit(1.0), margin)))
 
 
-def matrix(screen: DataFrame, weights: dict[str, float], gates: list[str], buy: float, sell: float, borderline: float = 0.1) -> DataFrame:
-    """ticker, score (null where a gate failed or could not be evaluated), verdict, borderline."""
-    w = F.broadcast(screen.sparkSession.createDataFrame(sorted(weights.items()), "criterion string, weight double"))
-    s = screen.join(w, "criterion", "left").withColumn("points", criterion_points(F.col("criterion"), F.col("passed"), F.col("observed"), F.col("threshold"), F.coalesce("weight", F.lit(0.0))))
+#: What a stance counts.
+STANCES = {"bullish": 1.0, "neutral": 0.0, "bearish": -1.0}
+
+
+def momentum_points(observed: Column, cap: float, weight: float) -> Column:
+    """The signed return held to [-cap, cap], times the weight; an unknown return is worth nothing."""
+    return F.coalesce(F.greatest(F.lit(-cap), F.least(F.lit(cap), observed)) * weight, F.lit(0.0))
+
+
+def stance_points(opinions: DataFrame, weight: float) -> DataFrame:
+    """(ticker, stance, confidence) -> ticker, stance_total: each stance times its confidence and the weight; one that is unknown counts nothing."""
+    n = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in STANCES.items() for x in kv]), F.lower("stance")), F.lit(0.0))
+    return opinions.groupBy("ticker").agg(F.sum(n * F.coalesce("confidence", F.lit(0.0)) * weight).alias("stance_total"))
+
+
+def matrix(screen: DataFrame, weights: dict[str, float], gates: list[str], buy: float, sell: float, borderline: float = 0.1, momentum: tuple[float, float] = (0.5, 0.0), opinions: DataFrame | None = None, stance_weight: float = 0.0) -> DataFrame:
+    """ticker, score (null where a gate failed or could not be evaluated), verdict, borderline. momentum: (cap, weight) of the signed return;
+    opinions: (ticker, stance, confidence) that tilt the score. Without opinions it is the matrix of the screen alone."""
+    w = F.broadcast(screen.sparkSession.createDataFrame(sorted(weights.items()), "criterion string, weight double"))  # a strategy's criteria
+    plain = criterion_points(F.col("criterion"), F.col("passed"), F.col("observed"), F.col("threshold"), F.coalesce("weight", F.lit(0.0)))
+    s = screen.join(w, "criterion", "left").withColumn("points", F.when(F.col("criterion") == "min_price_momentum", momentum_points(F.col("observed"), *momentum)).otherwise(plain))
     g = F.col("criterion").isin(*gates)
     a = s.groupBy("ticker").agg(F.sum("points").alias("total"), F.coalesce(F.bool_or(g & (F.col("passed") == F.lit(False))), F.lit(False)).alias("gated"), F.bool_or(g & F.col("passed").isNull()).alias("open"))
+    if opinions is not None:
+        a = a.join(stance_points(opinions, stance_weight), "ticker", "left").withColumn("total", F.col("total") + F.coalesce("stance_total", F.lit(0.0)))
     score = F.when(~F.col("gated") & ~F.col("open"), F.col("total"))
     v = F.when(F.col("gated"), "SELL").when(F.col("open"), "INSUFFICIENT").when(score >= buy, "BUY").when(score <= sell, "SELL").otherwise("HOLD")
     near = F.coalesce((F.abs(score - buy) <= borderline) | (F.abs(score - sell) <= borderline), F.lit(False))

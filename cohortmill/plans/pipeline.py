@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.factors import outcomes
@@ -81,3 +82,29 @@ def check(inputs: DataFrame, cohort: RankResult, strategy: RankStrategy, ticker:
     if strategy.screen:
         out["screen"] = run_screen(one, list(screens[strategy.screen].criteria))
     return out
+
+
+def shortlist(rows: DataFrame, runs_on: str, k: int = 0) -> DataFrame:
+    """The ranked names that a closer look is run on: all, the first ``k``, or those rated buy."""
+    live = rows.where("status = 'ranked'")
+    if runs_on == "all":
+        return live
+    return live.where(F.col("seq") <= k) if runs_on == "top_k" else live.where("verdict = 'buy'")
+
+
+def screen_ranking(inputs: DataFrame, strategy: ScreenStrategy, momentum: tuple[float, float] = (0.5, 0.0), key_fields: tuple[str, ...] = ("market_cap", "total_revenue", "operating_income")) -> DataFrame:
+    """ticker, verdict, score, gated, error of each name by its screen alone. A name without any statement is 'unknown' with an error."""
+    from ..operators.decision import matrix
+
+    known = F.coalesce(*[F.col(c).cast("string") for c in key_fields]).isNotNull()
+    m = matrix(run_screen(inputs, list(strategy.criteria)), strategy.weights, list(strategy.gating), strategy.buy, strategy.sell, momentum=momentum)
+    j = inputs.select("ticker", known.alias("known")).join(m, "ticker", "left")
+    return j.select("ticker", F.when(F.col("known"), F.col("verdict")).otherwise("unknown").alias("verdict"), F.when(F.col("known"), F.col("score")).alias("score"), (F.col("known") & F.col("score").isNull()).alias("gated"), F.when(~F.col("known"), "no fundamentals").alias("error"))
+
+
+def split_rankings(rankings: DataFrame) -> DataFrame:
+    """Adds part: scored, gated or other. Of the scored, the highest score comes first, ties by symbol; ``scored_at`` is the place from 1."""
+    part = F.when(F.col("gated"), "gated").when(F.col("error").isNotNull() | F.col("score").isNull(), "other").otherwise("scored")
+    r = rankings.withColumn("part", part)
+    place = F.row_number().over(W.partitionBy("part").orderBy(F.desc("score"), "ticker"))
+    return r.withColumn("scored_at", F.when(F.col("part") == "scored", place))

@@ -144,10 +144,12 @@ def figure_audit(spark, sf):
     return audit.audit(figures, calls).select(F.col("figure_id").alias("event_id"), "state")
 
 
-@query("""SELECT o_orderkey, round(o_totalprice, 1) = o_totalprice OR true AS exact_match, abs(round(o_totalprice, 0) - o_totalprice) <= 0.05 * abs(o_totalprice) AS rounded_match, false AS wrong_match FROM orders""")
+@query("""WITH v AS (SELECT o_orderkey, o_totalprice AS v, round_even(o_totalprice, 0) AS whole, o_totalprice + 0.5 AS off FROM orders),
+d AS (SELECT *, CASE WHEN abs(off - v) <= 0.05 * abs(v) THEN list_bool_or([abs(round_even(v * pow(10, i), 0) / pow(10, i) - off) < 1e-12 OR abs(floor(v * pow(10, i)) / pow(10, i) - off) < 1e-12 FOR i IN range(0, 13)]) ELSE false END AS chance FROM v)
+SELECT o_orderkey, v = v AS exact_match, abs(whole - v) <= 0.05 * abs(v) AS rounded_match, chance AS wrong_match FROM d""")
 def numbers_match(spark, sf):
     v = F.col("o_totalprice")
-    return table(spark, sf, "orders").select("o_orderkey", text.rounding_matches(v, v).alias("exact_match"), text.rounding_matches(F.rint(v), v).alias("rounded_match"), text.rounding_matches(v * 2 + 1, v).alias("wrong_match"))
+    return table(spark, sf, "orders").select("o_orderkey", text.rounding_matches(v, v).alias("exact_match"), text.rounding_matches(F.rint(v), v).alias("rounded_match"), text.rounding_matches(v + 0.5, v).alias("wrong_match"))
 
 
 @query(with_(INSTRUMENTS) + """SELECT ticker, list_filter([CASE WHEN abs(market_cap) / 1000 > 0.15 AND market_cap > 0 AND market_cap / 10000 > 0.15 THEN 'dividend_yield' END, CASE WHEN market_cap < 0 THEN 'market_cap' END, CASE WHEN abs(market_cap * 2) > 10000 THEN 'debt_to_equity' END, CASE WHEN market_cap / 50 > 100 THEN 'price_to_book' END, CASE WHEN abs(market_cap / 1000) > 3 THEN 'return_on_equity' END], lambda x: x IS NOT NULL) AS fields FROM instruments""")
@@ -638,15 +640,15 @@ def stability_modal(spark, sf):
     return s.select("ticker", "n", "modal", "modal_n", r("mean", 3).alias("mean"), r("sd", 3).alias("sd"), r("lowest").alias("lowest"), r("highest").alias("highest"), "label", "distribution")
 
 
-WEIGHTS = {"min_price_momentum": 1.0, "min_roic": 0.5, "max_debt_to_market_cap": 2.0}
+WEIGHTS = {"min_roic": 0.5, "max_debt_to_market_cap": 2.0}
 
 
-@query(SCREEN_CTES.rstrip() + """, pt AS (SELECT *, CASE criterion WHEN 'min_price_momentum' THEN 1.0 WHEN 'min_roic' THEN 0.5 WHEN 'max_debt_to_market_cap' THEN 2.0 ELSE 0.0 END AS w FROM sc),
-ps AS (SELECT ticker, criterion, passed, CASE WHEN passed IS NULL THEN 0.0 WHEN observed IS NULL OR threshold = 0 THEN CASE WHEN passed THEN w ELSE -w END ELSE w * greatest(-1.0, least(1.0, CASE WHEN criterion LIKE 'max~_%' ESCAPE '~' THEN -1.0 ELSE 1.0 END * (observed - threshold) / abs(threshold))) END AS points FROM pt),
+@query(SCREEN_CTES.rstrip() + """, pt AS (SELECT *, CASE criterion WHEN 'min_roic' THEN 0.5 WHEN 'max_debt_to_market_cap' THEN 2.0 ELSE 0.0 END AS w FROM sc),
+ps AS (SELECT ticker, criterion, passed, CASE WHEN criterion = 'min_price_momentum' THEN coalesce(greatest(-0.4, least(0.4, observed)) * 2, 0) WHEN passed IS NULL THEN 0.0 WHEN observed IS NULL OR threshold = 0 THEN CASE WHEN passed THEN w ELSE -w END ELSE w * greatest(-1.0, least(1.0, CASE WHEN criterion LIKE 'max~_%' ESCAPE '~' THEN -1.0 ELSE 1.0 END * (observed - threshold) / abs(threshold))) END AS points FROM pt),
 a AS (SELECT ticker, sum(points) AS s, coalesce(bool_or(criterion = 'min_market_cap' AND passed = false), false) AS gated, bool_or(criterion = 'min_market_cap' AND passed IS NULL) AS open FROM ps GROUP BY 1)
 SELECT ticker, CASE WHEN NOT gated AND NOT open THEN round(s, 6) END AS score, CASE WHEN gated THEN 'SELL' WHEN open THEN 'INSUFFICIENT' WHEN s >= 0.8 THEN 'BUY' WHEN s <= 0.2 THEN 'SELL' ELSE 'HOLD' END AS verdict FROM a""")
 def decision_matrix(spark, sf):
-    return decision.matrix(_screen(spark, sf), WEIGHTS, ["min_market_cap"], 0.8, 0.2).select("ticker", r("score").alias("score"), "verdict")
+    return decision.matrix(_screen(spark, sf), WEIGHTS, ["min_market_cap"], 0.8, 0.2, momentum=(0.4, 2.0)).select("ticker", r("score").alias("score"), "verdict")
 
 
 @query(SCREEN_CTES + "SELECT ticker, coalesce(list_sort(list(criterion) FILTER (passed = false AND criterion IN ('min_market_cap', 'min_roic'))), []) AS failed, coalesce(list_sort(list(criterion) FILTER (passed IS NULL AND criterion IN ('min_market_cap', 'min_roic'))), []) AS not_evaluated, CASE WHEN bool_or(passed = false AND criterion IN ('min_market_cap', 'min_roic')) THEN 'SELL' END AS ceiling FROM sc GROUP BY ticker")
@@ -747,9 +749,11 @@ def set_except(spark, sf):
     return table(spark, sf, "customer").select("c_custkey").subtract(table(spark, sf, "orders").where("o_orderstatus = 'P'").select("o_custkey"))
 
 
-@query()
+@query("SELECT count(DISTINCT l_suppkey) AS names, true AS close FROM lineitem")
 def approx_distinct_names(spark, sf):
-    return table(spark, sf, "lineitem").agg(F.approx_count_distinct("l_suppkey", 0.02).alias("names"))
+    """The exact count beside whether the sketch is within three times its error."""
+    both = table(spark, sf, "lineitem").agg(F.count_distinct("l_suppkey").alias("names"), F.approx_count_distinct("l_suppkey", 0.02).alias("about"))
+    return both.select("names", (F.abs(F.col("about") - F.col("names")) <= 0.06 * F.col("names")).alias("close"))
 
 
 @query("SELECT CAST(time_bucket(INTERVAL 1 HOUR, ts) AS TIMESTAMP) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
@@ -857,7 +861,7 @@ def horizon_months(spark, sf):
     return table(spark, sf, "orders").select("o_custkey", d.alias("start"), want.alias("want_end"), F.least(want, today).alias("ends"), (want > today).alias("partial"))
 
 
-@query()
+@query(_rank_sql(SIZE_ALL) + "SELECT ticker, CAST(i AS INT) AS i, CASE WHEN i = 0 THEN 'rank: cited ' || CAST(round_even(rm, 0) + 1 AS INT) || ', is ' || CAST(round_even(rm, 0) AS INT) END AS flag FROM rk, (VALUES (0), (1)) AS s(i)")
 def narration_check(spark, sf):
     """Each name's narrative cites its momentum rank one too high and its verdict rightly."""
     v = _values(spark, sf)
@@ -919,3 +923,6 @@ def ranked_table(spark, sf):
     v = _values(spark, sf)
     wide = rank.factor_ranks(v, RANK3).groupBy("ticker").pivot("factor", [s.name for s in RANK3]).agg(F.first(r("rank")))
     return wide.join(rank.rank_universe(v, RANK3).select("ticker", "position"), "ticker")
+
+
+from . import inventory  # noqa: E402, F401  its queries join these

@@ -9,6 +9,14 @@ from pyspark.sql import types as T
 from . import schemas
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder below the one the session names in ``spark.checkpoint.dir``, or below its warehouse."""
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/catalog-{uuid.uuid4().hex}"
+
+
 class Catalog:
     """Resolves table names to DataFrames below a folder of any store that Spark reads; a provider can be chosen for each kind of data."""
 
