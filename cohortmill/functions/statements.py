@@ -49,7 +49,7 @@ def growth_diverges(series: Column, years: int = 3) -> Column:
 
 def nopat_roic(operating_income: Column, tax: Column, pretax: Column, capital: Column) -> Column:
     """Operating income after the year's own tax rate, held to [0, 1], on capital; no usable rate is none."""
-    rate = F.coalesce(F.when(pretax != 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), tax / pretax))), F.lit(0.0))
+    rate = F.coalesce(F.when((pretax != 0) & tax.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), tax / pretax))), F.lit(0.0))
     return F.when(capital != 0, operating_income * (1 - rate) / capital)
 
 

@@ -119,7 +119,7 @@ def fscore_distinct_lines(spark, sf):
 
 
 @query(SCREEN_CTES.rstrip() + """, op AS (SELECT 'S' || (user_id % 100 + 1) AS ticker, sum(CASE event_type WHEN 'purchase' THEN 1.0 WHEN 'click' THEN -1.0 ELSE 0.0 END * CASE WHEN value IS NULL THEN 0 ELSE least(1.0, value / 500) END * 0.02) AS st FROM events GROUP BY 1),
-ps AS (SELECT ticker, criterion, passed, CASE WHEN criterion = 'min_price_momentum' THEN coalesce(greatest(-0.3, least(0.3, observed)) * 4, 0) WHEN passed IS NULL THEN 0.0 WHEN observed IS NULL OR threshold = 0 THEN CASE WHEN passed THEN w ELSE -w END ELSE w * greatest(-1.0, least(1.0, CASE WHEN criterion LIKE 'max~_%' ESCAPE '~' THEN -1.0 ELSE 1.0 END * (observed - threshold) / abs(threshold))) END AS points
+ps AS (SELECT ticker, criterion, passed, CASE WHEN criterion = 'min_price_momentum' THEN CASE WHEN observed IS NULL THEN 0.0 ELSE greatest(-0.3, least(0.3, observed)) * 4 END WHEN passed IS NULL THEN 0.0 WHEN observed IS NULL OR threshold = 0 THEN CASE WHEN passed THEN w ELSE -w END ELSE w * greatest(-1.0, least(1.0, CASE WHEN criterion LIKE 'max~_%' ESCAPE '~' THEN -1.0 ELSE 1.0 END * (observed - threshold) / abs(threshold))) END AS points
  FROM (SELECT *, CASE criterion WHEN 'min_roic' THEN 0.5 WHEN 'max_debt_to_market_cap' THEN 2.0 ELSE 0.0 END AS w FROM sc)),
 a AS (SELECT ticker, sum(points) AS s, coalesce(bool_or(criterion = 'min_market_cap' AND passed = false), false) AS gated, bool_or(criterion = 'min_market_cap' AND passed IS NULL) AS open FROM ps GROUP BY 1),
 z AS (SELECT a.ticker, gated, open, s + coalesce(st, 0) AS s FROM a LEFT JOIN op ON op.ticker = a.ticker)
@@ -132,13 +132,13 @@ def decision_matrix_full(spark, sf):
     return m.select("ticker", r("score").alias("score"), "verdict", "borderline")
 
 
-@query(SCREEN_CTES + "SELECT ticker, round(coalesce(greatest(-0.3, least(0.3, observed)) * 4, 0), 6) AS points FROM sc WHERE criterion = 'min_price_momentum'")
+@query(SCREEN_CTES + "SELECT ticker, round(CASE WHEN observed IS NULL THEN 0.0 ELSE greatest(-0.3, least(0.3, observed)) * 4 END, 6) AS points FROM sc WHERE criterion = 'min_price_momentum'")
 def momentum_points(spark, sf):
     return _screen(spark, sf).where("criterion = 'min_price_momentum'").select("ticker", r(decision.momentum_points(F.col("observed"), 0.3, 4.0)).alias("points"))
 
 
 ONE = ScreenStrategy("one_v1", (("min_market_cap", 2000.0), ("min_roic", 0.9), ("min_price_momentum", -0.1)), ("min_market_cap",), {"min_roic": 2.0}, 0.5, 0.0)
-ONE_SQL = SCREEN_CTES.rstrip() + """, ps AS (SELECT ticker, criterion, passed, CASE WHEN criterion = 'min_price_momentum' THEN coalesce(greatest(-0.5, least(0.5, observed)) * 1, 0) WHEN passed IS NULL OR criterion = 'min_market_cap' THEN 0.0 ELSE 2.0 * greatest(-1.0, least(1.0, (observed - threshold) / abs(threshold))) END AS points FROM sc WHERE criterion IN ('min_market_cap', 'min_roic', 'min_price_momentum')),
+ONE_SQL = SCREEN_CTES.rstrip() + """, ps AS (SELECT ticker, criterion, passed, CASE WHEN criterion = 'min_price_momentum' THEN CASE WHEN observed IS NULL THEN 0.0 ELSE greatest(-0.5, least(0.5, observed)) * 1 END WHEN passed IS NULL OR criterion = 'min_market_cap' THEN 0.0 ELSE 2.0 * greatest(-1.0, least(1.0, (observed - threshold) / abs(threshold))) END AS points FROM sc WHERE criterion IN ('min_market_cap', 'min_roic', 'min_price_momentum')),
 a AS (SELECT ticker, sum(points) AS s, coalesce(bool_or(criterion = 'min_market_cap' AND passed = false), false) AS gated, bool_or(criterion = 'min_market_cap' AND passed IS NULL) AS open FROM ps GROUP BY 1),
 rk AS (SELECT inp.ticker, ny IS NOT NULL OR market_cap IS NOT NULL AS known, CASE WHEN gated THEN 'SELL' WHEN open THEN 'INSUFFICIENT' WHEN s >= 0.5 THEN 'BUY' WHEN s <= 0 THEN 'SELL' ELSE 'HOLD' END AS verdict, CASE WHEN NOT gated AND NOT open THEN round(s, 6) END AS score, gated OR open AS gated FROM inp JOIN a ON a.ticker = inp.ticker)
 """

@@ -1,4 +1,5 @@
-"""As-of and range joins. The as-of forms are one union and one window by key: a single shuffle, whatever the number of dates."""
+"""As-of and range joins. The as-of forms are one union and one window by key: a single shuffle of the bars, whatever the number of dates. Only
+``up_to``, which returns every pair, is a nested loop."""
 
 from __future__ import annotations
 
@@ -33,10 +34,16 @@ def forward_return(bars: DataFrame, starts: DataFrame, max_stale_days: int = 7)
 
 
 def up_to(dates: DataFrame, bars: DataFrame) -> DataFrame:
-    """A range join: each date with all bars up to it. ``dates`` is a schedule of a backtest, one row for each rebalance."""
+    """A range join: each date with all bars up to it, as many rows as there are such pairs. ``dates`` is a schedule, broadcast: one small row for each date."""
     return bars.join(F.broadcast(dates), F.col("day") <= F.col("date"))
 
 
+def at_dates(dates: DataFrame, bars: DataFrame, value: str) -> DataFrame:
+    """(date) x (ticker, day, value): date, ticker, value of the last bar of each name up to each date. A name without one by then has no row."""
+    asked = bars.select("ticker").distinct().crossJoin(F.broadcast(dates.select("date")))  # a row for each result
+    return backward(asked, bars.select("ticker", "day", value), "ticker", "date", "day", value).where(F.col(value).isNotNull()).select("date", "ticker", value)
+
+
 def close_on_or_before(dates: DataFrame, bars: DataFrame) -> DataFrame:
-    """(date) x (ticker, day, close): the last close of each name up to each date; bars are read once, a range join with a schedule."""
-    return up_to(dates, bars).groupBy("date", "ticker").agg(F.max_by("close", "day").alias("close"))
+    """(date) x (ticker, day, close): the last close of each name up to each date."""
+    return at_dates(dates, bars, "close")

@@ -27,7 +27,7 @@ STANCES = {"bullish": 1.0, "neutral": 0.0, "bearish": -1.0}
 
 def momentum_points(observed: Column, cap: float, weight: float) -> Column:
     """The signed return held to [-cap, cap], times the weight; an unknown return is worth nothing."""
-    return F.coalesce(F.greatest(F.lit(-cap), F.least(F.lit(cap), observed)) * weight, F.lit(0.0))
+    return F.when(observed.isNull(), 0.0).otherwise(F.greatest(F.lit(-cap), F.least(F.lit(cap), observed)) * weight)  # least and greatest skip nulls
 
 
 def stance_points(opinions: DataFrame, weight: float) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators.asof import close_on_or_before, up_to
+from ..operators.asof import at_dates, close_on_or_before
 from ..operators.rank import Cut, FactorSpec, rank_universe
 
 
@@ -16,10 +16,9 @@ def rebalance_dates(spark, start: str, end: str, days: int) -> DataFrame:
 
 def price_factors(bars: DataFrame, dates: DataFrame, lookback: int) -> DataFrame:
     """(date, ticker, factor, value): the return over ``lookback`` bars as of each date; null where there are fewer."""
-    x = up_to(dates, bars.where("close > 0"))
-    x = x.withColumn("rn", F.row_number().over(W.partitionBy("date", "ticker").orderBy(F.desc("day")))).where(F.col("rn").isin(1, lookback + 1))
-    a = x.groupBy("date", "ticker").agg(F.max(F.when(F.col("rn") == 1, F.col("close"))).alias("p"), F.max(F.when(F.col("rn") == lookback + 1, F.col("close"))).alias("p0"))
-    return a.select("date", "ticker", F.lit("momentum").alias("factor"), (F.col("p") / F.col("p0") - 1).alias("value"))
+    before = F.lag("close", lookback).over(W.partitionBy("ticker").orderBy("day"))
+    x = at_dates(dates, bars.where("close > 0").withColumn("x", F.struct("close", before.alias("before"))), "x")
+    return x.select("date", "ticker", F.lit("momentum").alias("factor"), (F.col("x.close") / F.col("x.before") - 1).alias("value"))
 
 
 def periods(bars: DataFrame, dates: DataFrame, values: DataFrame, factors: list[FactorSpec], cut: Cut) -> DataFrame:

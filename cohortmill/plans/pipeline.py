@@ -21,6 +21,12 @@ class RankResult:
     rows: DataFrame
     factors: DataFrame
     screen: DataFrame | None
+    held: tuple = ()
+
+    def release(self) -> None:
+        """Gives back what was cached for the plans of this result."""
+        for df in self.held:
+            df.unpersist()
 
 
 def unrateable():
@@ -48,7 +54,7 @@ def rank(inputs: DataFrame, strategy: RankStrategy, screens: dict[str, ScreenStr
     rows = ranked.select("ticker", F.lit("ranked").alias("status"), none("reason", "string"), "seq", "position", "tied", "combined", "verdict")
     for other in (state.where("status is not null").select("ticker", "status", "reason"), gone.select("ticker", F.lit("excluded").alias("status"), "reason")):
         rows = rows.unionByName(other, allowMissingColumns=True)
-    return RankResult(rows, values, screen)
+    return RankResult(rows, values, screen, (base, values))
 
 
 def multi(inputs: DataFrame, strategies: list[RankStrategy]) -> DataFrame:

@@ -644,7 +644,7 @@ WEIGHTS = {"min_roic": 0.5, "max_debt_to_market_cap": 2.0}
 
 
 @query(SCREEN_CTES.rstrip() + """, pt AS (SELECT *, CASE criterion WHEN 'min_roic' THEN 0.5 WHEN 'max_debt_to_market_cap' THEN 2.0 ELSE 0.0 END AS w FROM sc),
-ps AS (SELECT ticker, criterion, passed, CASE WHEN criterion = 'min_price_momentum' THEN coalesce(greatest(-0.4, least(0.4, observed)) * 2, 0) WHEN passed IS NULL THEN 0.0 WHEN observed IS NULL OR threshold = 0 THEN CASE WHEN passed THEN w ELSE -w END ELSE w * greatest(-1.0, least(1.0, CASE WHEN criterion LIKE 'max~_%' ESCAPE '~' THEN -1.0 ELSE 1.0 END * (observed - threshold) / abs(threshold))) END AS points FROM pt),
+ps AS (SELECT ticker, criterion, passed, CASE WHEN criterion = 'min_price_momentum' THEN CASE WHEN observed IS NULL THEN 0.0 ELSE greatest(-0.4, least(0.4, observed)) * 2 END WHEN passed IS NULL THEN 0.0 WHEN observed IS NULL OR threshold = 0 THEN CASE WHEN passed THEN w ELSE -w END ELSE w * greatest(-1.0, least(1.0, CASE WHEN criterion LIKE 'max~_%' ESCAPE '~' THEN -1.0 ELSE 1.0 END * (observed - threshold) / abs(threshold))) END AS points FROM pt),
 a AS (SELECT ticker, sum(points) AS s, coalesce(bool_or(criterion = 'min_market_cap' AND passed = false), false) AS gated, bool_or(criterion = 'min_market_cap' AND passed IS NULL) AS open FROM ps GROUP BY 1)
 SELECT ticker, CASE WHEN NOT gated AND NOT open THEN round(s, 6) END AS score, CASE WHEN gated THEN 'SELL' WHEN open THEN 'INSUFFICIENT' WHEN s >= 0.8 THEN 'BUY' WHEN s <= 0.2 THEN 'SELL' ELSE 'HOLD' END AS verdict FROM a""")
 def decision_matrix(spark, sf):

@@ -342,3 +342,31 @@ def test_display_and_review(spark):
     assert y.a == ["veto: flip", "dissent", "confidence in the middle"] and y.b == []
     issues = spark.createDataFrame([("s", 1, "LATE"), ("s", 2, "FETCH_ERROR"), ("t", 1, "LATE")], "source string, ord int, reason string")
     assert review.banner(issues).first().banner == "s: FETCH_ERROR" and review.banner(issues.where("source = 't'")).first().banner is None
+
+
+def test_universes(spark):
+    from cohortmill.sources import universes as u
+
+    rows = [("energy_v1", "", None, None, [" shel.l ", "BP.L.", "BP.L", ""], None, None, False), ("energy_v1", None, None, None, ["XOM"], None, None, True), ("bare", None, None, None, ["A"], None, None, False), ("none_v1", None, None, None, ["", None], None, None, False), (None, None, None, None, ["A"], None, None, False), ("null_v2", None, None, None, None, None, None, False)]
+    m = spark.createDataFrame(rows, u.SCHEMA + ", local boolean")
+    assert {(r.id, r.display_name, tuple(r.tickers), r.local) for r in u.listed(m).collect()} == {("energy_v1", "energy_v1", ("SHEL.L", "BP.L"), False), ("energy_v1", "energy_v1", ("XOM",), True)}
+    assert [(r.ord, r.ticker) for r in u.by_id(m, "energy_v1").orderBy("ord").collect()] == [(0, "SHEL.L"), (1, "BP.L")]
+    with pytest.raises(Exception, match="unknown universe other_v1"):
+        u.by_id(m, "other_v1").collect()
+    with pytest.raises(ValueError, match="a list"):
+        u.resolve(spark, m)
+    one, two = (u.resolve(spark, m, t).first().universe_id for t in (["a", "B"], ["b", "A.", "a"]))
+    assert one == two and one.startswith("adhoc:") and u.resolve(spark, m, ["a"], "mine_v1").first().universe_id == "mine_v1"
+
+
+def test_matrix_follows_the_signed_return(spark):
+    rows = [("UP", 0, "min_price_momentum", True, 0.9, 0.0), ("DOWN", 0, "min_price_momentum", False, -0.2, 0.0), ("GAP", 0, "min_price_momentum", None, None, 0.0)]
+    s = spark.createDataFrame(rows, "ticker string, ord int, criterion string, passed boolean, observed double, threshold double")
+    op = spark.createDataFrame([("GAP", "bullish", 0.5), ("GAP", "bearish", 0.25), ("UP", "abstain", 1.0)], "ticker string, stance string, confidence double")
+    got = {r.ticker: (round(r.score, 9), r.verdict, r.borderline) for r in decision.matrix(s, {}, [], 1.0, -0.5, 0.1, momentum=(0.5, 4.0), opinions=op, stance_weight=2.0).collect()}
+    assert got == {"UP": (2.0, "BUY", False), "DOWN": (-0.8, "SELL", False), "GAP": (0.5, "HOLD", False)}
+
+
+def test_unknown_tax_is_no_rate(spark):
+    d = spark.createDataFrame([(100.0, None, 50.0, 1000.0), (100.0, 25.0, 50.0, 1000.0), (100.0, 25.0, None, 1000.0)], "oi double, tax double, pretax double, capital double")
+    assert [r.v for r in d.select(st.nopat_roic(*map(F.col, ("oi", "tax", "pretax", "capital"))).alias("v")).collect()] == [0.1, 0.05, 0.1]
