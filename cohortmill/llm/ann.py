@@ -75,7 +75,10 @@ def fit(vectors: DataFrame, n_cells: int | None, n_parts: int, k: int = 10, targ
     n = vectors.count()
     if not n:
         return None
-    rows = vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(max(1, n // SAMPLE_ROWS))) == 0).limit(SAMPLE_ROWS).collect() or vectors.limit(SAMPLE_ROWS).collect()
+    # SAMPLE_ROWS rows of the smallest hashes, wherever they stand in the table; the filter leaves little more than these to the sort.
+    h = F.xxhash64(F.lit(3), "vec_id")
+    few = vectors.where(F.pmod(h, F.lit(1 << 30)) < min(1.0, 1.2 * SAMPLE_ROWS / n + 1000 / n) * (1 << 30))
+    rows = few.orderBy(F.pmod(h, F.lit(1 << 30)), "vec_id").limit(SAMPLE_ROWS).collect()
     x = np.array([r.embedding for r in rows], np.float32)
     cells = kmeans(x, n_cells or max(1, min(4096, int(n**0.5))), seed)
     rest = x - cells[_nearest(x, cells)]

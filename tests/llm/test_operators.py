@@ -341,7 +341,11 @@ def test_edited_texts_and_likeness(spark, docs):
         h = len(t) // 2
         assert got[doc_id].n_chars == len(t)
         assert got[doc_id].edited_sha256 == hashlib.sha256((t[: len(t) - h] + nxt[:h]).encode()).hexdigest()
-        assert 0 <= got[doc_id].near_edited <= 1 and 0 <= got[doc_id].near_next <= 1
+        of = lambda f: set(f.split(",")) - {""}
+        like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+        mine = of(got[doc_id].fingerprint)
+        assert abs(got[doc_id].near_edited - like(mine, of(got[doc_id].edited_fingerprint))) < 1e-12
+        assert abs(got[doc_id].near_next - like(mine, of(got[rows[(i + 1) % len(rows)][0]].fingerprint))) < 1e-12
     assert got[206].fingerprint == got[207].fingerprint  # case and white space are not content
     assert got[200].fingerprint == "" and got[200].near_edited == 1.0
     single = spotsigs.edited_fingerprints(spark.createDataFrame([(5, "the cat sat on the mat with a hat", "", "", 0)], DOCS)).first()
@@ -588,6 +592,29 @@ def test_pipeline_on_empty_tables(spark, tmp_path):
     assert cp.run(spark, d).count() == 0
 
 
+def test_ann_repeated_ids_and_other_lengths(spark):
+    rows = [(i, [float(i), 1.0, 0.5]) for i in range(1, 60)] + [(100, [3.0, 1.0, 0.5]), (100, [4.0, 1.0, 0.5]), (200, [1.0]), (300, None), (400, [0.0, 0.0, 0.0]), (500, [float("nan"), 1.0, 1.0])]
+    d = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, score string")
+    got = ann.nearest(d, d.where("vec_id in (100, 200, 300, 400)"), 10).collect()
+    assert {r.query_id for r in got} == {100} and all(r.vec_id not in (200, 300, 400, 500) for r in got)
+
+
+CONTRACTS = {
+    "op1_": "doc_id bigint, held_out boolean, score double, predicted int", "op3_": "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double",
+    "op4_": "doc_id bigint, n_shingles bigint, component_id bigint", "op6_": "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double",
+    "op7_": "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint", "op8_": "query_id bigint, rank int, vec_id bigint, score double", "op9_": "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string", "op10_": "page_id bigint, url string, text string, n_chars bigint",
+}
+
+
+def test_columns_and_types_of_the_contracts(spark):
+    from cohortmill.llm.queries import QUERIES
+
+    for prefix, want in CONTRACTS.items():
+        (name,) = [n for n in QUERIES if n.startswith(prefix)]
+        got = dict(QUERIES[name](spark, "/root/testdata/sf0.001").dtypes)
+        assert dict(c.split() for c in want.split(", ")).items() <= got.items(), name
+
+
 def test_schema_of_queries_is_the_contract(spark):
     from cohortmill.llm.queries import QUERIES
 
