@@ -595,7 +595,8 @@ def test_pipeline_on_empty_tables(spark, tmp_path):
 def test_ann_repeated_ids_and_other_lengths(spark):
     rows = [(i, [float(i), 1.0, 0.5]) for i in range(1, 60)] + [(100, [3.0, 1.0, 0.5]), (100, [4.0, 1.0, 0.5]), (200, [1.0]), (300, None), (400, [0.0, 0.0, 0.0]), (500, [float("nan"), 1.0, 1.0])]
     d = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, score string")
-    got = ann.nearest(d, d.where("vec_id in (100, 200, 300, 400)"), 10).collect()
+    v = ann.usable(d)
+    got = ann.nearest(v, v.where("vec_id in (100, 200, 300, 400)")).collect()
     assert {r.query_id for r in got} == {100} and all(r.vec_id not in (200, 300, 400, 500) for r in got)
 
 
