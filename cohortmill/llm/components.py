@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 PART_LINKS = 500_000
 
@@ -43,7 +43,8 @@ def components(links: DataFrame) -> DataFrame:
     n = e.count()
     parts = max(1, -(-n // PART_LINKS))
     # One part must be one task, or links would be left between parts.
-    e = materialise((e.coalesce(1) if parts == 1 else e.repartition(parts, "u")).mapInArrow(contract, "u long, v long"), "links")
+    whole, e = e, materialise((e.coalesce(1) if parts == 1 else e.repartition(parts, "u")).mapInArrow(contract, "u long, v long"), "links")
+    discard(whole)
     before = None
     while parts > 1:
         both = e.union(e.select("v", "u"))
@@ -51,7 +52,8 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low)
-        e = materialise(small.where("u <> v").distinct(), "links")
+        old, e = e, materialise(small.where("u <> v").distinct(), "links")
+        discard(old)
         now = e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == before:
             break

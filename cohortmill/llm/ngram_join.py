@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, pack_columns, table, unpack_columns
+from .common import discard, materialise, pack_columns, table, unpack_columns
 from .components import components
 from .shingles import shingle_set
 from .wordblocks import bucket_count
@@ -309,7 +309,7 @@ def near_components(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR, d
     of = h.where("doc_id is not null and cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).union(longer.select("cls")).distinct()
     texts = materialise(packed_texts(docs, of, wanted, words), "texts")
-    links = materialise(verified(pairs, texts, words, num, den), "links")
+    first = links = materialise(verified(pairs, texts, words, num, den), "links")
     more = materialise(across(longer, components(links), num, den).join(pairs, ["a", "b"], "left_anti"), "more")
     links = links.union(verified(more, texts, words, num, den))
     # Rows that share an id are one document.
@@ -318,6 +318,8 @@ def near_components(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR, d
     final = components(links.union(twice).union(several))
     known = h.join(final.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     known = materialise(known, "components")
+    for done in (rows, made, pairs, texts, first, more, final):
+        discard(done)
     least = known.where("cls is not null and doc_id is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
     out = known.join(least, "component", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("cls").isNotNull(), F.col("least")), F.col("doc_id"))))
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
