@@ -23,7 +23,7 @@ def display_name(ticker: Column, name: Column) -> Column:
 
 
 def percent(v: Column, decimals: int = 1) -> Column:
-    return F.concat(F.format_string(f"%.{decimals}f", v * 100), F.lit("%"))
+    return F.when(v.isNotNull(), F.concat(F.format_string(f"%.{decimals}f", v * 100), F.lit("%")))
 
 
 def price(v: Column, decimals: int = 2) -> Column:
@@ -39,7 +39,7 @@ def large_currency(v: Column, code: Column) -> Column:
 
 def score_text(v: Column) -> Column:
     """11 or 11.5."""
-    return F.when(v == F.floor(v), F.format_string("%d", F.floor(v).cast("long"))).otherwise(F.format_string("%.1f", v))
+    return F.when(v == F.floor(v), F.format_string("%d", F.floor(v).cast("long"))).when(v.isNotNull(), F.format_string("%.1f", v))
 
 
 def position_text(position: Column, n: Column, tied: Column, score: Column) -> Column:

@@ -407,3 +407,93 @@ def cells_and_lines(spark, sf):
     k = F.col("s_suppkey")
     cells = F.when(k % 2 == 0, F.array(F.lit("x"), F.lit(""), F.lit("y"), F.lit(" "))).otherwise(F.array(F.lit("x"), F.lit(""), F.lit(" ")))
     return table(spark, sf, "supplier").select("s_suppkey", display.f_score_cell(F.when(k % 3 != 0, (k % 10).cast("int")), F.lit(4)).alias("cell"), r(display.run_cost(k)).alias("cost"), display.csv_line(k, F.lit('a"b'), F.lit(None)).alias("line"), display.trimmed(cells).alias("cells"))
+
+
+# Lines of reports ------------------------------------------------------------------------------------
+
+from .operators import lines  # noqa: E402
+
+
+@query(SCREEN_CTES + "SELECT ticker, criterion, CASE WHEN passed THEN 'PASS' WHEN NOT passed THEN 'FAIL' ELSE 'NOT-EVAL' END AS status FROM sc")
+def screen_rows(spark, sf):
+    return _screen(spark, sf).select("ticker", "criterion", lines.screen_status(F.col("passed")).alias("status"))
+
+
+@query("SELECT p_partkey, p_type AS reason FROM part")
+def abstention_reasons(spark, sf):
+    note = F.concat(F.lit("not evaluated: "), "p_type", F.lit(" — see the filing — twice"))
+    return table(spark, sf, "part").select("p_partkey", lines.abstention_reason(note).alias("reason"))
+
+
+@query("""WITH b AS (SELECT p_brand AS criterion, p_partkey AS ticker, CASE p_size % 4 WHEN 0 THEN 'fcf' WHEN 1 THEN 'eps' WHEN 2 THEN 'abstained' ELSE 'fcf' END AS basis FROM part),
+c AS (SELECT criterion, basis, count(*) AS n, list(ticker::VARCHAR ORDER BY ticker::VARCHAR) AS names FROM b GROUP BY 1, 2), t AS (SELECT *, sum(n) OVER (PARTITION BY criterion)::BIGINT AS total, CASE basis WHEN 'fcf' THEN 0 WHEN 'abstained' THEN 2 ELSE 1 END AS o FROM c)
+SELECT criterion, total, string_agg(basis || ' ' || n || CASE WHEN o = 2 THEN '' ELSE '/' || total END || CASE WHEN o = 0 OR n > 5 THEN '' ELSE ' (' || array_to_string(names, ', ') || ')' END, ' · ' ORDER BY o, basis) AS line FROM t GROUP BY 1, 2""")
+def screen_basis_lines(spark, sf):
+    k = F.col("p_size") % 4
+    return lines.basis_lines(table(spark, sf, "part").select(F.col("p_brand").alias("criterion"), F.col("p_partkey").cast("string").alias("ticker"), F.when(k == 1, "eps").when(k == 2, "abstained").otherwise("fcf").alias("basis")))
+
+
+@query(SCREEN_CTES.rstrip() + """, c AS (SELECT ticker, count(passed) AS done, coalesce(list_sort(list(criterion) FILTER (passed IS NULL)), []) AS open FROM sc GROUP BY 1)
+SELECT c.ticker, CASE WHEN currency = 'EUR' THEN 'DEGRADED' ELSE 'OK' END || ': ' || done || ' evaluated, ' || len(open) || ' abstained' || CASE WHEN len(open) > 0 THEN ' (' || array_to_string(open, ', ') || ')' ELSE '' END || '; fundamentals ' || CASE WHEN currency = 'EUR' THEN 'STALE' ELSE 'OK' END || ' / prices OK' AS line FROM c JOIN instruments i ON i.ticker = c.ticker""")
+def health_lines(spark, sf):
+    i = market.instruments(spark, sf)
+    s = i.select("ticker", F.lit("prices").alias("source"), F.lit("OK").alias("status")).unionByName(i.select("ticker", F.lit("fundamentals").alias("source"), F.when(F.col("currency") == "EUR", "STALE").otherwise("OK").alias("status")))
+    return lines.health_line(_screen(spark, sf), s)
+
+
+@query("SELECT o_orderkey, CASE WHEN o_totalprice > 200000 AND o_orderstatus = 'F' THEN '[CONTESTED: split, dissent]' WHEN o_totalprice > 200000 THEN '[CONTESTED: split]' WHEN o_orderstatus = 'F' THEN '[CONTESTED: dissent]' ELSE '' END AS label, strftime(o_orderdate, '%Y-%m-%dT%H-%M-%SZ') || '_magic_v1' AS run_id FROM orders")
+def contested_labels(spark, sf):
+    reasons = F.array_compact(F.array(F.when(F.col("o_totalprice") > 200000, "split"), F.when(F.col("o_orderstatus") == "F", "dissent")))
+    return table(spark, sf, "orders").select("o_orderkey", lines.contested_label(reasons).alias("label"), lines.run_id(F.col("o_orderdate"), F.lit("magic_v1")).alias("run_id"))
+
+
+from .queries import CONSENSUS, TERCILES  # noqa: E402
+
+
+@query(with_(CONSENSUS, TERCILES) + "SELECT ticker, ticker || ' | BUY | ' || printf('%.2f', mean + 0.001) || ' | ' || bucket || ' | ' || CASE bucket WHEN 'least' THEN 'DISAGREE' WHEN 'loved' THEN 'STICKY' ELSE '' END AS line FROM street")
+def divergence_lines(spark, sf):
+    x = market.consensus(spark, sf).select(F.lit("all").alias("run"), "ticker", "mean", F.lit("buy").alias("verdict"), F.lit(10.0).alias("price"), F.lit(9.0).alias("target"))
+    d = rank.divergence(x)
+    return d.select("ticker", lines.divergence_line(F.col("ticker"), F.upper("verdict"), F.col("mean") + 0.001, F.col("bucket"), F.col("disagree"), F.col("sticky")).alias("line"))
+
+
+@query("SELECT n_nationkey, 'b' || n_nationkey || ': n=' || n_nationkey || ' mean ' || CASE WHEN n_nationkey % 3 = 0 THEN '—' ELSE '+' || printf('%.1f', n_nationkey / 1000.0 * 100) || '%' END || ' vs all -1.5%' AS line, CASE WHEN n_nationkey % 4 = 0 THEN '—' WHEN n_nationkey % 4 = 1 THEN n_nationkey || '‡' ELSE n_nationkey::VARCHAR END AS rank_sum, CASE n_nationkey % 3 WHEN 0 THEN printf('%.1f', n_nationkey * 1.0) || ' of its own band' WHEN 1 THEN 'not evaluated: span too short' ELSE '—' END AS band, n_nationkey * 20 >= 250 AS history FROM nation")
+def report_cells(spark, sf):
+    k = F.col("n_nationkey")
+    return table(spark, sf, "nation").select(
+        "n_nationkey", lines.bucket_line(F.concat(F.lit("b"), k.cast("string")), k, F.when(k % 3 != 0, k / 1000), F.lit(-0.015)).alias("line"), lines.rank_sum_cell(F.when(k % 4 != 0, k), F.when(k % 4 == 1, 2).otherwise(3), 3).alias("rank_sum"),
+        lines.band_cell(F.when(k % 3 == 0, k * 1.0), F.when(k % 3 == 1, "span too short")).alias("band"), lines.history_present(k * 20).alias("history"),
+    )
+
+
+@query("SELECT 'a/b.py: path separator' AS fault UNION ALL SELECT 'either symbols or a universe'")
+def argument_faults(spark, sf):
+    t = spark.createDataFrame([(0, "AAPL"), (1, " a/b.py"), (2, "-x")], "ord int, token string")
+    return lines.argument_faults(t, None).unionByName(lines.argument_faults(t.where("ord = 0"), "growth_v1")).unionByName(lines.argument_faults(t.where("ord = 0"), None))
+
+
+@query("SELECT DISTINCT c_mktsegment AS universe_id FROM customer WHERE c_custkey % 2 = 0")
+def graded_universes(spark, sf):
+    c = table(spark, sf, "customer")
+    return lines.visible(lines.graded_ids(c.select(F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).otherwise(" ").alias("universe_id"))).withColumn("hidden", F.lit(None).cast("boolean")), False).select("universe_id")
+
+
+@query("SELECT event_type AS source, CASE event_id % 3 WHEN 0 THEN 'BUY' WHEN 1 THEN 'HOLD' ELSE 'NONE' END AS verdict, count(*) AS n, CASE WHEN event_id % 3 = 0 THEN list_sort(list(event_id)) ELSE [] END AS buys FROM events GROUP BY event_type, event_id % 3")
+def scout_digest(spark, sf):
+    k = F.col("event_id") % 3
+    return lines.digest(table(spark, sf, "events").select(F.col("event_type").alias("source"), F.col("event_id").alias("ticker"), F.when(k == 0, "BUY").when(k == 1, "HOLD").alias("verdict")))
+
+
+@query("SELECT DISTINCT o_custkey AS ticker, CASE WHEN c_custkey IS NOT NULL AND c_custkey % 3 = 0 THEN CAST(c_custkey % 10 AS INT) END AS score, CASE WHEN c_custkey IS NULL THEN '' WHEN c_custkey % 3 = 0 THEN (c_custkey % 10) || '/9' ELSE 'ABSTAIN' END AS cell FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_acctbal > 0")
+def scores_for_names(spark, sf):
+    c = table(spark, sf, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("ticker"), F.when(F.col("c_custkey") % 3 == 0, (F.col("c_custkey") % 10).cast("int")).alias("score"), F.lit(4).alias("computed"))
+    return lines.scores_for(table(spark, sf, "orders").select(F.col("o_custkey").alias("ticker")), c)
+
+
+@query("SELECT '2001-01-01' AS snapshot_date, 'magic_v1' AS strategy, 'u_v1' AS universe_id, s_name AS ticker, 'BUY' AS verdict FROM supplier")
+def snapshot_repair(spark, sf):
+    """Rows that were written as one quoted text among sound ones."""
+    s, none = table(spark, sf, "supplier"), F.lit(None).cast("string")
+    sound = F.col("s_suppkey") % 2 == 0
+    cells = {"snapshot_date": F.when(sound, "2001-01-01").otherwise(F.concat(F.lit("2001-01-01,magic_v1,u_v1,"), "s_name", F.lit(",BUY"))), "strategy": F.when(sound, "magic_v1"), "universe_id": F.when(sound, "u_v1"), "ticker": F.when(sound, F.col("s_name")), "verdict": F.when(sound, "BUY").otherwise(none)}
+    return lines.repaired(s.select(*[c.alias(n) for n, c in cells.items()]))

@@ -163,7 +163,7 @@ def run_screen(inputs: DataFrame, selections: list[tuple[str, float]], key: tupl
 
 def reason() -> Column:
     """Text of a confirmed fail."""
-    return F.concat(F.col("criterion"), F.lit(": "), F.coalesce(F.format_string("%.4f", "observed"), F.lit("fails")), F.lit(" against "), F.format_string("%.4f", "threshold"))
+    return F.concat(F.col("criterion"), F.lit(": "), F.when(F.col("observed").isNull(), "fails").otherwise(F.format_string("%.4f", "observed")), F.lit(" against "), F.format_string("%.4f", "threshold"))
 
 
 def evaluate(screen: DataFrame, key: tuple[str, ...] = ("ticker",)) -> DataFrame:
