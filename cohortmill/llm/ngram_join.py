@@ -37,8 +37,8 @@ from .wordblocks import bucket_count
 
 #: Threshold as a fraction; words of a shingle; hash ranges of the suffix filter, a bit each; shingles in a block.
 NUMERATOR, DENOMINATOR, WORDS, BITS, BLOCK_SHINGLES = 3, 4, 5, 512, 2_000_000
-#: Bits of a hash that the candidate search compares.
-SHORT = 48
+#: Bits of a hash that the candidate search compares; buckets, at most: 200 MB of text for each at 100 TB.
+SHORT, BUCKETS = 48, 1 << 19
 
 
 def class_id(s: np.ndarray) -> int:

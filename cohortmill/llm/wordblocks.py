@@ -31,10 +31,10 @@ SCHEMA = "key long, block long, bucket int, places binary, payload binary, doc_i
 ARROW = pa.schema([("key", pa.int64()), ("block", pa.int64()), ("bucket", pa.int32()), ("places", pa.binary()), ("payload", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("extra", pa.list_(pa.int64()))])
 
 
-def bucket_count(docs: DataFrame) -> int:
+def bucket_count(docs: DataFrame, most: int = 65536) -> int:
     """Buckets for a table of (doc_id, text): one for so many bytes of text, bounded on both sides."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return int(min(65536, max(64, 2 * shuffle_partitions(docs.sparkSession), total // BUCKET_BYTES)))
+    return int(min(most, max(64, 2 * shuffle_partitions(docs.sparkSession), total // BUCKET_BYTES)))
 
 
 def _emit(block: int, words: Numbering, ids: list, seqs: list, extra: list, buckets: int, weights: np.ndarray | None) -> Iterator[pa.RecordBatch]:

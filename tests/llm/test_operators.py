@@ -252,6 +252,31 @@ def test_lm_scores_are_probabilities(spark):
     assert lm_score.score(empty(spark), F.lit(True)).count() == 0
 
 
+def test_lm_contexts_are_counted_exactly(spark, docs, monkeypatch):
+    """Counts of contexts and of their words, as the scorer sees them, against counters over all training texts without the text itself."""
+    toks = {d: [*words(t), b"\n"] for d, t, *_ in corpus()}
+    rows = sorted({r[0]: r for r in corpus()}.values(), key=lambda r: r[0])
+    d = spark.createDataFrame(rows, DOCS).repartition(3)
+    monkeypatch.setattr(lm_score, "refined", lambda low, n, d, sizes, odds: n + d * 1e-3)  # same tasks' closure: sums of n and d stand for the score
+    train = {i for i in toks if zlib.crc32(str(i).encode()) % 10}
+    grams = {i: collections.Counter((([b"", b"", *t][k]), ([b"", b"", *t][k + 1]), w) for k, w in enumerate(t)) for i, t in toks.items()}
+    whole = collections.Counter()
+    for i in train:
+        whole.update(grams[i])
+    heads = collections.Counter()
+    for (a, b, _), c in whole.items():
+        heads[a, b] += c
+    got = {r.doc_id: r.score / math.log10(2) for r in lm_score.score(d, F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8")) % 10 != 0).collect()}
+    for i, t in toks.items():
+        own = grams[i] if i in train else collections.Counter()
+        mine = collections.Counter()
+        for (a, b, _), c in own.items():
+            mine[a, b] += c
+        padded = [b"", b"", *t]
+        want = sum(whole[padded[k], padded[k + 1], w] - own[padded[k], padded[k + 1], w] + 1e-3 * (heads[padded[k], padded[k + 1]] - mine[padded[k], padded[k + 1]]) for k, w in enumerate(t))
+        assert abs(got[i] - want) < 1e-6, i
+
+
 def test_lm_spelling_adds_up():
     m = lm_score.Model(1, 1, [], np.ones(lm_score.KINDS))
     m.set_spelling(lm_score.spell_counts([b"abba", b"ab", b"ba"] * 50), [b"abba", b"ab"])
