@@ -4,8 +4,8 @@ A page is a row of tokens, told apart by their role: the tags on the path to the
 id, and for text the text itself. Over the pages of a host each token has an occurrence vector: how
 often each page holds it. Two additive hashes of that vector, summed in a partial aggregation, stand
 for it, so that a host with a third of all pages is summed like any other. Tokens of equal vectors
-form an equivalence class; it is valid if it has two tokens or more and stands on at least half of
-the host's pages. Valid classes nest by their paths into the host's template. The template's slot
+form an equivalence class; it is valid if it has two tokens or more, stands on at least half of
+the host's pages, and nests: what encloses its tokens, but for its own elements, is of one other class. Nested classes are the host's template. The template's slot
 for content is the one that an article or main element opens, or else the deepest that holds most
 of the host's text that is not template. What a page has in that slot, without the template's own
 text outside articles, is its main text. A page that lacks the slot, or whose host shows too few
@@ -14,7 +14,8 @@ pages for a template, is read by its own elements.
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are
 known by element, role, class and id. Character references are decoded, white space within a block
 becomes one space, blocks are joined by one space. Null or empty html gives the empty text; null
-urls share a host. Rows that repeat are extracted row by row; further columns are not read.
+urls share a host. Rows that repeat are extracted row by row; very long pages are read whole; ties between slots go to the larger token. An empty table gives
+no rows. Further columns are not read.
 """
 
 from __future__ import annotations
@@ -97,7 +98,7 @@ class Walk:
     """Events of one page with the path to each: for text, (path, away, inside an article, block number)."""
 
     def __init__(self, page: str):
-        self.opened: list[tuple[int, str, bool, bool]] = []  # role, name, away, in an article: each element met
+        self.opened: list[tuple[int, str, bool, bool, int]] = []  # role, name, away, opens an article, role above: each element met
         self.texts: list[tuple[int, str, bool, bool, tuple[int, ...]]] = []  # block, text, away, in an article, roles above
         stack: list[tuple[str, int, bool, bool]] = []
         roles: tuple[int, ...] = ()
@@ -127,7 +128,7 @@ class Walk:
                 if not is_main and not away:
                     away = name in AWAY or (name == "header" and not article) or marks.get("role") in AWAY_ROLES or "hidden" in marks or (named != " " and name not in ("html", "body") and away_by_name(named, article))
                 article = article or (is_main and not away)
-                self.opened.append((role, name, away, is_main and not away))
+                self.opened.append((role, name, away, is_main and not away, above))
                 if name not in VOID and not more.endswith("/"):
                     stack.append((name, role, away, article))
                 roles = tuple(s[1] for s in stack)
@@ -144,10 +145,10 @@ class Walk:
 
 
 def occurrences(page: str) -> dict[int, list]:
-    """token -> [times, kind, depth, characters of free text below]; kind 0: text, 1: element, 2: element that holds an article, 3: element away."""
+    """token -> [times, kind, depth, characters of free text below, token of the element above]; kind 0: text, 1: element, 2: element that holds an article, 3: element away."""
     walk, out = Walk(page), {}
-    for role, _, away, main in walk.opened:
-        t = out.setdefault(role, [0, 3 if away else 2 if main else 1, 0, 0])
+    for role, _, away, main, above in walk.opened:
+        t = out.setdefault(role, [0, 3 if away else 2 if main else 1, 0, 0, above])
         t[0] += 1
     for _, text, away, _, roles in walk.texts:
         if text.isspace():
@@ -156,7 +157,7 @@ def occurrences(page: str) -> dict[int, list]:
             t = out[r]
             t[2] = i
             t[3] += 0 if away else len(text)
-        t = out.setdefault(walk.text_role(text.strip(), roles), [0, 0, len(roles), 0])
+        t = out.setdefault(walk.text_role(text.strip(), roles), [0, 0, len(roles), 0, roles[-1] if roles else 0])
         t[0] += 1
     return out
 
@@ -172,26 +173,31 @@ def templates(pages: DataFrame) -> DataFrame:
             hosts: dict = {}
             for page_id, h, page in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("page_id", "host", "html")), strict=True):
                 hosts[h] = hosts.get(h, 0) + 1
-                for token, (times, kind, depth, mass) in occurrences(page or "").items():
+                for token, (times, kind, depth, mass, above) in occurrences(page or "").items():
                     key = f"{page_id}:{times}".encode()
-                    s = seen.setdefault((h, token), [kind, depth, 0, 0, 0, 0])
+                    s = seen.setdefault((h, token), [kind, depth, 0, 0, 0, 0, above])
                     s[1] = max(s[1], depth)
                     s[2] += 1
                     s[3] += zlib.crc32(key)
                     s[4] += zlib.adler32(key) ^ zlib.crc32(key, 7)
                     s[5] += mass
-            rows = [(h, t, *s) for (h, t), s in seen.items()] + [(h, -1, 9, 0, n, 0, 0, 0) for h, n in hosts.items()]
-            names = ["host", "token", "kind", "depth", "pages", "v1", "v2", "mass"]
-            types = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+            rows = [(h, t, *s) for (h, t), s in seen.items()] + [(h, -1, 9, 0, n, 0, 0, 0, 0) for h, n in hosts.items()]
+            names = ["host", "token", "kind", "depth", "pages", "v1", "v2", "mass", "above"]
+            types = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
 
-    cells = pages.select("page_id", F.coalesce(host("url"), F.lit("")).alias("host"), "html").mapInArrow(run, "host string, token long, kind int, depth int, pages long, v1 long, v2 long, mass long")
-    tokens = cells.groupBy("host", "token").agg(F.max("kind").alias("kind"), F.max("depth").alias("depth"), *[F.sum(c).alias(c) for c in ("pages", "v1", "v2", "mass")])
+    cells = pages.select("page_id", F.coalesce(host("url"), F.lit("")).alias("host"), "html").mapInArrow(run, "host string, token long, kind int, depth int, pages long, v1 long, v2 long, mass long, above long")
+    tokens = cells.groupBy("host", "token").agg(F.max("kind").alias("kind"), F.max("depth").alias("depth"), F.max("above").alias("above"), *[F.sum(c).alias(c) for c in ("pages", "v1", "v2", "mass")])
     tokens = materialise(tokens, "tokens")
     sizes = tokens.where("token = -1").select("host", F.col("pages").alias("n")).where(F.col("n") >= LEAST_PAGES)
     frequent = tokens.where("token >= 0").join(sizes, "host").where(F.col("pages") >= SUPPORT * F.col("n"))
-    classes = frequent.groupBy("host", "n", "pages", "v1", "v2").agg(F.collect_list(F.struct("token", "kind", "depth", "mass")).alias("members")).where(F.size("members") >= 2)
-    valid = classes.select("host", "n", "pages", F.explode("members").alias("m")).select("host", "n", "pages", "m.*")
+    classes = frequent.groupBy("host", "n", "pages", "v1", "v2").agg(F.collect_list(F.struct("token", "kind", "depth", "mass", "above")).alias("members")).where(F.size("members") >= 2)
+    named = classes.select("host", "n", "pages", F.struct("pages", "v1", "v2").alias("class"), F.explode("members").alias("m")).select("host", "n", "pages", "class", "m.*")
+    # A class nests if all that encloses its tokens, but for its own elements, is of one class.
+    outer = named.select("host", F.col("token").alias("above"), F.col("class").alias("outer"))
+    around = named.join(outer, ["host", "above"], "left").where(~F.col("class").eqNullSafe(F.col("outer")))
+    loose = around.groupBy("host", "class").agg(F.count_distinct(F.coalesce(F.col("outer"), F.struct(F.lit(0).cast("long").alias("pages"), F.lit(0).cast("long").alias("v1"), F.lit(0).cast("long").alias("v2")))).alias("k")).where("k > 1").select("host", "class")
+    valid = named.join(loose, ["host", "class"], "left_anti")
     # Of an article's elements the outermost; of others the deepest that holds most of the free text.
     best = valid.groupBy("host").agg(F.max("mass").alias("all"))
     fit = valid.join(best, "host").where((F.col("kind") == 2) | ((F.col("kind") == 1) & (F.col("mass") >= MASS * F.col("all"))))

@@ -526,6 +526,36 @@ def test_html_templates_find_slots_without_articles(spark):
     assert html.extract(empty(spark, "page_id long, url string, html string")).count() == 0
 
 
+def test_html_classes_are_those_of_brute_force(spark):
+    """Occurrence vectors, classes, their validity and nesting, and the slots, worked out page by page."""
+    r, rows = random.Random(2), []
+    for h in range(3):
+        for i in range(9):
+            items = "".join(f"<li>item {r.randint(0, 3)}</li>" for _ in range(r.randint(1, 4)))
+            body = f"<div class='main-part'>{''.join(f'<p>{text(r.randint(3, 12), 1000 * h + 10 * i + j)}</p>' for j in range(r.randint(1, 3)))}</div>"
+            extra = "<section><h2>Note</h2><em>x</em></section>" if i % 2 else ""
+            rows.append((100 * h + i, f"http://h{h}.example/{i}", f"<html><body><div class=top><ul>{items}</ul><b>Home</b></div>{body if h else '<article>' + body + '</article>'}{extra}<div class=low><i>end</i></div></body></html>"))
+    got = {x.host: (x.slot, set(x.fixed or ())) for x in html.templates(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
+    for h in range(3):
+        pages = {i: html.occurrences(p) for i, u, p in rows if u.startswith(f"http://h{h}.")}
+        tokens = {t: o for page in pages.values() for t, o in page.items()}
+        depth = {t: max(page[t][2] for page in pages.values() if t in page) for t in tokens}
+        mass = {t: sum(page[t][3] for page in pages.values() if t in page) for t in tokens}
+        vector = {t: tuple(page.get(t, [0])[0] for page in pages.values()) for t in tokens}
+        classes = collections.defaultdict(set)
+        for t, v in vector.items():
+            if 2 * sum(x > 0 for x in v) >= len(pages):
+                classes[v].add(t)
+        classes = {v: c for v, c in classes.items() if len(c) >= 2}
+        of = {t: v for v, c in classes.items() for t in c}
+        valid = {t for v, c in classes.items() if len({of.get(tokens[t][4]) for t in c} - {v}) <= 1 for t in c}
+        most = max(mass[t] for t in valid)
+        seen = {t: sum(x > 0 for x in vector[t]) for t in valid}
+        fit = [t for t in valid if tokens[t][1] == 2 or tokens[t][1] == 1 and mass[t] >= html.MASS * most]
+        slot = max(fit, key=lambda t: (tokens[t][1] == 2, -depth[t] if tokens[t][1] == 2 else depth[t], seen[t], t))
+        assert got[f"h{h}.example"] == (slot, {t for t in valid if tokens[t][1] == 0 and seen[t] == len(pages)})
+
+
 def test_html_entities_round_trip(spark):
     body = "a < b & c > d \"q\" 'x' é 漢"
     assert html.main_text(f"<article><p>{html_lib.escape(body)}</p></article>") == body
