@@ -64,7 +64,7 @@ def _emit(block: int, words: Numbering, ids: list, seqs: list, extra: list, buck
     yield pa.RecordBatch.from_arrays([pa.array(rows[f.name], f.type) for f in ARROW], schema=ARROW)
 
 
-def blocks(docs: DataFrame, split: Callable[[str], list[bytes]], buckets: int, counted: str | None = None, tag: str | None = None) -> DataFrame:
+def blocks(docs: DataFrame, split: Callable[[str], list[bytes]], buckets: int, counted: str | None = None, tag: str | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs: (doc_id, text[, counted]); null text is empty. With ``counted`` a word's row carries how often the
     documents where that column is true hold it, and the documents' row carries, for each, twice its bytes, and one more if it is true. With
     ``tag`` it carries that long column of each document instead."""
@@ -97,7 +97,7 @@ def blocks(docs: DataFrame, split: Callable[[str], list[bytes]], buckets: int, c
                     tags.append(cols[tag][i])
                 size += len(text or "")
                 lengths.append(0 if not text else len(text) if text.isascii() else len(text.encode("utf-8", "surrogatepass")))
-                if size >= BLOCK_BYTES:
+                if size >= block_bytes:
                     yield from close()
                     made += 1
                     words, ids, seqs, flags, lengths, tags, size = Numbering(), [], [], [], [], [], 0
