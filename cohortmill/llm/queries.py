@@ -9,6 +9,8 @@ from .licenses import op2_license_scan
 from .lm_score import op3_lm_score
 from .mixing import op5_pfair_mixing
 from .ngram_join import OP4_SQL, op4_ngram_join
+from .periodic_runs import op12_periodic_runs
+from .shuffle_shards import op11_shuffle_shards
 from .spotsigs import op6_spot_signatures
 from .toxicity import op1_toxicity
 from .warc import OP7_SQL, op7_warc_round_trip
@@ -24,6 +26,8 @@ QUERIES = {
     "op8_ivfpq_search": op8_ivfpq_search,
     "op7_warc_round_trip": op7_warc_round_trip,
     "op9_bpe_encode": op9_bpe_encode,
+    "op11_shuffle_shards": op11_shuffle_shards,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {
