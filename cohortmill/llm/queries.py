@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .ann import op8_ivfpq_search
 from .bpe import op9_bpe_encode
+from .collocations import OP13_SQL, op13_collocations
 from .html import op10_html_extract
 from .licenses import op2_license_scan
 from .lm_score import op3_lm_score
@@ -28,9 +29,11 @@ QUERIES = {
     "op9_bpe_encode": op9_bpe_encode,
     "op11_shuffle_shards": op11_shuffle_shards,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_ngram_join": OP4_SQL,
     "op7_warc_round_trip": OP7_SQL,
+    "op13_collocations": OP13_SQL,
 }

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from .common import fresh_path, materialise, table
 
 #: Shards; bytes of text in a bucket; buckets whose counts are summed before the others'; what is not read of a file's name.
-SHARDS, BUCKET_BYTES, GROUP = 8, 32 << 20, 1024
+SHARDS, BUCKET_BYTES, GROUP = 8, 8 << 20, 1024
 UUID = "[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}"
 
 
