@@ -675,4 +675,4 @@ def test_columns_and_types_of_the_contracts(spark):
 def test_schema_of_queries_is_the_contract(spark):
     from cohortmill.llm.queries import QUERIES
 
-    assert [n.split("_")[0] for n in QUERIES] and {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
+    assert [n.split("_")[0] for n in QUERIES] and {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14))
