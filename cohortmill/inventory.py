@@ -450,7 +450,7 @@ def contested_labels(spark, sf):
 from .queries import CONSENSUS, TERCILES  # noqa: E402
 
 
-@query(with_(CONSENSUS, TERCILES) + "SELECT ticker, ticker || ' | BUY | ' || printf('%.2f', mean + 0.001) || ' | ' || bucket || ' | ' || CASE bucket WHEN 'least' THEN 'DISAGREE' WHEN 'loved' THEN 'STICKY' ELSE '' END AS line FROM street")
+@query(with_(CONSENSUS, TERCILES) + "SELECT ticker, ticker || ' | BUY | ' || printf('%.2f', mean + 0.001) || ' | ' || bucket || ' | ' || CASE bucket WHEN 'loved' THEN 'STICKY' ELSE 'DISAGREE' END AS line FROM street")
 def divergence_lines(spark, sf):
     x = market.consensus(spark, sf).select(F.lit("all").alias("run"), "ticker", "mean", F.lit("buy").alias("verdict"), F.lit(10.0).alias("price"), F.lit(9.0).alias("target"))
     d = rank.divergence(x)

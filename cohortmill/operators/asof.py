@@ -21,13 +21,21 @@ def backward(left: DataFrame, right: DataFrame, key: str, when: str, stamp: str,
 
 def forward_return(bars: DataFrame, starts: DataFrame, max_stale_days: int = 7) -> DataFrame:
     """starts: (ticker, start, want_end). First bar from the start on, last bar up to the end; UNRESOLVED where the name's last bar is older than allowed."""
-    b = bars.where("close > 0")
-    j = starts.join(b, "ticker", "left")
-    inside = F.col("day") >= F.col("start")
-    upto = inside & (F.col("day") <= F.col("want_end"))
-    a = j.groupBy("ticker", "start", "want_end").agg(
-        F.min_by(F.when(inside, F.col("close")), F.when(inside, F.col("day"))).alias("p0"), F.max_by(F.when(upto, F.col("close")), F.when(upto, F.col("day"))).alias("p1"), F.max("day").alias("last_day"),
-    )
+    bar = F.struct("day", "close")
+    s = starts.select("ticker", "start", "want_end").distinct()
+    # One window of a name's bars and asked dates: the next bar seen from a start, the last one seen from an end, and the name's last.
+    ends = [("start", F.col("start")), ("end", F.col("want_end"))]
+    asked = [s.select("ticker", at.alias("__at"), F.lit(2 * i).alias("__side"), F.struct("start", "want_end", F.lit(kind).alias("kind")).alias("__row")) for i, (kind, at) in enumerate(ends)]
+    own = bars.where("close > 0").select("ticker", F.col("day").alias("__at"), F.lit(1).alias("__side"), bar.alias("bar"))
+    both = asked[0].unionByName(asked[1]).unionByName(own, allowMissingColumns=True)
+    w = W.partitionBy("ticker").orderBy("__at", "__side")
+    seen = both.withColumns(
+        {"after": F.first("bar", ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing)), "before": F.last("bar", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)), "last_day": F.max("bar.day").over(W.partitionBy("ticker"))}
+    ).where("__row is not null")
+    of = lambda kind, c: F.max(F.when(F.col("__row.kind") == kind, F.col(c)))
+    a = seen.groupBy("ticker", F.col("__row.start").alias("start"), F.col("__row.want_end").alias("want_end")).agg(of("start", "after").alias("first"), of("end", "before").alias("final"), F.max("last_day").alias("last_day"))
+    # The last bar up to the end counts only if it is not before the first one.
+    a = a.withColumn("p0", F.col("first.close")).withColumn("p1", F.when(F.col("final.day") >= F.col("first.day"), F.col("final.close")))
     stale = F.col("last_day").isNull() | (F.date_diff("want_end", "last_day") > max_stale_days)
     ok = ~stale & F.col("p0").isNotNull() & F.col("p1").isNotNull()
     return a.select("ticker", "start", "want_end", F.when(ok, "OK").otherwise("UNRESOLVED").alias("status"), F.when(ok, F.col("p1") / F.col("p0") - 1).alias("ret"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clean import implausible_ticker
 from ..functions.display import signed_percent
+from .sets import integrity
 
 #: Names listed in a line, at most; closes that make a year of history; columns of a snapshot line from before names were kept.
 LISTED, YEAR_CLOSES = 5, 250
@@ -28,7 +29,7 @@ def _names(tickers: Column) -> Column:
 
 def basis_lines(rows: DataFrame, primary: str = "fcf", abstained: str = "abstained") -> DataFrame:
     """(criterion, ticker, basis) -> criterion, total, line: the primary basis, then others with few names listed, then what abstained. Names are gathered per basis only where they are few."""
-    per = rows.groupBy("criterion", "basis").agg(F.count(F.lit(1)).alias("n"), F.slice(F.array_sort(F.collect_list("ticker")), 1, LISTED + 1).alias("names"))
+    per = integrity(rows, ["criterion", "basis"], LISTED + 1)
     order = F.when(F.col("basis") == primary, 0).when(F.col("basis") == abstained, 2).otherwise(1)
     cells = F.array_sort(F.collect_list(F.struct(order.alias("o"), "basis", "n", "names")))
     total = per.groupBy("criterion").agg(F.sum("n").alias("total"), cells.alias("cells"))

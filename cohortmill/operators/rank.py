@@ -84,11 +84,12 @@ def tie_groups(ranked: DataFrame, run: str = "run") -> DataFrame:
 
 def boundary_ties(ranked: DataFrame, run: str = "run") -> DataFrame:
     """For each name whose score also has another verdict: the names of those other verdicts."""
-    g = tie_groups(ranked, run).where(F.size("verdicts") > 1).select(run, "combined")
+    g = ranked.groupBy(run, "combined").agg(F.count_distinct("verdict").alias("k")).where("k > 1").select(run, "combined")
     r = ranked.join(g, [run, "combined"], "left_semi").select(run, "combined", "ticker", "verdict")
-    other = r.select(run, "combined", F.col("ticker").alias("other"), F.col("verdict").alias("other_verdict"))
-    pairs = r.join(other, [run, "combined"]).where("verdict <> other_verdict")
-    return pairs.groupBy(run, "ticker", "verdict", "combined").agg(F.sort_array(F.collect_list("other")).alias("partners"))
+    # A score stands on two or three verdicts: the names of each are gathered once, and each name meets the other verdicts' rows.
+    by = r.groupBy(run, "combined", "verdict").agg(F.sort_array(F.collect_list("ticker")).alias("names")).withColumnRenamed("verdict", "other")
+    met = r.join(by, [run, "combined"]).where("verdict <> other")
+    return met.groupBy(run, "ticker", "verdict", "combined").agg(F.sort_array(F.flatten(F.collect_list("names"))).alias("partners"))
 
 
 def terciles(rows: DataFrame, run: str = "run") -> DataFrame:
@@ -105,12 +106,15 @@ def terciles(rows: DataFrame, run: str = "run") -> DataFrame:
 
 
 def divergence(rows: DataFrame, run: str = "run") -> DataFrame:
-    """(run, ticker, mean, verdict, price, target): bucket, disagree, sticky; names without a mean come last."""
+    """(run, ticker, mean, verdict, price, target): bucket, disagree, sticky; names without a mean come last.
+
+    BUY, HOLD and SELL go with loved, middle and least; any other pairing disagrees, other verdicts never do. A loved name sticks where its target is not above its price."""
     t = terciles(rows.select(run, "ticker", "mean"), run).select(run, "ticker", "bucket")
     out = rows.join(t, [run, "ticker"], "left")
     v = F.upper("verdict")
-    disagree = F.coalesce(((F.col("bucket") == "loved") & (v == "SELL")) | ((F.col("bucket") == "least") & (v == "BUY")), F.lit(False))
-    return out.withColumn("disagree", disagree).withColumn("sticky", F.coalesce((F.col("bucket") == "loved") & (F.col("target") < F.col("price")), F.lit(False))).orderBy(run, F.col("mean").asc_nulls_last(), "ticker")
+    own = F.when(v == "BUY", "loved").when(v == "HOLD", "middle").when(v == "SELL", "least")
+    disagree = F.coalesce(own != F.col("bucket"), F.lit(False))
+    return out.withColumn("disagree", disagree).withColumn("sticky", F.coalesce((F.col("bucket") == "loved") & (F.col("target") <= F.col("price")), F.lit(False))).orderBy(run, F.col("mean").asc_nulls_last(), "ticker")
 
 
 def mid_percentile(values: DataFrame, current: DataFrame, key: str = "ticker") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -38,8 +39,13 @@ def peers(cohort: DataFrame, ticker: str) -> DataFrame:
 
 def integrity(outcomes: DataFrame, by: list[str], listed: int = 5) -> DataFrame:
     """Per group the number of names and the first few of them."""
-    a = outcomes.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("ticker")).alias("names"))
-    return a.select(*by, "n", F.slice("names", 1, listed).alias("names"))
+    at = F.row_number().over(W.partitionBy(*by).orderBy("ticker"))
+    # Of each group only its first names leave a task.
+    first = outcomes.where("ticker is not null").select(*by, "ticker").withColumn("__at", at).where(F.col("__at") <= listed)
+    names = first.groupBy(*[F.col(b).alias(f"__{b}") for b in by]).agg(F.array_sort(F.collect_list("ticker")).alias("names"))
+    sizes = outcomes.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    same = [F.col(b).eqNullSafe(F.col(f"__{b}")) for b in by]
+    return sizes.join(names, same, "left").select(*by, "n", F.coalesce("names", F.array().cast("array<string>")).alias("names"))
 
 
 def field_coverage(df: DataFrame, fields: list[str], threshold: float = 0.8) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..operators.asof import forward_return
 from ..operators.rank import terciles
 
-BUCKETS = ("BUY", "HOLD", "SELL")
+BUCKETS = ("BUY", "HOLD", "SELL", "EXCLUDED")
+ORDERED = ("BUY", "HOLD", "SELL")
 
 
 def bucket(verdict: Column) -> Column:
@@ -30,7 +31,7 @@ def bucket_stats(returns: DataFrame, by: str, key: str = "strategy", buckets: tu
     return out.select(key, "bucket", F.coalesce("n", F.lit(0)).alias("n"), "mean", "median", (F.col("mean") - F.col("universe")).alias("excess"))
 
 
-def ordering(stats: DataFrame, key: str = "strategy", buckets: tuple[str, ...] = BUCKETS) -> DataFrame:
+def ordering(stats: DataFrame, key: str = "strategy", buckets: tuple[str, ...] = ORDERED) -> DataFrame:
     """Whether means fall strictly from bucket to bucket; null where one is empty."""
     m = [F.max(F.when(F.col("bucket") == b, F.col("mean"))) for b in buckets]
     return stats.groupBy(key).agg((m[0] > m[1]).alias("a"), (m[1] > m[2]).alias("b")).select(key, F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), F.col("a") & F.col("b")).alias("ordered"))

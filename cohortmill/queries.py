@@ -14,7 +14,7 @@ from .operators import asof, audit, band, decision, dividends, prices, rank, scr
 from .operators import factors as fac
 from .plans import backtest, pipeline, scoreboard
 from .plans.strategy import RankStrategy, ScreenStrategy
-from .sources import market
+from .sources import catalog, market
 from .sources.market import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -424,7 +424,7 @@ def street_terciles(spark, sf):
     return rank.terciles(market.consensus(spark, sf).withColumn("run", F.lit("all"))).select("ticker", "mean", "bucket")
 
 
-@query(with_(CONSENSUS, TERCILES) + "SELECT s.ticker, s.bucket, coalesce((s.bucket = 'loved' AND c_mktsegment = 'BUILDING') OR (s.bucket = 'least' AND c_mktsegment = 'MACHINERY'), false) AS disagree, coalesce(s.bucket = 'loved' AND c_acctbal < 1000, false) AS sticky FROM street s JOIN customer ON 'C' || c_custkey = s.ticker")
+@query(with_(CONSENSUS, TERCILES) + "SELECT s.ticker, s.bucket, coalesce(s.bucket <> CASE c_mktsegment WHEN 'BUILDING' THEN 'least' WHEN 'MACHINERY' THEN 'loved' ELSE 'middle' END, false) AS disagree, coalesce(s.bucket = 'loved' AND c_acctbal <= 1000, false) AS sticky FROM street s JOIN customer ON 'C' || c_custkey = s.ticker")
 def divergence_map(spark, sf):
     c = table(spark, sf, "customer").select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("ticker"), F.when(F.col("c_mktsegment") == "BUILDING", "SELL").when(F.col("c_mktsegment") == "MACHINERY", "BUY").otherwise("HOLD").alias("verdict"), F.col("c_acctbal").alias("target"), F.lit(1000.0).alias("price"))
     x = market.consensus(spark, sf).join(c, "ticker").withColumn("run", F.lit("all"))
@@ -534,7 +534,7 @@ def multi_strategy_grid(spark, sf):
 
 
 SNAP = """snap AS (SELECT 'C' || c_custkey AS ticker, CASE WHEN c_mktsegment = 'BUILDING' THEN 'BUY' WHEN c_mktsegment = 'MACHINERY' THEN 'SELL' WHEN c_mktsegment = 'FURNITURE' THEN 'EXCLUDED' ELSE 'HOLD' END AS bucket, 'n' || c_nationkey % 3 AS strategy, CASE WHEN c_acctbal > -500 THEN round(c_acctbal / 1000, 6) END AS ret FROM customer)"""
-STATS = """fr AS (SELECT strategy, unnest(['BUY', 'HOLD', 'SELL']) AS bucket FROM (SELECT DISTINCT strategy FROM snap)), ag AS (SELECT strategy, bucket, count(*) AS n, avg(ret) AS mean, median(ret) AS median FROM snap WHERE ret IS NOT NULL GROUP BY 1, 2), un AS (SELECT strategy, avg(ret) AS u FROM snap WHERE ret IS NOT NULL GROUP BY 1),
+STATS = """fr AS (SELECT strategy, unnest(['BUY', 'HOLD', 'SELL', 'EXCLUDED']) AS bucket FROM (SELECT DISTINCT strategy FROM snap)), ag AS (SELECT strategy, bucket, count(*) AS n, avg(ret) AS mean, median(ret) AS median FROM snap WHERE ret IS NOT NULL GROUP BY 1, 2), un AS (SELECT strategy, avg(ret) AS u FROM snap WHERE ret IS NOT NULL GROUP BY 1),
 stats AS (SELECT fr.strategy, fr.bucket, coalesce(n, 0) AS n, mean, median, mean - u AS excess FROM fr LEFT JOIN ag ON ag.strategy = fr.strategy AND ag.bucket = fr.bucket LEFT JOIN un ON un.strategy = fr.strategy)"""
 
 
@@ -864,12 +864,86 @@ def horizon_months(spark, sf):
 @query(_rank_sql(SIZE_ALL) + "SELECT ticker, CAST(i AS INT) AS i, CASE WHEN i = 0 THEN 'rank: cited ' || CAST(round_even(rm, 0) + 1 AS INT) || ', is ' || CAST(round_even(rm, 0) AS INT) END AS flag FROM rk, (VALUES (0), (1)) AS s(i)")
 def narration_check(spark, sf):
     """Each name's narrative cites its momentum rank one too high and its verdict rightly."""
-    v = _values(spark, sf)
-    ranked = rank.rank_universe(v, RANK3)
-    ranks = rank.factor_ranks(v, RANK3).select("run", "ticker", "factor", "rank")
+    ranked, ranks = _rank_tables(spark, sf)
     m = ranks.where("factor = 'momentum'").join(ranked.select("run", "ticker", "verdict"), ["run", "ticker"])
     n = m.select("run", "ticker", F.concat(F.lit("It ranks "), text.ordinal(F.rint("rank").cast("int") + 1), F.lit(" on momentum. The verdict is "), F.upper("verdict"), F.lit(".")).alias("narrative"))
-    return narration.check(n, ranked, ranks, {"momentum": "momentum", "size": "size"}).select("ticker", "i", "flag")
+    return narration.check(n, ranked, ranks, WORDS3).select("ticker", "i", F.col("reason").alias("flag"))
+
+
+# Narratives of every kind of claim, true for even suppliers and false for odd ones; the next name in order is the other one spoken of.
+_ORD = "{0} || CASE WHEN {0} % 100 BETWEEN 10 AND 20 THEN 'th' WHEN {0} % 10 = 1 THEN 'st' WHEN {0} % 10 = 2 THEN 'nd' WHEN {0} % 10 = 3 THEN 'rd' ELSE 'th' END".format
+_HALF = "CASE WHEN {0} = floor({0}) THEN CAST(CAST({0} AS BIGINT) AS VARCHAR) ELSE CAST({0} AS VARCHAR) END".format
+SPOKEN = (
+    _rank_sql(SIZE_ALL)
+    + f""", me AS (SELECT r.ticker, r.n, CAST(substring(r.ticker, 2) AS INT) % 2 AS odd, r.combined, r.seq, CAST(round_even(k.rm, 0) AS INT) AS rm, CAST(round_even(k.rs, 0) AS INT) AS rs, CAST(round_even(k.rv, 0) AS INT) AS rv, upper({_QUINTILE.replace("n /", "r.n /").replace("* n", "* r.n")}) AS v FROM ranked r JOIN rk k ON k.ticker = r.ticker),
+ x AS (SELECT a.*, b.ticker AS p, b.rm AS prm, b.v AS pv, CASE WHEN a.odd = 0 THEN b.v WHEN b.v = 'BUY' THEN 'HOLD' ELSE 'BUY' END AS sv FROM me a LEFT JOIN me b ON b.seq = a.seq + 1),
+ t AS (SELECT *, {_ORD("(rs + odd)")} AS o_rs, {_ORD("(prm + odd)")} AS o_prm, {_HALF("(combined + odd / 2.0)")} AS o_score FROM x),
+ said AS (SELECT ticker, 0 AS i, 'Its momentum rank ' || (rm + odd) || ' out of ' || n || ' is second-best' AS sentence, 'cited' AS kind, 30 + length(CAST(rm + odd AS VARCHAR)) + length(CAST(n AS VARCHAR)) AS start, 11 AS len, '2' AS said, CAST(rm + odd AS VARCHAR) AS actual, 'momentum' AS about, ticker AS subject, rm + odd <> 2 AS bad FROM t
+ UNION ALL SELECT ticker, 1, 'Its volatility is the ' || CASE odd WHEN 0 THEN 'strongest' ELSE 'weakest' END || ' of all', 'superlative', 22, CASE odd WHEN 0 THEN 9 ELSE 7 END, CAST(CASE odd WHEN 0 THEN 1 ELSE n END AS VARCHAR), CAST(rv AS VARCHAR), 'volatility', ticker, rv <> CASE odd WHEN 0 THEN 1 ELSE n END FROM t
+ UNION ALL SELECT ticker, 2, 'It is **' || o_rs || '** on fund size', 'ordinal', 6, length(o_rs), CAST(rs + odd AS VARCHAR), CAST(rs AS VARCHAR), 'size', ticker, odd = 1 FROM t
+ UNION ALL SELECT ticker, 3, 'It has a combined rank-sum of ' || o_score, 'score', 18, 12 + length(o_score), CAST(CAST(combined + odd / 2.0 AS DOUBLE) AS VARCHAR), CAST(CAST(combined AS DOUBLE) AS VARCHAR), 'rank-sum', ticker, odd = 1 FROM t WHERE combined + odd / 2.0 <= 3 * n
+ UNION ALL SELECT ticker, 4, 'Well placed, ' || p || ' received ' || sv, 'verdict', 23 + length(p), length(sv), sv, pv, 'verdict', p, sv <> pv FROM t WHERE p IS NOT NULL
+ UNION ALL SELECT ticker, 5, 'Its momentum rank ' || rm || ' out of ' || n || ' is the strongest drag', 'cited', 34 + length(CAST(rm AS VARCHAR)) + length(CAST(n AS VARCHAR)), 9, CAST(n AS VARCHAR), CAST(rm AS VARCHAR), 'momentum', ticker, rm <> n FROM t
+ UNION ALL SELECT ticker, 8, '(2) ' || p || ' is ' || o_prm || ' on momentum', 'ordinal', length(p) + 5, length(o_prm), CAST(prm + odd AS VARCHAR), CAST(prm AS VARCHAR), 'momentum', p, odd = 1 FROM t WHERE p IS NOT NULL)"""
+)
+WORDS3 = ((("momentum",), ("momentum",)), (("fund size",), ("size",)), (("volatilit",), ("volatility",)))
+
+
+def _rank_tables(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Names and their ranks of each factor: read several times by the checks, so they are worked out once."""
+    v = catalog.settled(_values(spark, sf))
+    return catalog.settled(rank.rank_universe(v, RANK3)), catalog.settled(rank.factor_ranks(v, RANK3).select("run", "ticker", "factor", "rank"))
+
+
+def _spoken(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    ranked, ranks = _rank_tables(spark, sf)
+    wide = ranks.groupBy("run", "ticker").pivot("factor", [s.name for s in RANK3]).agg(F.first(F.rint("rank").cast("int")))
+    me = ranked.join(wide, ["run", "ticker"])
+    after = me.select("run", (F.col("seq") - 1).alias("seq"), F.col("ticker").alias("p"), F.col("momentum").alias("prm"), F.upper("verdict").alias("pv"))
+    x = me.join(after, ["run", "seq"], "left").withColumn("odd", F.col("ticker").substr(2, 20).cast("int") % 2)
+    say = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) and p not in x.columns else F.col(p).cast("string") if isinstance(p, str) else p.cast("string") for p in parts])
+    odd, other = F.col("odd"), F.when(F.col("odd") == 0, F.col("pv")).when(F.col("pv") == "BUY", "HOLD").otherwise("BUY")
+    parts = [
+        say("Its momentum rank ", F.col("momentum") + odd, " out of ", "n", " is second-best"), say("Its volatility is the ", F.when(odd == 0, "strongest").otherwise("weakest"), " of all"),
+        say("It is **", text.ordinal(F.col("size") + odd), "** on fund size"), say("It has a combined rank-sum of ", text.score_text(F.col("combined") + odd / 2)),
+        F.coalesce(say("Well placed, ", "p", " received ", other), F.lit("Nothing more")), say("Its momentum rank ", "momentum", " out of ", "n", " is the strongest drag"),
+        F.lit("Its volatility is not the best"), F.lit("Volatility and momentum are the best"), say("(2) ", "p", " is ", text.ordinal(F.col("prm") + odd), " on momentum"),
+    ]
+    return catalog.settled(x.select("run", "ticker", F.concat(F.array_join(F.array_compact(F.array(*parts)), ". "), F.lit(".")).alias("narrative"))), ranked, ranks
+
+
+@query(SPOKEN + """SELECT ticker, CAST(i AS INT) AS i, kind, CAST(start AS INT) AS start, CAST(start + len AS INT) AS "end", said, actual, about, subject, bad AS contradicts FROM said""")
+def narration_claims(spark, sf):
+    """Every claim of the narratives: where it stands, what it says of whom, and whether the table agrees."""
+    return narration.claims(*_spoken(spark, sf), WORDS3).select("ticker", "i", "kind", "start", "end", "said", "actual", "about", "subject", "contradicts")
+
+
+_FLAG = "CASE kind WHEN 'verdict' THEN 'verdict' WHEN 'score' THEN 'score' ELSE 'rank' END || ': ' || CASE WHEN kind IN ('ordinal', 'score') THEN 'cited ' ELSE 'said ' END || said || ', is ' || actual"
+
+
+@query(SPOKEN + f"SELECT ticker, CAST(i AS INT) AS i, CASE kind WHEN 'verdict' THEN 'verdict' ELSE 'rank' END AS kind, {_FLAG} AS reason FROM said WHERE bad")
+def narration_flags(spark, sf):
+    """Sentences that contradict the table; true, hedged and open ones have no row."""
+    return narration.check(*_spoken(spark, sf), WORDS3).where("kind is not null").select("ticker", "i", "kind", "reason")
+
+
+@query(SPOKEN + """SELECT ticker, string_agg('[⚠ narration check: "' || sentence || '" ' || CASE kind WHEN 'verdict' THEN 'misstates ' || subject || '''s verdict — it says ' || said || ', the table says ' || actual || '; ' ELSE 'contradicts rank table — ' END || 'table is authoritative]', chr(10) ORDER BY i) AS notes FROM said WHERE bad GROUP BY 1""")
+def narration_annotated(spark, sf):
+    """The lines below each narrative that has any."""
+    said, ranked, ranks = _spoken(spark, sf)
+    out = narration.annotated(said, narration.check(said, ranked, ranks, WORDS3)).where(F.col("narrative").contains("narration check"))
+    return out.select("ticker", F.regexp_extract("narrative", r"(?s)^[^\n]*\n(.*)$", 1).alias("notes"))
+
+
+@query(_rank_sql(SIZE_ALL) + f""", v AS (SELECT *, {_QUINTILE} AS verdict FROM ranked), t AS (SELECT a.ticker, a.combined, min(b.ticker) AS p FROM v a JOIN v b ON b.combined = a.combined AND b.verdict <> a.verdict GROUP BY 1, 2)
+SELECT ticker, CAST(0 AS INT) AS i, 'tie: with ' || p || ' at ' || {_HALF("combined")} AS reason FROM t""")
+def narration_ties(spark, sf):
+    """Names whose verdict differs from that of a name of the same score: one sentence orders the two, three do not."""
+    ranked, ranks = _rank_tables(spark, sf)
+    ties = catalog.settled(rank.boundary_ties(ranked))
+    p = F.get("partners", F.lit(0))
+    said = ties.select("run", "ticker", F.concat(F.lit("It ranks ahead of "), p, F.lit(". Its fee is lower than "), p, F.lit("'s. Its score equals that of "), p, F.lit(". It ranks nearly above "), p, F.lit(".")).alias("narrative"))
+    return narration.check(said, ranked, ranks, WORDS3, ties).where("kind = 'tie'").select("ticker", "i", "reason")
 
 
 # Review and display ----------------------------------------------------------------------------------

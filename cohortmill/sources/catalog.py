@@ -10,13 +10,25 @@ from . import schemas
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below the one the session names in ``spark.checkpoint.dir``, or below its warehouse."""
+    """A new folder below the one the session names in ``spark.checkpoint.dir``. Where it is unset, below the warehouse in local mode, whose tasks
+    share the machine; on a cluster an error, for executors could not read what is written there."""
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/catalog-{uuid.uuid4().hex}"
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The rows of ``df``, written below the shared folder and read again: worked out once, and kept when executors are lost."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Catalog:
     """Resolves table names to DataFrames below a folder of any store that Spark reads; a provider can be chosen for each kind of data."""
 

@@ -304,14 +304,15 @@ def test_venues(spark):
 def test_narration_flags(spark):
     from cohortmill.operators import narration
 
-    ranked = spark.createDataFrame([("r", "AAA", 3, 4.0, "buy"), ("r", "BBB", 3, 6.0, "hold"), ("r", "CCC", 3, 8.0, "sell")], "run string, ticker string, n int, combined double, verdict string")
+    ranked = spark.createDataFrame([("r", "AAA", 3, 4.0, 1, "buy"), ("r", "BBB", 3, 6.0, 2, "hold"), ("r", "CCC", 3, 8.0, 3, "sell")], "run string, ticker string, n int, combined double, position int, verdict string")
     ranks = spark.createDataFrame([("r", t, f, v) for t, vs in (("AAA", (1.0, 2.5)), ("BBB", (2.0, 2.5)), ("CCC", (3.0, 1.0))) for f, v in zip(("momentum", "size"), vs, strict=True)], "run string, ticker string, factor string, rank double")
-    text_ = "AAA has the best momentum. It ranks 2nd on size. BBB ranks 3rd on momentum. CCC is a BUY. Its score is 4.0. Its rank-sum is 5.5. AAA and BBB and CCC rank 9th on momentum. Not the best size."
+    words = ((("momentum",), ("momentum",)), (("size",), ("size",)))
+    text_ = "AAA has the best momentum. It ranks 2nd on size. BBB ranks 3rd on momentum. CCC is a BUY. Its rank-sum is 4.0. Its rank-sum is 5.5. AAA and BBB and CCC rank 9th on momentum. Not the best size."
     n = spark.createDataFrame([("r", "AAA", text_)], "run string, ticker string, narrative string")
-    got = {r.i: r.flag for r in narration.check(n, ranked, ranks, {"momentum": "momentum", "size": "size"}).collect()}
-    assert {i for i, f in got.items() if f} == {2, 3, 5} and 6 not in got
-    out = narration.annotated(n, narration.check(n, ranked, ranks, {"momentum": "momentum", "size": "size"})).first().narrative
-    assert out.startswith(text_) and out.count("rank: cited 3, is 2") == 1
+    got = {r.i: r.reason for r in narration.check(n, ranked, ranks, words).collect()}
+    assert {i for i, f in got.items() if f} == {2, 3, 5} and got[2] == "rank: cited 3, is 2" and got[6] is None
+    out = narration.annotated(n, narration.check(n, ranked, ranks, words)).first().narrative
+    assert out.startswith(text_) and out.count("narration check") == 3
 
 
 def test_reporting(spark):
