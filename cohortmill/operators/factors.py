@@ -56,17 +56,26 @@ def register(name: str, direction: str, value: Callable[[], Column], source: Cal
     FACTORS[name] = Factor(name, direction, value, source)
 
 
-def outcomes(inputs: DataFrame, names: list[str], key: tuple[str, ...] = ("ticker",)) -> DataFrame:
-    """LONG: key, factor, value (finite or null), source. Unknown names raise KeyError; input columns that are not there count as null."""
-    chosen = [FACTORS[n] for n in names]
-    full = inputs.withColumns({k: F.lit(None).cast(_KINDS.get(k, "double")) for k in _READ if k not in inputs.columns})
+def columns() -> dict[str, str]:
+    """The columns that factors read, and their types."""
+    return {k: _KINDS.get(k, "double") for k in _READ}
+
+
+def factor_cells(names: list[str]) -> Column:
+    """array<struct<factor, high, value (finite or null), source>> over a row of wide inputs. Unknown names raise KeyError."""
     cells = []
-    for f in chosen:
+    for f in (FACTORS[n] for n in names):
         v = f.value()
         v = F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v)
         src = f.source() if f.source else F.when(v.isNotNull(), "computed").otherwise("abstained")
-        cells.append(F.struct(F.lit(f.name).alias("factor"), v.cast("double").alias("value"), src.alias("source")))
-    return full.select(*key, F.explode(F.array(*cells)).alias("x")).select(*key, "x.*")
+        cells.append(F.struct(F.lit(f.name).alias("factor"), F.lit(f.direction == "high").alias("high"), v.cast("double").alias("value"), src.alias("source")))
+    return F.array(*cells)
+
+
+def outcomes(inputs: DataFrame, names: list[str], key: tuple[str, ...] = ("ticker",)) -> DataFrame:
+    """LONG: key, factor, value (finite or null), source. Unknown names raise KeyError; input columns that are not there count as null."""
+    full = inputs.withColumns({k: F.lit(None).cast(t) for k, t in columns().items() if k not in inputs.columns})
+    return full.select(*key, F.explode(factor_cells(names)).alias("x")).select(*key, "x.factor", "x.value", "x.source")
 
 
 def static_fill(inputs: DataFrame, static: DataFrame, today: Column, max_age_days: int = 90) -> DataFrame:

@@ -1,6 +1,7 @@
 """Ranking a cohort: average ranks of factors, their sum, positions, verdicts, ties.
 
-Tables are long: (run, ticker, factor, value). Everything is keyed by run, so many cohorts rank in one plan.
+Tables are long: (run, ticker, factor, value). Everything is keyed by run, so many cohorts rank in one plan. Places come from ``order.numbered``: no task holds a run
+or a tie whole.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .order import numbered
+
 
 @dataclass(frozen=True)
 class FactorSpec:
@@ -34,47 +37,58 @@ def specs_table(df: DataFrame, factors: list[FactorSpec]) -> DataFrame:
     return F.broadcast(df.sparkSession.createDataFrame([(f.name, f.direction == "high", f.missing) for f in factors], "factor string, high boolean, missing string"))
 
 
-def factor_ranks(values: DataFrame, factors: list[FactorSpec], run: str = "run") -> DataFrame:
-    """(run, ticker, factor, value) -> those kept after exclusions, with n and rank (average ranks; null for a neutral gap)."""
-    v = values.join(specs_table(values, factors), "factor")
+def ranked_factors(v: DataFrame, run: str = "run") -> DataFrame:
+    """(run, ticker, factor, value, high, missing and any other columns) -> those kept after exclusions, with n and rank (average ranks; null for a neutral gap)."""
     out_of = F.max(((F.col("missing") == "exclude") & F.col("value").isNull()).cast("int")).over(W.partitionBy(run, "ticker"))
     v = v.withColumn("dropped", out_of).where("dropped = 0").drop("dropped")
-    n = F.count(F.lit(1)).over(W.partitionBy(run, "factor"))
-    key = F.when(F.col("high"), -F.col("value")).otherwise(F.col("value"))
-    v = v.withColumn("n", n).withColumn("key", key)
-    first = F.rank().over(W.partitionBy(run, "factor").orderBy(F.col("key").asc_nulls_last()))
-    same = F.count(F.lit(1)).over(W.partitionBy(run, "factor", "key"))
-    rank = F.when(F.col("value").isNotNull(), first + (same - 1) / 2).when(F.col("missing") != "neutral", F.col("n").cast("double"))
-    return v.withColumn("rank", rank).drop("key")
+    v = numbered(v, [run, "factor"], F.when(F.col("high"), -F.col("value")).otherwise(F.col("value")), "ticker")
+    rank = F.when(F.col("value").isNotNull(), F.col("first") + (F.col("same") - 1) / 2).when(F.col("missing") != "neutral", F.col("n").cast("double"))
+    return v.withColumn("rank", rank).drop("seq", "first", "same")
+
+
+def factor_ranks(values: DataFrame, factors: list[FactorSpec], run: str = "run") -> DataFrame:
+    """(run, ticker, factor, value) -> those kept after exclusions, with n and rank (average ranks; null for a neutral gap)."""
+    return ranked_factors(values.join(specs_table(values, factors), "factor"), run)
 
 
-def verdict(i: Column, n: Column, cut: Cut) -> Column:
-    """The verdict of a 0-based sequential position among n."""
-    if cut.kind == "top_k":
-        return F.when(i < cut.k, "buy").otherwise("hold")
-    if cut.kind == "top_percentile":
-        return F.when(i < F.greatest(F.lit(1), F.bround(n * F.lit(cut.share), 0)), "buy").otherwise("hold")
-    return F.when(i < n / 5.0, "buy").when(i >= 4 * n / 5.0, "sell").otherwise("hold")
+def verdict(i: Column, n: Column, kind: Column, k: Column, share: Column) -> Column:
+    """The verdict of a 0-based sequential position among n, by the cut of its run."""
+    top = F.when(kind == "top_k", i < k).when(kind == "top_percentile", i < F.greatest(F.lit(1), F.bround(n * share, 0)))
+    return F.when(top, "buy").when(top.isNotNull(), "hold").when(i < n / 5.0, "buy").when(i >= 4 * n / 5.0, "sell").otherwise("hold")
+
+
+def rank_values(values: DataFrame, run: str = "run") -> DataFrame:
+    """(run, ticker, factor, value, high, missing, cut) -> run, ticker, n, k (factors), combined, seq (1-based), position (competition), tied, verdict. Runs may differ in all of these."""
+    r = ranked_factors(values, run)
+    per = r.groupBy(run, "ticker").agg(F.max("n").alias("__n"), F.count(F.lit(1)).cast("int").alias("k"), F.sum("rank").alias("__sum"), F.count("rank").alias("__ranked"), F.any_value("cut").alias("cut"))
+    # A gap counts as the mean of a name's ranks, or as the last rank where it has none.
+    mean = F.coalesce(F.try_divide("__sum", "__ranked"), F.col("__n").cast("double"))
+    s = per.withColumn("combined", F.coalesce("__sum", F.lit(0.0)) + (F.col("k") - F.col("__ranked")) * mean).drop("__sum", "__ranked")
+    s = numbered(s, [run], F.col("combined"), "ticker")
+    c = F.col("cut")
+    return s.select(run, "ticker", F.col("__n").alias("n"), "k", "combined", "seq", F.col("first").alias("position"), (F.col("same") > 1).alias("tied"), verdict(F.col("seq") - 1, F.col("__n"), c["kind"], c["k"], c["share"]).alias("verdict"))
 
 
 def rank_universe(values: DataFrame, factors: list[FactorSpec], cut: Cut = Cut(), run: str = "run") -> DataFrame:
     """run, ticker, n, combined, seq (1-based), position (competition), tied, verdict, score_low, score_high."""
-    r = factor_ranks(values, factors, run)
-    mean = F.coalesce(F.avg("rank").over(W.partitionBy(run, "ticker")), F.col("n").cast("double"))
-    r = r.withColumn("filled", F.coalesce("rank", mean))
-    s = r.groupBy(run, "ticker").agg(F.max("n").alias("n"), F.sum("filled").alias("combined"))
-    s = s.withColumn("seq", F.row_number().over(W.partitionBy(run).orderBy("combined", "ticker")))
-    s = s.withColumn("position", F.rank().over(W.partitionBy(run).orderBy("combined"))).withColumn("tied", F.count(F.lit(1)).over(W.partitionBy(run, "combined")) > 1)
+    own = F.struct(F.lit(cut.kind).alias("kind"), F.lit(cut.k).alias("k"), F.lit(cut.share).alias("share"))
+    s = rank_values(values.join(specs_table(values, factors), "factor").withColumn("cut", own), run)
     k = len(factors)
-    return s.withColumn("verdict", verdict(F.col("seq") - 1, F.col("n"), cut)).withColumn("score_low", F.lit(float(k))).withColumn("score_high", (F.col("n") * k).cast("double"))
+    return s.drop("k").withColumn("score_low", F.lit(float(k))).withColumn("score_high", (F.col("n") * k).cast("double"))
 
 
-def excluded(values: DataFrame, factors: list[FactorSpec], run: str = "run") -> DataFrame:
-    """Names that an exclude factor drops, with the original size of the cohort and the first factor that is missing."""
-    order = F.broadcast(values.sparkSession.createDataFrame([(f.name, i) for i, f in enumerate(factors) if f.missing == "exclude"] or [("", 0)], "factor string, ord int"))
+def excluded_of(values: DataFrame, run: str = "run") -> DataFrame:
+    """(run, ticker, factor, value, missing, ord): names that an exclude factor drops, with the original size of the cohort and every factor that is missing, in order."""
     size = values.groupBy(run).agg(F.count_distinct("ticker").alias("n"))
-    gone = values.where("value is null").join(order, "factor").groupBy(run, "ticker").agg(F.min_by("factor", "ord").alias("factor"))
-    return gone.join(size, run).select(run, "ticker", F.concat(F.lit("missing factor: "), "factor").alias("reason"), "n")
+    gone = values.where("value is null and missing = 'exclude'").groupBy(run, "ticker").agg(F.array_sort(F.collect_list(F.struct("ord", "factor"))).alias("gaps"))  # a strategy's few factors
+    return gone.join(size, run).select(run, "ticker", F.concat(F.lit("missing factor(s): "), F.array_join(F.col("gaps.factor"), ", ")).alias("reason"), "n")
+
+
+def excluded(values: DataFrame, factors: list[FactorSpec], run: str = "run") -> DataFrame:
+    """(run, ticker, factor, value) -> run, ticker, reason, n of the names that an exclude factor drops."""
+    rows = [(f.name, i, f.missing) for i, f in enumerate(factors)] or [("", 0, "")]
+    order = F.broadcast(values.sparkSession.createDataFrame(rows, "factor string, ord int, missing string"))
+    return excluded_of(values.join(order, "factor"), run)
 
 
 def tie_groups(ranked: DataFrame, run: str = "run") -> DataFrame:
@@ -94,15 +108,10 @@ def boundary_ties(ranked: DataFrame, run: str = "run") -> DataFrame:
 
 def terciles(rows: DataFrame, run: str = "run") -> DataFrame:
     """(run, ticker, mean), 1 the best: loved, middle or least, cuts pushed past ties to the loved side; null means take no part."""
-    r = rows.where("mean is not null")
-    w = W.partitionBy(run).orderBy("mean", "ticker")
-    r = r.withColumn("i", F.row_number().over(w)).withColumn("n", F.count(F.lit(1)).over(W.partitionBy(run)))
-    every = W.partitionBy(run)
-    first, second = F.floor(F.col("n") / 3), F.floor(2 * F.col("n") / 3)
-    # The last mean on the loved side of each cut: equal means follow it.
-    a = F.max(F.when(F.col("i") <= first, F.col("mean"))).over(every)
-    b = F.max(F.when(F.col("i") <= second, F.col("mean"))).over(every)
-    return r.withColumn("bucket", F.when(F.col("mean") <= a, "loved").when(F.col("mean") <= b, "middle").otherwise("least")).drop("i", "n")
+    r = numbered(rows.where("mean is not null"), [run], F.col("mean"), "ticker")
+    # A name goes with the first of its equals: on the loved side of a cut if that one is.
+    third = lambda k: F.floor(k * F.col("n") / 3)
+    return r.withColumn("bucket", F.when(F.col("first") <= third(1), "loved").when(F.col("first") <= third(2), "middle").otherwise("least")).drop("seq", "first", "same", "n")
 
 
 def divergence(rows: DataFrame, run: str = "run") -> DataFrame:

@@ -18,17 +18,22 @@ from ..functions.statements import fcf_series, mean_of, peg_with_earnings, throu
 RESULT = "struct<passed:boolean,observed:double,threshold:double,note:string,basis:string>"
 
 
-def result(passed: Column, observed: Column, threshold: float, note: Column | None = None, basis: Column | None = None) -> Column:
+def level(t: float | Column) -> Column:
+    """A threshold, given or of the row's own strategy."""
+    return t.cast("double") if isinstance(t, Column) else F.lit(float(t))
+
+
+def result(passed: Column, observed: Column, threshold: float | Column, note: Column | None = None, basis: Column | None = None) -> Column:
     text = F.lit(None).cast("string")
-    return F.struct(passed.alias("passed"), observed.cast("double").alias("observed"), F.lit(float(threshold)).alias("threshold"), (text if note is None else note).alias("note"), (F.lit("") if basis is None else basis).alias("basis"))
+    return F.struct(passed.alias("passed"), observed.cast("double").alias("observed"), level(threshold).alias("threshold"), (text if note is None else note).alias("note"), (F.lit("") if basis is None else basis).alias("basis"))
 
 
 @dataclass(frozen=True)
 class Criterion:
-    """build: threshold -> struct; requires: kinds of evidence; columns: fields it reads; low, high: bounds of a threshold."""
+    """build: threshold (a number, or a column of numbers) -> struct; requires: kinds of evidence; columns: fields it reads; low, high: bounds of a threshold."""
 
     name: str
-    build: Callable[[float], Column]
+    build: Callable[[float | Column], Column]
     requires: tuple[str, ...]
     columns: tuple[str, ...]
     low: float
@@ -113,7 +118,7 @@ def min_dividend_streak(t: float) -> Column:
 
 @criterion("min_dividend_growth_streak", ("dividends",), ("growth_streak",), 0, 200)
 def min_dividend_growth_streak(t: float) -> Column:
-    return result(F.col("growth_streak") >= int(t), F.col("growth_streak"), t)
+    return result(F.col("growth_streak") >= F.floor(level(t)), F.col("growth_streak"), t)
 
 
 @criterion("max_debt_to_market_cap", ("fundamentals",), ("total_debt", "market_cap"), 0, 100)
@@ -161,9 +166,13 @@ def run_screen(inputs: DataFrame, selections: list[tuple[str, float]], key: tupl
     return inputs.withColumns(missing).select(*key, F.explode(rows).alias("x")).select(*key, "x.ord", "x.criterion", "x.r.*")
 
 
-def reason() -> Column:
+def reason_of(name: Column, observed: Column, threshold: Column) -> Column:
     """Text of a confirmed fail."""
-    return F.concat(F.col("criterion"), F.lit(": "), F.when(F.col("observed").isNull(), "fails").otherwise(F.format_string("%.4f", "observed")), F.lit(" against "), F.format_string("%.4f", "threshold"))
+    return F.concat(name, F.lit(": "), F.when(observed.isNull(), "fails").otherwise(F.format_string("%.4f", observed)), F.lit(" against "), F.format_string("%.4f", threshold))
+
+
+def reason() -> Column:
+    return reason_of(F.col("criterion"), F.col("observed"), F.col("threshold"))
 
 
 def evaluate(screen: DataFrame, key: tuple[str, ...] = ("ticker",)) -> DataFrame:

@@ -48,8 +48,9 @@ def integrity(outcomes: DataFrame, by: list[str], listed: int = 5) -> DataFrame:
     return sizes.join(names, same, "left").select(*by, "n", F.coalesce("names", F.array().cast("array<string>")).alias("names"))
 
 
-def field_coverage(df: DataFrame, fields: list[str], threshold: float = 0.8) -> DataFrame:
-    """field, present, total, share, decision: IN from ``threshold`` on."""
+def field_coverage(df: DataFrame, fields: list[str], threshold: float = 0.8, by: list[str] | None = None) -> DataFrame:
+    """field, present, total, share, decision: IN from ``threshold`` on. With ``by``, for each of its groups."""
+    by = by or []
     cells = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).isNotNull().alias("present")) for f in fields])
-    a = df.select(F.explode(cells).alias("x")).groupBy("x.field").agg(F.count_if(F.col("x.present")).alias("present"), F.count(F.lit(1)).alias("total"))
-    return a.select("field", "present", "total", (F.col("present") / F.col("total")).alias("share"), F.when(F.col("present") / F.col("total") >= threshold, "IN").otherwise("OUT").alias("decision"))
+    a = df.select(*by, F.explode(cells).alias("x")).groupBy(*by, "x.field").agg(F.count_if(F.col("x.present")).alias("present"), F.count(F.lit(1)).alias("total"))
+    return a.select(*by, "field", "present", "total", (F.col("present") / F.col("total")).alias("share"), F.when(F.col("present") / F.col("total") >= threshold, "IN").otherwise("OUT").alias("decision"))

@@ -5,12 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.factors import outcomes
-from ..operators.rank import excluded, rank_universe
-from ..operators.screen import evaluate, first_gate, gate_cells, run_screen
+from ..operators.order import numbered
+from ..operators.screen import gate_cells, run_screen
+from .cohorts import Grades, grade
 from .strategy import SCREENS, RankStrategy, ScreenStrategy
 
 
@@ -21,52 +21,26 @@ class RankResult:
     rows: DataFrame
     factors: DataFrame
     screen: DataFrame | None
-    held: tuple = ()
 
-    def release(self) -> None:
-        """Gives back what was cached for the plans of this result."""
-        for df in self.held:
-            df.unpersist()
 
+def rank(inputs: DataFrame, strategy: RankStrategy, screens: dict[str, ScreenStrategy] = SCREENS) -> RankResult:
+    """All names of ``inputs`` as one cohort under one strategy."""
+    g = _all_under(inputs, [strategy], screens)
+    screen = run_screen(inputs, list(screens[strategy.screen].criteria)) if strategy.screen else None
+    return RankResult(g.rows.select("ticker", "status", "reason", "seq", "position", "tied", "combined", "verdict"), g.values.select("ticker", "factor", "value", "source"), screen)
 
-def unrateable():
-    """No price, and nothing known of the name."""
-    known = [c for c in ("market_cap", "total_revenue", "operating_income", "dividend_yield", "pe_ratio")]
-    return F.col("last_close").isNull() & F.coalesce(*[F.col(c).cast("string") for c in known]).isNull()
 
+def _all_under(inputs: DataFrame, strategies: list[RankStrategy], screens: dict[str, ScreenStrategy]) -> Grades:
+    ids = list(dict.fromkeys(s.id for s in strategies))
+    lenses = inputs.sparkSession.createDataFrame([("all", i) for i in ids], "cohort string, strategy string")
+    return grade(inputs.select(F.lit("all").alias("cohort"), "ticker"), lenses, inputs, strategies, screens)
 
-def rank(inputs: DataFrame, strategy: RankStrategy, screens: dict[str, ScreenStrategy] = SCREENS) -> RankResult:
-    base = inputs.withColumns({c: F.lit(None).cast("double") for c in ("last_close", "market_cap", "total_revenue", "operating_income", "dividend_yield", "pe_ratio", "payout_ratio") if c not in inputs.columns} | {c: F.lit(None).cast("string") for c in ("quote_type", "sector", "currency") if c not in inputs.columns})
-    # One row for each name, read by gates, screen and factors: worked out from the bars once.
-    base = base.withColumn("__shell", unrateable()).cache()
-    gates = first_gate(gate_cells(base, strategy.gates))
-    state = base.select("ticker", "__shell").join(gates, "ticker", "left").select("ticker", F.when(F.col("__shell"), "unrateable").when(F.col("gate").isNotNull(), "excluded").alias("status"), F.when(F.col("__shell"), "no data").when(F.col("gate").isNotNull(), F.concat(F.lit("gate: "), "gate")).alias("reason"))
-    screen = None
-    if strategy.screen:
-        screen = run_screen(base, list(screens[strategy.screen].criteria))
-        fails = evaluate(screen).select("ticker", "first_fail")
-        state = state.join(fails, "ticker", "left").select("ticker", F.coalesce("status", F.when(F.col("first_fail").isNotNull(), "excluded")).alias("status"), F.coalesce("reason", F.concat(F.lit("screen: "), "first_fail")).alias("reason"))
-    live = base.join(state.where("status is null").select("ticker"), "ticker", "left_semi")
-    values = outcomes(live, list(strategy.factors)).withColumn("run", F.lit(strategy.id)).cache()
-    ranked = rank_universe(values, strategy.specs(), strategy.cut)
-    gone = excluded(values, strategy.specs())
-    none = lambda c, t: F.lit(None).cast(t).alias(c)
-    rows = ranked.select("ticker", F.lit("ranked").alias("status"), none("reason", "string"), "seq", "position", "tied", "combined", "verdict")
-    for other in (state.where("status is not null").select("ticker", "status", "reason"), gone.select("ticker", F.lit("excluded").alias("status"), "reason")):
-        rows = rows.unionByName(other, allowMissingColumns=True)
-    return RankResult(rows, values, screen, (base, values))
-
-
-def multi(inputs: DataFrame, strategies: list[RankStrategy]) -> DataFrame:
-    """The grid: ticker, one struct (position, verdict, status) for each strategy, n_ranked, rank_sum, in order. Inputs are shared; positions are summed only where ranked."""
-    inputs = inputs.cache()
-    first = {s.id: s for s in reversed(strategies)}
+
+def multi(inputs: DataFrame, strategies: list[RankStrategy], screens: dict[str, ScreenStrategy] = SCREENS) -> DataFrame:
+    """The grid: ticker, one struct (position, verdict, status) for each strategy, n_ranked, rank_sum, in order, of one plan whatever the number of strategies; positions are summed only
+    where ranked."""
     ids = list(dict.fromkeys(s.id for s in strategies))
-    cells = None
-    for i in ids:
-        r = rank(inputs, first[i]).rows.select("ticker", F.lit(i).alias("strategy"), "position", "verdict", "status")
-        cells = r if cells is None else cells.unionByName(r)
-    return grid(cells, ids)
+    return grid(_all_under(inputs, strategies, screens).rows.select("ticker", "strategy", "position", "verdict", "status"), ids)
 
 
 def grid(cells: DataFrame, ids: list[str]) -> DataFrame:
@@ -111,6 +85,5 @@ def screen_ranking(inputs: DataFrame, strategy: ScreenStrategy, momentum: tuple[
 def split_rankings(rankings: DataFrame) -> DataFrame:
     """Adds part: scored, gated or other. Of the scored, the highest score comes first, ties by symbol; ``scored_at`` is the place from 1."""
     part = F.when(F.col("gated"), "gated").when(F.col("error").isNotNull() | F.col("score").isNull(), "other").otherwise("scored")
-    r = rankings.withColumn("part", part)
-    place = F.row_number().over(W.partitionBy("part").orderBy(F.desc("score"), "ticker"))
-    return r.withColumn("scored_at", F.when(F.col("part") == "scored", place))
+    r = numbered(rankings.withColumn("part", part), ["part"], -F.col("score"), "ticker")
+    return r.withColumn("scored_at", F.when(F.col("part") == "scored", F.col("seq"))).drop("seq", "first", "same", "n")

@@ -12,7 +12,7 @@ from .functions import clean, text
 from .functions import statements as st
 from .operators import asof, audit, band, decision, dividends, prices, rank, screen, sets
 from .operators import factors as fac
-from .plans import backtest, pipeline, scoreboard
+from .plans import backtest, cohorts, pipeline, scoreboard
 from .plans.strategy import RankStrategy, ScreenStrategy
 from .sources import catalog, market
 from .sources.market import table
@@ -379,7 +379,7 @@ def rank_missing_exclude(spark, sf):
     return _ranked(rank.rank_universe(_values(spark, sf, "gaps"), [rank.FactorSpec(s.name, s.direction, "exclude") for s in RANK3]))
 
 
-@query(with_(BARS, INSTRUMENTS, TECH, VALUES.format(size=SIZE_GAPS)) + "SELECT ticker, 'missing factor: ' || CASE WHEN mom IS NULL THEN 'momentum' WHEN size IS NULL THEN 'size' ELSE 'volatility' END AS reason, (SELECT count(*) FROM vals) AS n FROM vals WHERE mom IS NULL OR size IS NULL OR vol IS NULL")
+@query(with_(BARS, INSTRUMENTS, TECH, VALUES.format(size=SIZE_GAPS)) + "SELECT ticker, 'missing factor(s): ' || concat_ws(', ', CASE WHEN mom IS NULL THEN 'momentum' END, CASE WHEN size IS NULL THEN 'size' END, CASE WHEN vol IS NULL THEN 'volatility' END) AS reason, (SELECT count(*) FROM vals) AS n FROM vals WHERE mom IS NULL OR size IS NULL OR vol IS NULL")
 def rank_excluded(spark, sf):
     return rank.excluded(_values(spark, sf, "gaps"), [rank.FactorSpec(s.name, s.direction, "exclude") for s in RANK3]).select("ticker", "reason", "n")
 
@@ -524,15 +524,71 @@ def company_check(spark, sf):
 @query(_rank_sql(SIZE_ALL) + """, a AS (SELECT ticker, rank() OVER (ORDER BY rm) AS p FROM rk), b AS (SELECT ticker, rank() OVER (ORDER BY rs) AS p FROM rk WHERE rs IS NOT NULL)
 SELECT coalesce(a.ticker, b.ticker) AS ticker, CAST(a.p AS INT) AS momentum, CAST(b.p AS INT) AS size, CAST((a.p IS NOT NULL)::INT + (b.p IS NOT NULL)::INT AS INT) AS n_ranked, CAST(coalesce(a.p, 0) + coalesce(b.p, 0) AS BIGINT) AS rank_sum FROM a FULL JOIN b ON a.ticker = b.ticker""")
 def multi_strategy_grid(spark, sf):
-    v = _values(spark, sf).cache()
-    cells = None
-    for s in RANK3[:2]:
-        one = rank.rank_universe(v.where(F.col("factor") == s.name), [s]).select("ticker", F.lit(s.name).alias("strategy"), "position", "verdict", F.lit("ranked").alias("status"))
-        cells = one if cells is None else cells.unionByName(one)
+    v = _values(spark, sf).where(F.col("factor").isin("momentum", "size")).withColumn("run", F.col("factor"))
+    cells = rank.rank_universe(v, RANK3[:2]).select("ticker", F.col("run").alias("strategy"), "position", "verdict", F.lit("ranked").alias("status"))
     g = pipeline.grid(cells, ["momentum", "size"])
     return g.select("ticker", F.col("momentum.position").alias("momentum"), F.col("size.position").alias("size"), "n_ranked", "rank_sum")
 
 
+# Two cohorts under their own strategies, in one plan.
+RAW_VALUE = RankStrategy("raw_value_v1", ("earnings_yield", "momentum_12m"), gates=screen.Gates(("equity",), 5000.0, include_sectors=("ASIA", "EUROPE", "AFRICA")))
+FUND_TREND = RankStrategy("fund_trend_v1", ("momentum_12m", "low_volatility"), "neutral", rank.Cut("top_k", k=5), screen.Gates(("etf",)))
+FUND_VALUE = RankStrategy("fund_value_v1", ("earnings_yield", "low_volatility"), "exclude", rank.Cut("top_percentile", share=0.3), screen.Gates(("etf",), max_payout=0.8))
+LENSES = {"stock": [PIPE.id, RAW_VALUE.id], "etf": [FUND_TREND.id, FUND_VALUE.id]}
+HOLDINGS_SQL = with_(BARS, INSTRUMENTS, TECH, """inp AS (SELECT i.*, CAST(substring(i.ticker, 2) AS INT) AS ord, return_12m, volatility, CASE WHEN market_cap > 0 THEN 100 / market_cap END AS ey FROM instruments i LEFT JOIN tech t ON t.ticker = i.ticker)""",
+ """held AS (SELECT *, CASE quote_type WHEN 'ETF' THEN 'etf' ELSE 'stock' END AS kind, CASE WHEN ord % 11 = 0 THEN 'unknown asset type' END AS skip_reason FROM inp)""",
+ """st AS (SELECT 'market_rank_v1' AS strategy, *, CASE WHEN currency = 'USD' AND market_cap < 100 THEN 'gate: market_cap' WHEN sector = 'EUROPE' THEN 'gate: sector_excluded' WHEN return_12m < -0.9 THEN 'screen: min_price_momentum' WHEN currency = 'USD' AND market_cap < 500 THEN 'screen: min_market_cap' WHEN market_cap > 0 AND abs(market_cap) / 2 / market_cap > 0.6 THEN 'screen: max_debt_to_market_cap' END AS reason FROM held WHERE kind = 'stock' AND skip_reason IS NULL
+  UNION ALL SELECT 'raw_value_v1', *, CASE WHEN currency = 'USD' AND market_cap < 5000 THEN 'gate: market_cap' WHEN sector NOT IN ('ASIA', 'EUROPE', 'AFRICA') THEN 'gate: sector_scope' END FROM held WHERE kind = 'stock' AND skip_reason IS NULL
+  UNION ALL SELECT 'fund_trend_v1', *, NULL FROM held WHERE kind = 'etf' AND skip_reason IS NULL
+  UNION ALL SELECT 'fund_value_v1', *, CASE WHEN market_cap / 10000 > 0.8 THEN 'gate: payout_uncovered' WHEN ey IS NULL OR volatility IS NULL THEN 'missing factor(s): ' || concat_ws(', ', CASE WHEN ey IS NULL THEN 'earnings_yield' END, CASE WHEN volatility IS NULL THEN 'low_volatility' END) END FROM held WHERE kind = 'etf' AND skip_reason IS NULL)""",
+ """v AS (SELECT strategy, ticker, x.f AS f, x.v AS v FROM (SELECT strategy, ticker, unnest(CASE strategy WHEN 'market_rank_v1' THEN [{f: 'm', v: -return_12m}, {f: 'l', v: volatility}, {f: 'e', v: -ey}] WHEN 'raw_value_v1' THEN [{f: 'm', v: -return_12m}, {f: 'e', v: -ey}] WHEN 'fund_trend_v1' THEN [{f: 'm', v: -return_12m}, {f: 'l', v: volatility}] ELSE [{f: 'e', v: -ey}, {f: 'l', v: volatility}] END) AS x FROM st WHERE reason IS NULL))""",
+ """k AS (SELECT *, CASE WHEN v IS NOT NULL THEN rank() OVER (PARTITION BY strategy, f ORDER BY v NULLS LAST) + (count(*) OVER (PARTITION BY strategy, f, v) - 1) / 2.0 WHEN strategy <> 'fund_trend_v1' THEN count(*) OVER (PARTITION BY strategy, f) END AS r, count(*) OVER (PARTITION BY strategy, f) AS n FROM v)""",
+ """s AS (SELECT strategy, ticker, max(n) AS n, coalesce(sum(r), 0) + (count(*) - count(r)) * coalesce(avg(r), max(n)) AS combined FROM k GROUP BY 1, 2)""",
+ """q AS (SELECT *, row_number() OVER (PARTITION BY strategy ORDER BY combined, ticker) AS seq, rank() OVER (PARTITION BY strategy ORDER BY combined) AS position FROM s)""",
+ """res AS (SELECT st.strategy, st.ticker, st.kind, CASE WHEN q.ticker IS NOT NULL THEN 'ranked' ELSE 'excluded' END AS status, CAST(q.position AS INT) AS position, CASE strategy WHEN 'fund_trend_v1' THEN CASE WHEN seq <= 5 THEN 'buy' WHEN seq > 5 THEN 'hold' END WHEN 'fund_value_v1' THEN CASE WHEN seq - 1 < greatest(1, round_even(n * 0.3, 0)) THEN 'buy' WHEN seq IS NOT NULL THEN 'hold' END ELSE CASE WHEN seq - 1 < n / 5.0 THEN 'buy' WHEN seq - 1 >= 4 * n / 5.0 THEN 'sell' WHEN seq IS NOT NULL THEN 'hold' END END AS verdict, st.reason, q.n, round(q.combined, 6) AS combined FROM st LEFT JOIN q USING (strategy, ticker))""")
+
+
+def _holdings(spark, sf) -> tuple[DataFrame, DataFrame]:
+    x = market.inputs(spark, sf)
+    ord_ = F.col("ticker").substr(2, 20).cast("int")
+    parsed = x.select(ord_.alias("ord"), "ticker", F.when(F.col("quote_type") == "ETF", "etf").otherwise("stock").alias("kind"), F.when(ord_ % 11 == 0, "unknown asset type").alias("skip_reason"))
+    return parsed, x
+
+
+def _plain(c):
+    """A reason without the figures of a screen."""
+    return F.when(c.startswith("screen: "), F.concat(F.lit("screen: "), text.criterion_of(c))).otherwise(c)
+
+
+@query(HOLDINGS_SQL + "SELECT kind AS cohort, strategy, ticker, status, reason, position, combined, verdict FROM res")
+def cohorts_by_strategies(spark, sf):
+    parsed, x = _holdings(spark, sf)
+    pairs = spark.createDataFrame([(k, s) for k, ids in LENSES.items() for s in ids], "cohort string, strategy string")
+    rows = cohorts.grade(parsed.where("skip_reason is null").select(F.col("kind").alias("cohort"), "ticker"), pairs, x, [PIPE, RAW_VALUE, FUND_TREND, FUND_VALUE], {PIPE_SCREEN.id: PIPE_SCREEN}).rows
+    return rows.select("cohort", "strategy", "ticker", "status", _plain(F.col("reason")).alias("reason"), "position", r("combined").alias("combined"), "verdict")
+
+
+@query(HOLDINGS_SQL.rstrip() + """, g AS (SELECT ticker, CAST(count(position) AS INT) AS k, CAST(sum(position) AS BIGINT) AS rank_sum, list(strategy || ':' || status || ':' || coalesce(CAST(position AS VARCHAR), '') || ':' || coalesce(verdict, '') ORDER BY strategy) AS cells FROM res GROUP BY 1),
+ sc AS (SELECT ticker, CASE WHEN ord % 4 > 1 THEN ord % 10 END AS score, CASE WHEN ord % 4 > 1 THEN 9 ELSE 5 END AS computed FROM inp WHERE ord % 4 > 0)
+SELECT ord, CASE WHEN skip_reason IS NULL THEN 'graded' ELSE 'skipped' END AS status, kind, h.ticker, rank_sum, CASE WHEN skip_reason IS NULL THEN coalesce(k, 0) END AS graded_by, CASE WHEN skip_reason IS NULL THEN k = 2 END AS comparable, cells,
+ CASE WHEN skip_reason IS NULL AND kind = 'stock' THEN CASE WHEN score IS NOT NULL THEN score || '/9' WHEN computed IS NOT NULL THEN 'abstained (' || computed || '/9 computable)' ELSE 'no data' END END AS f_score, skip_reason FROM held h LEFT JOIN g USING (ticker) LEFT JOIN sc USING (ticker)""")
+def grade_holdings(spark, sf):
+    parsed, x = _holdings(spark, sf)
+    ord_ = F.col("ord")
+    scores = parsed.where(ord_ % 4 > 0).select("ticker", F.when(ord_ % 4 > 1, ord_ % 10).alias("score"), F.when(ord_ % 4 > 1, 9).otherwise(5).alias("computed"), F.lit("").alias("checks"))
+    h = cohorts.holdings(parsed, x, LENSES, [PIPE, RAW_VALUE, FUND_TREND, FUND_VALUE], scores, {PIPE_SCREEN.id: PIPE_SCREEN})
+    cells = F.transform(F.array_sort(F.map_keys("cells")), lambda k: F.concat_ws(":", k, F.col("cells")[k]["status"], F.coalesce(F.col("cells")[k]["position"].cast("string"), F.lit("")), F.coalesce(F.col("cells")[k]["verdict"], F.lit(""))))
+    return h.select("ord", "status", "kind", "ticker", "rank_sum", "graded_by", "comparable", cells.alias("cells"), "f_score", "skip_reason")
+
+
+@query(with_(INSTRUMENTS, BARS, TECH, "x AS (SELECT i.sector, i.ticker, t.last_close, t.volatility, t.return_12m, CASE WHEN market_cap > 0 THEN market_cap END AS market_cap FROM instruments i LEFT JOIN tech t ON t.ticker = i.ticker WHERE quote_type = 'ETF')")
+ + "SELECT sector AS cohort, field, present, total, CAST(present AS DOUBLE) / total AS share, CASE WHEN CAST(present AS DOUBLE) / total >= 0.8 THEN 'IN' ELSE 'OUT' END AS decision FROM (SELECT sector, unnest(['last_close', 'volatility', 'return_12m', 'market_cap']) AS field, unnest([count(last_close), count(volatility), count(return_12m), count(market_cap)]) AS present, count(*) AS total FROM x GROUP BY sector)")
+def coverage_probe(spark, sf):
+    """Which fields are known of enough funds of each cohort to be ranked by."""
+    x = market.inputs(spark, sf).where("quote_type = 'ETF'").withColumn("market_cap", F.when(F.col("market_cap") > 0, F.col("market_cap")))
+    return sets.field_coverage(x.withColumnRenamed("sector", "cohort"), ["last_close", "volatility", "return_12m", "market_cap"], by=["cohort"])
+
+
 SNAP = """snap AS (SELECT 'C' || c_custkey AS ticker, CASE WHEN c_mktsegment = 'BUILDING' THEN 'BUY' WHEN c_mktsegment = 'MACHINERY' THEN 'SELL' WHEN c_mktsegment = 'FURNITURE' THEN 'EXCLUDED' ELSE 'HOLD' END AS bucket, 'n' || c_nationkey % 3 AS strategy, CASE WHEN c_acctbal > -500 THEN round(c_acctbal / 1000, 6) END AS ret FROM customer)"""
 STATS = """fr AS (SELECT strategy, unnest(['BUY', 'HOLD', 'SELL', 'EXCLUDED']) AS bucket FROM (SELECT DISTINCT strategy FROM snap)), ag AS (SELECT strategy, bucket, count(*) AS n, avg(ret) AS mean, median(ret) AS median FROM snap WHERE ret IS NOT NULL GROUP BY 1, 2), un AS (SELECT strategy, avg(ret) AS u FROM snap WHERE ret IS NOT NULL GROUP BY 1),
 stats AS (SELECT fr.strategy, fr.bucket, coalesce(n, 0) AS n, mean, median, mean - u AS excess FROM fr LEFT JOIN ag ON ag.strategy = fr.strategy AND ag.bucket = fr.bucket LEFT JOIN un ON un.strategy = fr.strategy)"""

@@ -10,15 +10,17 @@ from . import schemas
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below the one the session names in ``spark.checkpoint.dir``. Where it is unset, below the warehouse in local mode, whose tasks
+    """A new folder below the one the session names in ``spark.checkpoint.dir``. Where it is unset, a temporary one in local mode, whose tasks
     share the machine; on a cluster an error, for executors could not read what is written there."""
+    import tempfile
     import uuid
 
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = spark.conf.get("spark.sql.warehouse.dir")
+        base = "file://" + tempfile.mkdtemp(prefix="cohortmill-")
+        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/catalog-{uuid.uuid4().hex}"
 
 
