@@ -66,6 +66,6 @@ def test_the_plan_does_not_grow_with_strategies(spark):
 def test_multi_and_empty(spark):
     x = inputs(spark)
     g = {r.ticker: r for r in pipeline.multi(x, [A, B, A], SCREENS).collect()}
-    assert g["A"].n_ranked == 2 and g["A"].rank_sum == 2 and g["F"].n_ranked == 0
+    assert g["A"].n_ranked == 2 and g["A"].rank_sum == 3 and g["F"].n_ranked == 0
     none = x.where("false")
     assert cohorts.grade(none.select(F.lit("all").alias("cohort"), "ticker"), spark.createDataFrame([("all", "a_v1")], "cohort string, strategy string"), none, [A], SCREENS).rows.count() == 0
