@@ -54,3 +54,21 @@ def field_coverage(df: DataFrame, fields: list[str], threshold: float = 0.8, by:
     cells = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).isNotNull().alias("present")) for f in fields])
     a = df.select(*by, F.explode(cells).alias("x")).groupBy(*by, "x.field").agg(F.count_if(F.col("x.present")).alias("present"), F.count(F.lit(1)).alias("total"))
     return a.select(*by, "field", "present", "total", (F.col("present") / F.col("total")).alias("share"), F.when(F.col("present") / F.col("total") >= threshold, "IN").otherwise("OUT").alias("decision"))
+
+
+def by_priority(rows: DataFrame, sources: DataFrame, today) -> DataFrame:
+    """rows: (source, symbol, added date, note); sources: (source, priority from 0, window_days or null). One row for each symbol: symbol, source, added, note, found_by.
+
+    Rows of a source older than its window are not seen; undated rows and sources without a window always are, and rows of sources that are not listed never. The first source by priority gives the row, its
+    oldest one, ties by note; ``found_by`` are all sources that have the symbol, in that order. Minima and small sets only: no group is gathered, nothing is ordered as a whole."""
+    seen = rows.join(F.broadcast(sources), "source")  # a few rows
+    seen = seen.where(F.col("window_days").isNull() | F.col("added").isNull() | (F.date_diff(today, F.col("added")) <= F.col("window_days")))
+    first = F.min(F.struct("priority", F.col("added").isNull().alias("undated"), "added", "note", "source"))
+    a = seen.groupBy("symbol").agg(first.alias("x"), F.array_sort(F.collect_set(F.struct("priority", "source"))).alias("by"))
+    return a.select("symbol", "x.source", "x.added", "x.note", F.transform("by", lambda b: b["source"]).alias("found_by"))
+
+
+def also_found_by(merged: DataFrame) -> DataFrame:
+    """Rows of ``by_priority`` -> source, symbol, others: each source's names, with the other sources that found them too."""
+    e = merged.select("symbol", F.explode("found_by").alias("source"), "found_by")
+    return e.select("source", "symbol", F.array_sort(F.array_except("found_by", F.array("source"))).alias("others"))
