@@ -89,13 +89,6 @@ _criterion_query("criterion_streaks", ("min_dividend_growth_streak", "min_divide
 _criterion_query("criterion_scores", ("min_f_score", "valuation_band_percentile"))
 
 
-@query("SELECT * FROM (VALUES ('conservative_screen_v1', ['dividends_paid', 'dividend_per_share', 'last_close'][1:0], 'fundamentals,prices'), ('growth_screen_v2', [], 'fundamentals'), ('dividend_aristocrats_v1', [], 'dividends,fundamentals,prices')) AS t(id, none, evidence)".replace("id, none, evidence)", "id, none, evidence) ").replace("SELECT *", "SELECT id, evidence"))
-def required_evidence(spark, sf):
-    """What kinds of evidence a screen's criteria need."""
-    ids = ("conservative_screen_v1", "growth_screen_v2", "dividend_aristocrats_v1")
-    return spark.createDataFrame([(i, ",".join(sorted(screen.required_evidence(list(SCREENS[i].criteria))))) for i in ids], "id string, evidence string")
-
-
 # Three more lines of statements, each with its own numbers, for the nine checks.
 LINES = """ln AS (SELECT ticker, k, gross AS ni, revenue * 2 AS assets, tax * 3 AS ocf, CASE WHEN k % 2 = 1 THEN quantity * 10 ELSE quantity * 12 END AS ltd, gross + tax AS ca, quantity * 5 + tax AS cl, floor(quantity / 100) AS shares, gross * 0.4 + tax AS gp, revenue FROM yrs WHERE k <= 2),
 p2 AS (SELECT a.ticker, a.ni, a.assets, a.ocf, a.ltd, a.ca, a.cl, a.shares, a.gp, a.revenue, b.ni AS ni0, b.assets AS assets0, b.ltd AS ltd0, b.ca AS ca0, b.cl AS cl0, b.shares AS shares0, b.gp AS gp0, b.revenue AS revenue0 FROM ln a LEFT JOIN ln b ON b.ticker = a.ticker AND b.k = 2 WHERE a.k = 1),
@@ -334,11 +327,6 @@ def universe_by_id(spark, sf):
     return universes.by_id(_manifests(spark, sf), "europe_v1")
 
 
-@query("SELECT 'adhoc:' || substring(sha256('A,B,C'), 1, 8) AS universe_id, CAST(i AS INT) AS ord, t AS ticker FROM (VALUES (0, 'B'), (1, 'A'), (2, 'C')) AS v(i, t)")
-def universe_adhoc(spark, sf):
-    return universes.resolve(spark, _manifests(spark, sf), ["b ", "A.", "", "a", "c"])
-
-
 @query(MANIFESTS + "SELECT id, tickers, true AS local FROM u WHERE id <> 'asia'")
 def universe_saved(spark, sf):
     """Personal lists are saved, found again and marked."""
@@ -347,14 +335,6 @@ def universe_saved(spark, sf):
     return universes.listed(universes.read(spark, folder)).select("id", "tickers", "local")
 
 
-@query("SELECT id FROM (VALUES ('conservative_plus_v1'), ('magic_formula_v1'), ('magic_formula_momentum_v1'), ('magic_formula_raw_v1'), ('growth_garp_v1'), ('growth_garp_v2'), ('financials_v1')) AS t(id)")
-def applicable_strategies(spark, sf):
-    """Strategies that fit a cohort of equities: those of no kind or of this kind."""
-    s = spark.createDataFrame([(i, list(x.gates.asset_kinds)) for i, x in RANKS.items()], "id string, kinds array<string>")
-    cohort = market.instruments(spark, sf).where("quote_type = 'EQUITY'").select(clean.asset_kind(F.col("quote_type")).alias("kind"))
-    return reporting.applicable(s, cohort).select("id")
-
-
 # Display -------------------------------------------------------------------------------------------
 
 
@@ -466,12 +446,6 @@ def report_cells(spark, sf):
     )
 
 
-@query("SELECT 'a/b.py: path separator' AS fault UNION ALL SELECT 'either symbols or a universe'")
-def argument_faults(spark, sf):
-    t = spark.createDataFrame([(0, "AAPL"), (1, " a/b.py"), (2, "-x")], "ord int, token string")
-    return lines.argument_faults(t, None).unionByName(lines.argument_faults(t.where("ord = 0"), "growth_v1")).unionByName(lines.argument_faults(t.where("ord = 0"), None))
-
-
 @query("SELECT DISTINCT c_mktsegment AS universe_id FROM customer WHERE c_custkey % 2 = 0")
 def graded_universes(spark, sf):
     c = table(spark, sf, "customer")

@@ -89,6 +89,16 @@ def argument_faults(tokens: DataFrame, universe_id: str | None) -> DataFrame:
     return bad.select(F.coalesce("bad", both).alias("fault")).where("fault is not null")
 
 
+def request_faults(requests: DataFrame, tokens: DataFrame) -> DataFrame:
+    """requests: (request, universe_id or null); tokens: (request, ord, token) -> request, fault: the first token that cannot be a symbol, symbols beside a universe, or neither."""
+    why = implausible_ticker(F.col("token"))
+    t = tokens.groupBy("request").agg(F.min_by(F.concat(F.trim("token"), F.lit(": "), why), F.when(why.isNotNull(), F.col("ord"))).alias("bad"), F.count(F.lit(1)).alias("n"))
+    j = requests.join(t, "request", "left")
+    named, given = F.col("universe_id").isNotNull(), F.coalesce("n", F.lit(0)) > 0
+    fault = F.coalesce("bad", F.when(named & given, "either symbols or a universe").when(~named & ~given, "symbols or a universe are needed"))
+    return j.select("request", fault.alias("fault")).where("fault is not null")
+
+
 def graded_ids(snapshots: DataFrame) -> DataFrame:
     """Ids of universes that a scoreboard has graded: these are not rewritten."""
     return snapshots.where(F.trim("universe_id") != "").select("universe_id").distinct()

@@ -90,6 +90,13 @@ def next_free_id(ids: DataFrame, key: str = "id") -> DataFrame:
     return free.groupBy("stem").agg(F.min("v").alias("v")).select("stem", F.concat("stem", F.lit("_v"), F.col("v").cast("string")).alias("next_id"))
 
 
+def applicable_by(strategies: DataFrame, members: DataFrame) -> DataFrame:
+    """strategies: (id, kinds array, lower case); members: (cohort, kind) -> cohort, id of what does not confirm as out of scope. The strategies are a few rows, those of a list."""
+    one = members.groupBy("cohort").agg(F.count_distinct("kind").alias("k"), F.min("kind").alias("kind"))
+    fits = (F.size("kinds") == 0) | (F.col("k") != 1) | F.array_contains("kinds", F.col("kind"))
+    return one.join(F.broadcast(strategies), fits).select("cohort", "id")
+
+
 def applicable(strategies: DataFrame, cohort: DataFrame) -> DataFrame:
     """Strategies (id, kinds array) that a cohort (kind of each member) does not confirm as out of scope: a cohort of one known kind must be among the kinds; an unscoped strategy fits any."""
     kinds = cohort.where("kind is not null").agg(F.collect_set(F.lower("kind")).alias("ks"))

@@ -153,6 +153,14 @@ def required_evidence(selections: list[tuple[str, float]]) -> set[str]:
     return {e for name, _ in selections for e in CRITERIA[name].requires}
 
 
+def evidence_of(selections: DataFrame) -> DataFrame:
+    """(strategy, criterion) -> strategy, evidence, fields: what the criteria of each strategy need, in order. An unknown criterion needs nothing."""
+    registry = selections.sparkSession.createDataFrame([(c.name, list(c.requires), list(c.columns)) for c in CRITERIA.values()], "criterion string, requires array<string>, columns array<string>")
+    j = selections.select("strategy", "criterion").distinct().join(F.broadcast(registry), "criterion")  # the registry's few criteria
+    whole = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c))))
+    return j.groupBy("strategy").agg(whole("requires").alias("evidence"), whole("columns").alias("fields"))
+
+
 def consumed_columns(selections: list[tuple[str, float]]) -> set[str]:
     return {c for name, _ in selections for c in CRITERIA[name].columns}
 

@@ -1055,4 +1055,4 @@ def ranked_table(spark, sf):
     return wide.join(rank.rank_universe(v, RANK3).select("ticker", "position"), "ticker")
 
 
-from . import inventory  # noqa: E402, F401  its queries join these
+from . import evidence, inventory  # noqa: E402, F401  their queries join these

@@ -47,6 +47,14 @@ def adhoc_id(tickers: Column) -> Column:
     return F.concat(F.lit("adhoc:"), member_hash(members(tickers)))
 
 
+def adhoc(tokens: DataFrame) -> DataFrame:
+    """(request, ord, token) -> request, universe_id, ord, ticker: the list of each request, a symbol where it comes first, under an id made of its members."""
+    t = tokens.select("request", ticker(F.col("token")).alias("ticker"), "ord").where("ticker <> ''").groupBy("request", "ticker").agg(F.min("ord").alias("ord"))
+    whole = t.groupBy("request").agg(F.array_sort(F.collect_list(F.struct("ord", "ticker"))).alias("list"))  # a request's own list
+    named = whole.select("request", adhoc_id(F.transform("list", lambda x: x["ticker"])).alias("universe_id"), F.posexplode(F.transform("list", lambda x: x["ticker"])).alias("ord", "ticker"))
+    return named
+
+
 def resolve(spark: SparkSession, manifests: DataFrame, tickers: list[str] | None = None, universe_id: str | None = None) -> DataFrame:
     """universe_id, ord, ticker of a run: a given list, under its id or one made from its members; else the named manifest."""
     if tickers:
