@@ -230,7 +230,7 @@ def _merged(spark, sf):
 @query(with_(_MERGED, "d AS (SELECT DISTINCT symbol, source FROM seen)") + "SELECT a.source, a.symbol, coalesce(list(b.source ORDER BY b.source) FILTER (b.source IS NOT NULL), []) AS others FROM d a LEFT JOIN d b ON b.symbol = a.symbol AND b.source <> a.source GROUP BY 1, 2")
 def found_elsewhere(spark, sf):
     """Each source's names with the other sources that have them."""
-    return sets.also_found_by(sets.by_priority(*_merged(spark, sf)))
+    return sets.found_elsewhere(sets.by_priority(*_merged(spark, sf)))
 
 
 _REGISTRY = "reg AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{c.name}', {list(c.requires)!r}, {list(c.columns)!r})" for i, c in enumerate(screen.CRITERIA.values())) + ") AS v(i, criterion, requires, columns))"
@@ -244,6 +244,21 @@ def required_evidence(spark, sf):
     return screen.evidence_of(sel)
 
 
+_BOUNDS = "reg AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{c.name}', {sorted(c.requires)!r}, {float(c.low)}, {float(c.high)})" for i, c in enumerate(screen.CRITERIA.values())) + ") AS v(i, criterion, requires, low, high))"
+
+
+@query(with_(_BOUNDS, f"s AS (SELECT p_partkey AS strategy, CASE WHEN p_partkey % 17 = 0 THEN 'min_luck' ELSE criterion END AS criterion, requires, low, high, CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE p_size * 3.0 - 20 END AS threshold, p_partkey % 3 AS have FROM part LEFT JOIN reg ON i = p_partkey % {len(screen.CRITERIA)})",
+ "f AS (SELECT strategy, criterion, CASE WHEN criterion = 'min_luck' THEN 'unknown criterion min_luck' WHEN threshold IS NULL OR threshold NOT BETWEEN low AND high THEN 'threshold out of bounds' WHEN len(list_filter(requires, lambda x: NOT list_contains(CASE have WHEN 0 THEN ['fundamentals'] WHEN 1 THEN ['fundamentals', 'prices', 'dividends', 'band'] ELSE [] END, x))) > 0 THEN 'needs ' || array_to_string(list_filter(requires, lambda x: NOT list_contains(CASE have WHEN 0 THEN ['fundamentals'] WHEN 1 THEN ['fundamentals', 'prices', 'dividends', 'band'] ELSE [] END, x)), ', ') END AS fault FROM s)") + "SELECT strategy, criterion, fault FROM f WHERE fault IS NOT NULL")
+def selection_faults(spark, sf):
+    """What is wrong with the criteria that strategies select: one criterion for each part, with thresholds and evidence of all kinds."""
+    k = F.col("p_partkey")
+    names = spark.createDataFrame(list(enumerate(screen.CRITERIA)), "i int, name string")
+    p = table(spark, sf, "part").withColumn("i", (k % len(screen.CRITERIA)).cast("int")).join(F.broadcast(names), "i")
+    sel = p.select(k.alias("strategy"), F.when(k % 17 == 0, "min_luck").otherwise(F.col("name")).alias("criterion"), F.when(k % 11 != 0, F.col("p_size") * 3.0 - 20).alias("threshold"))
+    have = p.select(k.alias("strategy"), F.explode(F.when(k % 3 == 0, F.array(F.lit("fundamentals"))).when(k % 3 == 1, F.array(*map(F.lit, ("fundamentals", "prices", "dividends", "band")))).otherwise(F.array().cast("array<string>"))).alias("evidence"))
+    return screen.selection_faults(sel, have)
+
+
 _REQUESTS = """q AS (SELECT o_custkey AS request, o_orderkey AS ord, CASE WHEN o_orderkey % 17 = 0 THEN ' a/b.py' WHEN o_orderkey % 19 = 0 THEN '-x' WHEN o_orderkey % 23 = 0 THEN ' ' ELSE 'T' || o_orderkey % 40 || CASE WHEN o_orderkey % 3 = 0 THEN '.' ELSE '' END END AS token FROM orders)"""
 
 

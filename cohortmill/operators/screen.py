@@ -153,6 +153,22 @@ def required_evidence(selections: list[tuple[str, float]]) -> set[str]:
     return {e for name, _ in selections for e in CRITERIA[name].requires}
 
 
+def selection_faults(selections: DataFrame, available: DataFrame) -> DataFrame:
+    """selections: (strategy, criterion, threshold); available: (strategy, evidence), the kinds of evidence that a strategy's provider has. strategy, criterion, fault: an unknown criterion, a threshold
+    out of its bounds or null, or the evidence that is not there, in order; sound ones have no row."""
+    rows = [(c.name, list(c.requires), float(c.low), float(c.high)) for c in CRITERIA.values()]
+    registry = F.broadcast(selections.sparkSession.createDataFrame(rows, "criterion string, requires array<string>, low double, high double"))  # the registry's few criteria
+    have = available.groupBy("strategy").agg(F.collect_set("evidence").alias("have"))  # a few kinds
+    j = selections.join(registry, "criterion", "left").join(have, "strategy", "left")
+    gone = F.array_sort(F.array_except("requires", F.coalesce("have", F.array().cast("array<string>"))))
+    fault = (
+        F.when(F.col("requires").isNull(), F.concat(F.lit("unknown criterion "), F.coalesce("criterion", F.lit("null"))))
+        .when(~F.coalesce(F.col("threshold").between(F.col("low"), F.col("high")), F.lit(False)), "threshold out of bounds")
+        .when(F.size(gone) > 0, F.concat(F.lit("needs "), F.array_join(gone, ", ")))
+    )
+    return j.select("strategy", "criterion", fault.alias("fault")).where("fault is not null")
+
+
 def evidence_of(selections: DataFrame) -> DataFrame:
     """(strategy, criterion) -> strategy, evidence, fields: what the criteria of each strategy need, in order. An unknown criterion needs nothing."""
     registry = selections.sparkSession.createDataFrame([(c.name, list(c.requires), list(c.columns)) for c in CRITERIA.values()], "criterion string, requires array<string>, columns array<string>")

@@ -68,7 +68,7 @@ def by_priority(rows: DataFrame, sources: DataFrame, today) -> DataFrame:
     return a.select("symbol", "x.source", "x.added", "x.note", F.transform("by", lambda b: b["source"]).alias("found_by"))
 
 
-def also_found_by(merged: DataFrame) -> DataFrame:
+def found_elsewhere(merged: DataFrame) -> DataFrame:
     """Rows of ``by_priority`` -> source, symbol, others: each source's names, with the other sources that found them too."""
     e = merged.select("symbol", F.explode("found_by").alias("source"), "found_by")
     return e.select("source", "symbol", F.array_sort(F.array_except("found_by", F.array("source"))).alias("others"))

@@ -137,7 +137,7 @@ def test_sources_by_priority(spark):
     rows = spark.createDataFrame([("scan", "A", D("2026-01-01"), "s"), ("ft", "A", D("2026-01-20"), "f"), ("ft", "A", D("2026-01-18"), "g"), ("ft", "B", D("2026-01-01"), "old"), ("scan", "B", None, "n"), ("holdings", "C", None, "h"), ("ft", "C", None, "u"), ("news", "D", None, "?")], "source string, symbol string, added date, note string")
     m = sets.by_priority(rows, src, F.lit("2026-01-21").cast("date"))
     assert {r.symbol: (r.source, r.note, r.found_by) for r in m.collect()} == {"A": ("ft", "g", ["ft", "scan"]), "B": ("scan", "n", ["scan"]), "C": ("holdings", "h", ["holdings", "ft"])}
-    assert {(r.source, r.symbol): r.others for r in sets.also_found_by(m).collect()}["ft", "C"] == ["holdings"]
+    assert {(r.source, r.symbol): r.others for r in sets.found_elsewhere(m).collect()}["ft", "C"] == ["holdings"]
 
 
 # State of a feed --------------------------------------------------------------------------------
