@@ -48,7 +48,7 @@ AWAY_NAMES = re.compile(
 # The same within an article, where a name must be a whole class or id; its own headings, notes and figures are content.
 AWAY_INSIDE = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo banner cookie cookies consent gdpr notice notices notification popup modal newsletter subscribe signup sidebar side-bar menu navbar navigation nav breadcrumb breadcrumbs comment comments comment-list commentlist respond replies disqus share sharing social related recommended widget".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[/a-zA-Z][^<>]*\Z|[^<]+|<", re.DOTALL)
+_NAME, _SPECIAL = re.compile(r"</?([a-zA-Z][^\s/>]*)"), re.compile("[>\"']")
 # One attribute after the other, so that names within values or within longer names do not count.
 _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _MARKS = frozenset(("class", "id", "role", "hidden", "itemprop"))
@@ -73,92 +73,171 @@ def host(url):
     return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
 
 
+class Ends:
+    """Where the tags of a page end. Each stretch of it is looked at once, whatever quotes are left open: what follows a closed quote is remembered."""
+
+    def __init__(self, page: str):
+        self.page, self.after, self.gap, self.last = page, {}, (0, -1), page.rfind(">")
+
+    def special(self, at: int) -> int:
+        """The next of > " ' from ``at`` on, or -1."""
+        low, high = self.gap
+        if not low <= at <= high:
+            m = _SPECIAL.search(self.page, at)
+            high = m.start() if m else len(self.page)
+            self.gap = (at, high)
+        return high if high < len(self.page) else -1
+
+    def of(self, at: int) -> int:
+        """The first > from ``at`` on that stands outside quotes; where there is none, the first one at all; -1 without any."""
+        way, end, p = [], -1, at
+        while True:
+            if p in self.after:
+                end = self.after[p]
+                break
+            way.append(p)
+            i = self.special(p)
+            if i < 0 or self.page[i] == ">":
+                end = i
+                break
+            close = self.page.find(self.page[i], i + 1)
+            if close < 0:
+                break
+            p = close + 1
+        for x in way:
+            self.after[x] = end
+        return end if end >= 0 else self.page.find(">", at)
+
+
 def events(page: str) -> Iterator[tuple]:
-    """('open', name, attributes) | ('close', name, '') | ('text', text, '') of a page, in order."""
-    at, n = 0, len(page)
+    """('open', name, attributes) | ('close', name, '') | ('text', text, '') of a page, in order, in linear time. A tag whose quotes do not close ends at the next >; without one, < is text, but for
+    an unfinished tag at the end of the page."""
+    at, n, ends, last_open = 0, len(page), Ends(page), page.rfind("<")
     while at < n:
-        m = _TOKEN.match(page, at)
-        at = m.end()
-        name = m[2] or m[5]
-        if name:
-            name = name.lower()
-            if m[1] or m[4]:
-                yield "close", name, ""
-                continue
-            yield "open", name, m[3] if m[2] else m[6]
-            if name in RAW:
-                end = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.IGNORECASE).search(page, at)
-                at = end.end() if end else n
-                yield "close", name, ""
-        elif page[m.start()] != "<" or m.end() == m.start() + 1:
-            yield "text", m[0], ""
+        if page[at] != "<":
+            end = page.find("<", at)
+            end = n if end < 0 else end
+            yield "text", page[at:end], ""
+            at = end
+            continue
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            at = n if end < 0 else end + 3
+            continue
+        if page.startswith(("<!", "<?"), at):
+            end = page.find(">", at + 2)
+            at = n if end < 0 else end + 1
+            continue
+        tag = _NAME.match(page, at) if at < ends.last else None
+        if not tag:
+            if at == last_open and at > ends.last and page[at + 1 : at + 2].isascii() and (page[at + 1 : at + 2].isalpha() or page[at + 1 : at + 2] == "/"):
+                return
+            yield "text", "<", ""
+            at += 1
+            continue
+        end, name = ends.of(tag.end()), tag[1].lower()
+        more, at = page[tag.end() : end], end + 1
+        if page[tag.start() + 1] == "/":
+            yield "close", name, ""
+            continue
+        yield "open", name, more
+        if name in RAW:
+            m = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.IGNORECASE).search(page, at)
+            at = m.end() if m else n
+            yield "close", name, ""
 
 
 class Walk:
-    """Events of one page with the path to each: for text, (path, away, inside an article, block number)."""
+    """The elements and texts of one page, in order; each names the element around it by its number, so that depth costs nothing."""
 
     def __init__(self, page: str):
-        self.opened: list[tuple[int, str, bool, bool, int]] = []  # role, name, away, opens an article, role above: each element met
-        self.texts: list[tuple[int, str, bool, bool, tuple[int, ...]]] = []  # block, text, away, in an article, roles above
-        stack: list[tuple[str, int, bool, bool]] = []
-        roles: tuple[int, ...] = ()
+        self.opened: list[tuple[int, str, bool, bool, int]] = []  # role, name, away, opens an article, element around: each element met
+        self.texts: list[tuple[int, str, bool, bool, int]] = []  # block, text, away, in an article, element around (-1: none)
+        stack: list[tuple[str, int, bool, bool]] = []  # name, element, away, in an article
+        held: dict[str, int] = {}  # how many elements of a name are open
         block = 0
+
+        def pop() -> str:
+            name = stack.pop()[0]
+            held[name] -= 1
+            return name
+
         for kind, name, more in events(page):
+            _, around, away, article = stack[-1] if stack else ("", -1, False, False)
             if kind == "text":
-                away, article = (stack[-1][2], stack[-1][3]) if stack else (False, False)
-                self.texts.append((block, name, away, article, roles))
+                self.texts.append((block, name, away, article, around))
             elif kind == "open":
                 if name in BLOCK or name in RAW:
                     block += 1
-                    if any(s[0] == "p" for s in stack[-6:]) and name in BLOCK:
-                        while stack and stack.pop()[0] != "p":
+                    if name in BLOCK and any(s[0] == "p" for s in stack[-6:]):
+                        while stack and pop() != "p":
                             pass
-                    if name in ("article", "main") and stack and stack[-1][2] and not any(s[3] for s in stack):
+                    if name in ("article", "main") and stack and stack[-1][2] and not stack[-1][3]:
                         while stack and stack[-1][2]:  # an unclosed menu or the like ends where the article begins
-                            stack.pop()
+                            pop()
                     elif name in ("li", "dd", "dt", "td", "th", "tr", "option") and stack and stack[-1][0] == name:
-                        stack.pop()
+                        pop()
                 elif name == "br":
-                    self.texts.append((block, " ", stack[-1][2] if stack else False, stack[-1][3] if stack else False, tuple(s[1] for s in stack)))
-                away, article, above = (stack[-1][2], stack[-1][3], stack[-1][1]) if stack else (False, False, 0)
+                    self.texts.append((block, " ", away, article, around))
+                _, around, away, article = stack[-1] if stack else ("", -1, False, False)
                 marks = marks_of(more) if more else {}
                 named = f"{marks.get('class', '')} {marks.get('id', '')}"
-                role = zlib.crc32(f"{name}|{named}".encode(), above)
+                role = zlib.crc32(f"{name}|{named}".encode(), self.opened[around][0] if around >= 0 else 0)
                 is_main = name in ("article", "main") or marks.get("role") == "main" or marks.get("itemprop") == "articleBody"
                 if not is_main and not away:
                     away = name in AWAY or (name == "header" and not article) or marks.get("role") in AWAY_ROLES or "hidden" in marks or (named != " " and name not in ("html", "body") and away_by_name(named, article))
                 article = article or (is_main and not away)
-                self.opened.append((role, name, away, is_main and not away, above))
+                self.opened.append((role, name, away, is_main and not away, around))
                 if name not in VOID and not more.endswith("/"):
-                    stack.append((name, role, away, article))
-                roles = tuple(s[1] for s in stack)
+                    stack.append((name, len(self.opened) - 1, away, article))
+                    held[name] = held.get(name, 0) + 1
             else:
                 if name in BLOCK or name in RAW:
                     block += 1
-                if any(s[0] == name for s in stack):
-                    while stack.pop()[0] != name:
+                if held.get(name):
+                    while pop() != name:
                         pass
-                    roles = tuple(s[1] for s in stack)
 
-    def text_role(self, text: str, roles: tuple[int, ...]) -> int:
-        return zlib.crc32(text.encode("utf-8", "surrogatepass"), roles[-1] if roles else 0) | 1 << 32
+    def role(self, element: int) -> int:
+        return self.opened[element][0] if element >= 0 else 0
+
+    def text_role(self, text: str, around: int) -> int:
+        return zlib.crc32(text.encode("utf-8", "surrogatepass"), self.role(around)) | 1 << 32
+
+    def within(self, slot: int) -> list[bool]:
+        """For each element, whether it is of the role ``slot`` or lies in one that is."""
+        out: list[bool] = []
+        for role, _, _, _, around in self.opened:
+            out.append(role == slot or (around >= 0 and out[around]))
+        return out
 
 
 def occurrences(page: str) -> dict[int, list]:
     """token -> [times, kind, depth, characters of free text below, token of the element above]; kind 0: text, 1: element, 2: element that holds an article, 3: element away."""
     walk, out = Walk(page), {}
-    for role, _, away, main, above in walk.opened:
-        t = out.setdefault(role, [0, 3 if away else 2 if main else 1, 0, 0, above])
-        t[0] += 1
-    for _, text, away, _, roles in walk.texts:
-        if text.isspace():
-            continue
-        for i, r in enumerate(roles):
-            t = out[r]
-            t[2] = i
-            t[3] += 0 if away else len(text)
-        t = out.setdefault(walk.text_role(text.strip(), roles), [0, 0, len(roles), 0, roles[-1] if roles else 0])
+    depth: list[int] = []
+    for _, _, _, _, around in walk.opened:
+        depth.append(depth[around] + 1 if around >= 0 else 0)
+    # What texts weigh is handed up from each element to the one around it, which was opened before it.
+    mass, some = [0] * len(depth), [False] * len(depth)
+    for _, text, away, _, around in walk.texts:
+        if around >= 0 and not text.isspace():
+            some[around] = True
+            mass[around] += 0 if away else len(text)
+    for e in range(len(depth) - 1, -1, -1):
+        if (up := walk.opened[e][4]) >= 0:
+            mass[up] += mass[e]
+            some[up] = some[up] or some[e]
+    for e, (role, _, away, main, around) in enumerate(walk.opened):
+        t = out.setdefault(role, [0, 3 if away else 2 if main else 1, 0, 0, walk.role(around)])
         t[0] += 1
+        t[3] += mass[e]
+        if some[e]:
+            t[2] = depth[e]
+    for _, text, _, _, around in walk.texts:
+        if not text.isspace():
+            t = out.setdefault(walk.text_role(text.strip(), around), [0, 0, depth[around] + 1 if around >= 0 else 0, 0, walk.role(around)])
+            t[0] += 1
     return out
 
 
@@ -211,14 +290,15 @@ def main_text(page: str, slot: int | None = None, fixed: frozenset[int] = frozen
     """The main text of a page: what the slot holds, or what the page's own elements show as content."""
     walk = Walk(page)
     kept = [t for t in walk.texts if not t[2]]
-    chosen = [t for t in kept if slot in t[4]] if slot is not None else []
+    inside = walk.within(slot) if slot is not None else []
+    chosen = [t for t in kept if t[4] >= 0 and inside[t[4]]] if slot is not None else []
     if not any(t[1].strip() for t in chosen):
         chosen = [t for t in kept if t[3]]
     if not any(t[1].strip() for t in chosen) and not any(o[3] for o in walk.opened):
         chosen = kept
     blocks: dict[int, list[str]] = {}
-    for block, text, _, article, roles in chosen:
-        if article or not fixed or walk.text_role(text.strip(), roles) not in fixed:
+    for block, text, _, article, around in chosen:
+        if article or not fixed or walk.text_role(text.strip(), around) not in fixed:
             blocks.setdefault(block, []).append(text)
     done = (" ".join(html.unescape("".join(b)).split()) for b in blocks.values())
     return " ".join(b for b in done if b)

@@ -676,3 +676,32 @@ def test_schema_of_queries_is_the_contract(spark):
     from cohortmill.llm.queries import QUERIES
 
     assert [n.split("_")[0] for n in QUERIES] and {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14))
+
+
+def test_html_template_alone_decides_without_article_or_names(spark):
+    """Ten hosts whose class names mean nothing and whose pages have no article: with the template, what stands on all pages goes, menus, adverts in the text and notices; without it, it stays."""
+    r, rows, want = random.Random(12), [], {}
+    for h in range(10):
+        menu, advert, notice = (f"{w} " + text(9, 100 * h + i) for i, w in enumerate(("Menu", "Advert", "Notice")))
+        for p in range(12):
+            title, body = text(4, 7000 + 20 * h + p), [text(r.randint(20, 40), 90000 + 1000 * h + 20 * p + j) for j in range(3)]
+            page = f'<html><body><div class="x1"><div class="q{h}">{menu}</div><div class="z9"><h1>{title}</h1><p>{body[0]}</p><div class="m4">{advert}</div><p>{body[1]}</p><p>{body[2]}</p></div><div class="u2">{notice}</div></div></body></html>'
+            rows.append((100 * h + p, f"https://host{h}.example/{p}", page))
+            want[100 * h + p] = " ".join([title, *body])
+    got = {x.page_id: x.text for x in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got == want
+    assert sum(html.main_text(p) != want[i] for i, _, p in rows) == len(rows)
+
+
+def test_html_long_and_broken_pages_cost_linear_time():
+    """Deep nesting, quotes that never close and tags that never end: ten times the page takes some ten times as long, and never minutes."""
+    import time
+
+    for make in (lambda n: "<div>a" * n, lambda n: '<a "' * n, lambda n: '<a ">" ' * n, lambda n: "<a" * n, lambda n: "</x>" * n + "<i>" * n + "</q>" * n, lambda n: "<div>" * n + "text" + "</div>" * n):
+        began = time.time()
+        page = make(50_000)
+        html.main_text(page)
+        html.occurrences(page)
+        assert time.time() - began < 20
+    assert html.main_text("<div>a" * 50_000) == " ".join(["a"] * 50_000)
+    assert html.main_text("x<b>y" + '<a "') == "xy"
