@@ -11,7 +11,7 @@ from .plans.strategy import RANKS
 from .queries import BARS, INSTRUMENTS, TECH, query, r, with_
 from .sources import catalog, commits, feeds, market, outputs, reports, universes
 from .sources.market import table
-from .streaming import state
+from .streaming import state, windows
 
 # Feeds: each kind of event is a source; one of them has lines cut short, one has only blank lines, one has no key, and one is never sent.
 FEED = "event_id long, value double"
@@ -94,7 +94,7 @@ def scout_outputs(spark, sf):
 def _documents(spark, sf) -> DataFrame:
     e = table(spark, sf, "events")
     body = F.concat(F.lit('{"run": {"k": '), F.get_json_object("props", "$.k"), F.when(F.col("event_type") == "error", F.lit("}}")).otherwise(F.concat(F.lit(', "kind": "'), "event_type", F.lit('"}, "values": ['), F.round("value", 2).cast("string"), F.lit(", 1]}"))))
-    return e.select(F.concat(F.lit("u"), (F.col("user_id") % 20).cast("string")).alias("ticker"), F.col("ts").cast("timestamp").alias("run_at"), body.alias("body"))
+    return e.select(F.concat(F.lit("u"), (F.col("user_id") % 20).cast("string")).alias("ticker"), F.from_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone()).alias("run_at"), body.alias("body"))
 
 
 @query("""SELECT 'U' || user_id % 20 AS ticker, strftime(ts, '%Y-%m-%dT%H-%M-%SZ') AS run, CAST(json_extract(props, '$.k') AS INT) AS k, CASE WHEN event_type <> 'error' THEN event_type END AS kind, CASE WHEN event_type <> 'error' THEN round(value, 6) END AS value FROM events""")
@@ -302,4 +302,25 @@ def feed_state(spark, sf):
     stream = spark.readStream.schema(schema).parquet(files).select(F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("key"), F.col("ts").cast("timestamp").alias("ts"))
     out = catalog.scratch(spark)
     state.run(spark, stream, f"{out}/rows", f"{out}/checkpoint", 12 * 3600, "10 minutes")
-    return state.current(spark, f"{out}/rows")
+    return state.current(spark, f"{out}/rows").withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first", "last")})
+
+def _streamed(spark, sf, build) -> DataFrame:
+    """What a stream over the events appends: windows that the watermark has closed."""
+    schema, out = spark.read.parquet(f"{sf}/events.parquet").schema, catalog.scratch(spark)
+    stream = spark.readStream.schema(schema).parquet(f"{sf}/events*").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")  # the table may be a file or a folder
+    windows.append_available(build(stream), f"{out}/rows", f"{out}/checkpoint")
+    return spark.read.parquet(f"{out}/rows")
+
+
+_CLOSED = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
+
+
+@query(f"SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2 HAVING time_bucket(INTERVAL 1 HOUR, any_value(ts)) + INTERVAL 1 HOUR <= {_CLOSED}")
+def stream_tumbling(spark, sf):
+    return _streamed(spark, sf, lambda e: windows.tumbling(e, "1 hour")).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", r("total").alias("total"))
+
+
+@query(f"""WITH g AS (SELECT user_id, ts, sum(CASE WHEN gap THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM (SELECT user_id, ts, coalesce(ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE, false) AS gap FROM events)),
+ w AS (SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM g GROUP BY user_id, s) SELECT user_id, start, "end", n FROM w WHERE "end" <= {_CLOSED}""")
+def stream_sessions(spark, sf):
+    return _streamed(spark, sf, lambda e: windows.sessions(e, "30 minutes")).select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")

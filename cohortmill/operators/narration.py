@@ -70,6 +70,7 @@ def joined(phrase: str) -> str:
     return rf"\b{phrase[1:]}\b" if phrase[0] == "=" else phrase.replace(" ", r"[-\s_]?")
 
 
+# The forms of claims, marks and names, over the words above.
 ANY = "(?i)"
 EMPHASIS = "[*`]+"
 POLARITY = ANY + r"\(\s*(?:low|high|lower|higher)\s*(?:=|is)?\s*(?:best|better|worst)\s*\)"

@@ -1,4 +1,4 @@
-"""Streaming forms: windowed counts of events, sessions, snapshot appends and differences, running per-key state."""
+"""Streaming forms: windowed counts of events, sessions, snapshot appends and differences. ``state`` keeps state for each key."""
 
 from __future__ import annotations
 
@@ -27,8 +27,12 @@ def _keyed(events: DataFrame, late: str) -> DataFrame:
 
 def run_available(spark: SparkSession, source: str, schema, build, out: str, checkpoint: str, mode: str = "append") -> None:
     """Reads what a folder holds, applies ``build`` and appends to a table; a rerun takes up only what is new."""
-    stream = spark.readStream.schema(schema).parquet(source)
-    build(stream).writeStream.outputMode(mode).format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    append_available(build(spark.readStream.schema(schema).parquet(source)), out, checkpoint, mode)
+
+
+def append_available(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> None:
+    """Appends what a stream makes of all that is there now."""
+    stream.writeStream.outputMode(mode).format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def diff_feed(stream: DataFrame, state_path: str, out_path: str, checkpoint: str, key: str, value: str) -> None:
