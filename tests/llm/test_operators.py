@@ -287,7 +287,7 @@ def test_lm_spelling_adds_up():
 def test_lm_mixer_learns_from_all_blocks(spark, monkeypatch):
     """Weights do not depend on how documents lie in blocks, and neither a long nor a held-out start leaves them untrained."""
     monkeypatch.setattr(lm_score, "STEP_TOKENS", 1000)
-    monkeypatch.setattr(lm_score, "ONE_IN", 1)
+    monkeypatch.setattr(lm_score, "START", 1)
     seen = []
     learn = lm_score.learn_mixer
     monkeypatch.setattr(lm_score, "learn_mixer", lambda m, g, n: (learn(m, g, n), seen.append((m.w.copy(), m.hits.copy()))))
