@@ -6,7 +6,7 @@ weights alone. In it, half block j of a source with q of the period's P slots is
 slot floor((j - 1) P / q) and due by slot ceil(j P / q); the earliest deadline goes first, ties by the later
 release, then by name. On one processor no deadline is missed: a source is within one half block of a straight line from where it stands at
 one end of the period to where it stands at the other, and that line within another of its exact share. So each source keeps within less than
-one block of its target at any slot, however many there are. A period has two slots at least for the smallest weight, so none is lost.
+one block of its target at any slot, however many there are. A period has two slots for the smallest weight, but no more than a task can hold.
 The weights are exact fractions (to 2^-100, where their common denominator is longer). Tasks schedule the periods; the rows of
 (source, half block, slot) are joined with the documents, and no source is gathered: a document's place within its
 source comes from counts of hash buckets and its place in its own bucket. The driver holds one small row for each source.
@@ -34,6 +34,8 @@ from .common import table
 
 #: Documents in a block, two slots; slots of a period, at least; documents for each hash bucket of a source; sources whose rows are broadcast, at most.
 BLOCK_DOCS, PERIOD, BUCKET_DOCS, BROADCAST_SOURCES = 32, 4096, 20_000, 100_000
+#: Slots of a period, at most: what a task schedules at a time.
+LONGEST = 1 << 20
 
 
 def ranked(sources) -> list:
@@ -74,8 +76,9 @@ def slots_of(shares: list[int], blocks: list[int]) -> list[np.ndarray]:
 
 
 def period(weights: list[int]) -> int:
-    """Slots of a period: PERIOD, or as many as give the smallest weight two."""
-    return max(PERIOD, -(-2 * sum(weights) // min(weights)))
+    """Slots of a period: PERIOD, or as many as give the smallest weight two, LONGEST at most. Beyond, a smaller weight has a slot in some periods and none in others; where it stands
+    when a period ends is within one half block of its share all the same."""
+    return min(LONGEST, max(PERIOD, -(-2 * sum(weights) // min(weights))))
 
 
 def stands(weights: list[int], slots: int) -> list[int]:

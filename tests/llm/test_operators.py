@@ -347,6 +347,23 @@ def test_positions_hold_every_document(spark, docs):
     assert mixing.positions(empty(spark)).count() == 0
 
 
+def test_pfair_with_weights_too_small_for_a_period(spark, monkeypatch):
+    """Where a period is bounded, a source of a tiny weight has no slot in most periods, and still keeps within less than a block of its share."""
+    monkeypatch.setattr(mixing, "PERIOD", 16)
+    monkeypatch.setattr(mixing, "LONGEST", 64)
+    weights, halves = [1000, 300, 1], [5000, 1500, 5]
+    assert mixing.period(weights) == 64
+    rows = mixing.schedule(spark, weights, halves).collect()
+    assert sorted((r.of, r.half) for r in rows) == [(i, j) for i, n in enumerate(halves) for j in range(1, n + 1)]
+    at = {r.slot: r.of for r in rows}
+    assert len(at) == len(rows)
+    done, total = [0, 0, 0], sum(weights)
+    for t in range(6000):
+        done[at[t]] += 1
+        assert all(abs(d - (t + 1) * w / total) < 2 for d, w in zip(done, weights, strict=True))
+    assert mixing.period([10**9, 1]) == 64
+
+
 def test_mixing_with_clashing_columns_and_repeats(spark):
     rows = [(i % 70, f"t{i}", f"s{i % 3}", "x", i, i) for i in range(100)] + [(None, None, None, "y", 1, 2)]
     d = spark.createDataFrame(rows, "doc_id long, text string, source string, slot string, place long, nr int")
