@@ -82,6 +82,17 @@ def test_divergence(spark):
     assert r[-1].ticker == "NONE"
     x = {y.ticker: (y.disagree, y.sticky) for y in r}
     assert x == {"LOVE": (True, True), "MID": (False, False), "HATE": (True, False), "NONE": (False, False)}
+    # HOLD on a loved name and BUY on a middle one disagree too; a target at the price sticks; verdicts without a place never disagree.
+    df = spark.createDataFrame([("r", "A", 1.1, "HOLD", 100.0, 100.0), ("r", "B", 2.0, "buy", 100.0, 90.0), ("r", "C", 3.0, "SELL", 100.0, 90.0), ("q", "D", 1.0, "EXCLUDED: gate", 1.0, 2.0), ("q", "E", 2.0, "BUY", 1.0, None), ("q", "F", 3.0, "UNRATEABLE", None, 2.0)], "run string, ticker string, mean double, verdict string, price double, target double")
+    x = {y.ticker: (y.disagree, y.sticky) for y in rank.divergence(df).collect()}
+    assert x == {"A": (True, True), "B": (True, False), "C": (False, False), "D": (False, False), "E": (True, False), "F": (False, False)}
+
+
+def test_boundary_ties_of_three_verdicts(spark):
+    """Each name of a score meets the names of the other verdicts that the score stands on."""
+    rows = [("r", t, 5.0, v) for t, v in (("A", "buy"), ("B", "buy"), ("C", "hold"), ("D", "sell"))] + [("r", "E", 6.0, "sell"), ("q", "A", 5.0, "buy")]
+    got = {(x.run, x.ticker): x.partners for x in rank.boundary_ties(spark.createDataFrame(rows, "run string, ticker string, combined double, verdict string")).collect()}
+    assert got == {("r", "A"): ["C", "D"], ("r", "B"): ["C", "D"], ("r", "C"): ["A", "B", "D"], ("r", "D"): ["A", "B", "C"]}
 
 
 def test_growth_and_roic(spark):
@@ -202,6 +213,11 @@ def test_scoreboard_returns(spark):
     b = by(stats, "bucket")
     assert (b["BUY"].n, b["BUY"].mean) == (2, pytest.approx(0.35)) and b["SELL"].mean == pytest.approx(-0.2) and b["BUY"].excess == pytest.approx(0.35 - 0.15)
     assert scoreboard.ordering(stats).first().ordered is True
+    # Excluded names have a bucket of their own, beside the order of the others.
+    assert b["EXCLUDED"].n == 0 and b["EXCLUDED"].mean is None
+    more = scoreboard.bucket_stats(rets.union(spark.createDataFrame([("s", "EXCLUDED", 0.9)], rets.schema)), "own")
+    e = by(more, "bucket")["EXCLUDED"]
+    assert (e.n, e.mean, e.excess) == (1, pytest.approx(0.9), pytest.approx(0.9 - 0.3)) and scoreboard.ordering(more).first().ordered is True
 
 
 def test_prices_abstain(spark):
