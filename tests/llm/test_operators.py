@@ -287,10 +287,9 @@ def test_lm_spelling_adds_up():
 def test_lm_mixer_learns_from_all_blocks(spark, monkeypatch):
     """Weights do not depend on how documents lie in blocks, and neither a long nor a held-out start leaves them untrained."""
     monkeypatch.setattr(lm_score, "STEP_TOKENS", 1000)
-    monkeypatch.setattr(lm_score, "START", 1)
     seen = []
-    learn = lm_score.learn_mixer
-    monkeypatch.setattr(lm_score, "learn_mixer", lambda m, g, n: (learn(m, g, n), seen.append((m.w.copy(), m.hits.copy()))))
+    settle, near = lm_score.settle, np.array(lm_score.NEAR)
+    monkeypatch.setattr(lm_score, "settle", lambda m, s: (settle(m, s), seen.append((m.w.copy(), m.hits.copy()))))
     rows = [(0, " ".join(["x y"] * 160_000), "", "", 0)] + [(i, text(60, i), "", "", 0) for i in range(1, 200)]
     tokens = 320_001 + 199 * 61
     for r in (rows, rows[::-1]):
@@ -298,7 +297,7 @@ def test_lm_mixer_learns_from_all_blocks(spark, monkeypatch):
     lm_score.score(spark.createDataFrame(rows, DOCS).coalesce(1), F.col("doc_id") > 50).count()
     (w, hits), (other, _), (late, late_hits) = seen
     assert hits.sum() == lm_score.LEVELS * tokens and late_hits.sum() == lm_score.LEVELS * 149 * 61
-    assert np.abs(w - other).max() < 1e-2 and np.abs(w - 0.2).max() > 0.05 and np.abs(late - 0.2).max() > 0.05
+    assert np.abs(w - other).max() < 1e-2 and np.abs(w - near).max() > 0.05 and np.abs(late - near).max() > 0.05
 
 
 # 5: mixing ----------------------------------------------------------------------------------------------
