@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import large_currency, ordinal, percent, score_text
+from .text import fixed, large_currency, ordinal, percent, score_text
 
 #: Words that do not name a company.
 FILLER = ("the", "inc", "inc.", "corp", "corp.", "co", "co.", "ltd", "ltd.", "plc", "ag", "sa", "nv", "se", "group", "holding", "holdings", "company", "class", "a", "b")
@@ -32,8 +32,8 @@ def suspect_mapping(shown: Column, company: Column) -> Column:
 def factor_value(name: Column, value: Column, currency: Column) -> Column:
     """A factor's value by the kind of its field."""
     return (
-        F.when(value.isNull(), "n/a").when(name.isin(*PERCENT_FIELDS), percent(value)).when(name == "piotroski_f_score", F.concat(F.format_string("%.0f", value), F.lit("/9")))
-        .when(name.isin("market_cap", "fund_size"), large_currency(value, currency)).when(name == "valuation_band_percentile", F.concat(ordinal(F.rint(value).cast("int")), F.lit(" percentile"))).otherwise(F.format_string("%.2f", value))
+        F.when(value.isNull(), "n/a").when(name.isin(*PERCENT_FIELDS), percent(value)).when(name == "piotroski_f_score", F.concat(fixed(value, 0), F.lit("/9")))
+        .when(name.isin("market_cap", "fund_size"), large_currency(value, currency)).when(name == "valuation_band_percentile", F.concat(ordinal(F.rint(value).cast("int")), F.lit(" percentile"))).otherwise(fixed(value, 2))
     )
 
 
@@ -43,7 +43,7 @@ def signed_percent(value: Column) -> Column:
 
 def fee_gloss(fee: Column) -> Column:
     """What a fee in percent costs a year for each 1000 held."""
-    return F.when(fee.isNotNull(), F.format_string("about %.2f a year per 1,000 held", fee * 10))
+    return F.when(fee.isNotNull(), F.concat(F.lit("about "), fixed(fee * 10, 2), F.lit(" a year per 1,000 held")))
 
 
 def explain(ticker: Column, ranks: Column, combined: Column, seq: Column, n: Column) -> Column:

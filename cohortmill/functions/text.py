@@ -22,8 +22,30 @@ def display_name(ticker: Column, name: Column) -> Column:
     return F.when(F.trim(name) != "", F.concat(name, F.lit(" ("), ticker, F.lit(")"))).otherwise(ticker)
 
 
+def fixed(v: Column, decimals: int) -> Column:
+    """A double to so many decimals, by its exact binary value, halves to even, as printf and Python have it: 14.85, which is a little less, is 14.8. (Spark's own format
+    rounds the shortest decimal that stands for the double, halves up.) Not finite, or from 2^63 on: as Spark formats it."""
+    a, scale = F.abs(v), F.lit(10.0**decimals)
+    whole = F.floor(a)
+    part = a - whole  # exact
+    p = part * scale
+    # What the product lost, exactly: each factor in two halves whose products have no rounding (the scale is short enough for one).
+    high = part * 134217729.0 - (part * 134217729.0 - part)
+    lost = (high * scale - p) + (part - high) * scale
+    down = F.floor(p)
+    over = ((p - down) - 0.5) + lost
+    odd = (down + whole if decimals == 0 else down) % 2 == 1
+    n = down + F.when((over > 0) | ((over == 0) & odd), 1).otherwise(0)
+    carry = F.floor(n / scale)
+    text = (whole + carry).cast("string")
+    if decimals:
+        text = F.concat(text, F.lit("."), F.lpad((n - carry * int(10.0**decimals)).cast("string"), decimals, "0"))
+    signed = F.concat(F.when(v.cast("string").startswith("-"), "-").otherwise(""), text)
+    return F.when(a < 9.2e18, signed).otherwise(F.format_string(f"%.{decimals}f", v.cast("double")))
+
+
 def percent(v: Column, decimals: int = 1) -> Column:
-    return F.when(v.isNotNull(), F.concat(F.format_string(f"%.{decimals}f", v * 100), F.lit("%")))
+    return F.when(v.isNotNull(), F.concat(fixed(v * 100, decimals), F.lit("%")))
 
 
 def price(v: Column, decimals: int = 2) -> Column:
@@ -33,7 +55,7 @@ def price(v: Column, decimals: int = 2) -> Column:
 def large_currency(v: Column, code: Column) -> Column:
     """USD 149.8bn."""
     a = F.abs(v)
-    t = F.when(a >= 1e12, F.format_string("%.1ftn", v / 1e12)).when(a >= 1e9, F.format_string("%.1fbn", v / 1e9)).when(a >= 1e6, F.format_string("%.1fm", v / 1e6)).otherwise(F.format_string("%.0f", v))
+    t = F.when(a >= 1e12, F.concat(fixed(v / 1e12, 1), F.lit("tn"))).when(a >= 1e9, F.concat(fixed(v / 1e9, 1), F.lit("bn"))).when(a >= 1e6, F.concat(fixed(v / 1e6, 1), F.lit("m"))).otherwise(fixed(v, 0))
     return F.when(v.isNotNull(), F.concat_ws(" ", code, t))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import fixed
+
 #: Exchange names and the suffix of their symbols; names of United States venues, which take none; countries and their codes.
 SUFFIXES = {"LSE": "L", "LON": "L", "XETRA": "DE", "ETR": "DE", "FRA": "F", "EPA": "PA", "AMS": "AS", "BIT": "MI", "BME": "MC", "SWX": "SW", "STO": "ST", "CPH": "CO", "HEL": "HE", "OSL": "OL", "TSE": "T", "TYO": "T", "HKG": "HK", "ASX": "AX", "TSX": "TO"}
 US_VENUES = ("NYSE", "NASDAQ", "AMEX", "ARCA", "BATS", "OTC")
@@ -43,7 +45,7 @@ def compact_amount(v: Column) -> Column:
     a = F.abs(v)
     unit = F.when(a >= 1e12, "tn").when(a >= 1e9, "bn").when(a >= 1e6, "m").when(a >= 1e3, "k").otherwise("")
     x = v / F.when(a >= 1e12, 1e12).when(a >= 1e9, 1e9).when(a >= 1e6, 1e6).when(a >= 1e3, 1e3).otherwise(1.0)
-    digits = F.when(F.abs(x) >= 100, F.format_string("%.0f", x)).when(F.abs(x) >= 10, F.format_string("%.1f", x)).otherwise(F.format_string("%.2f", x))
+    digits = F.when(F.abs(x) >= 100, fixed(x, 0)).when(F.abs(x) >= 10, fixed(x, 1)).otherwise(fixed(x, 2))
     plain = F.when(digits.contains("."), F.regexp_replace(digits, r"\.?0+$", "")).otherwise(digits)
     return F.when(v.isNotNull(), F.concat(plain, unit))
 

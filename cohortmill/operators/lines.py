@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clean import implausible_ticker
 from ..functions.display import signed_percent
+from ..functions.text import fixed
 from .sets import integrity
 
 #: Names listed in a line, at most; closes that make a year of history; columns of a snapshot line from before names were kept.
@@ -54,7 +55,7 @@ def contested_label(reasons: Column) -> Column:
 
 def divergence_line(ticker: Column, verdict: Column, mean: Column, bucket: Column, disagree: Column, sticky: Column) -> Column:
     flags = F.array_compact(F.array(F.when(disagree, "DISAGREE"), F.when(sticky, "STICKY")))
-    return F.concat_ws(" | ", ticker, verdict, F.when(mean.isNull(), "—").otherwise(F.format_string("%.2f", mean)), F.coalesce(bucket, F.lit("—")), F.array_join(flags, ", "))
+    return F.concat_ws(" | ", ticker, verdict, F.when(mean.isNull(), "—").otherwise(fixed(mean, 2)), F.coalesce(bucket, F.lit("—")), F.array_join(flags, ", "))
 
 
 def bucket_line(bucket: Column, n: Column, mean: Column, relative: Column) -> Column:
@@ -70,7 +71,7 @@ def rank_sum_cell(rank_sum: Column, n_ranked: Column, lenses: int) -> Column:
 
 def band_cell(percentile: Column, note: Column) -> Column:
     """Where a price stands in its own history, or why that is not known; a dash where it was not looked for."""
-    return F.when(percentile.isNotNull(), F.concat(F.format_string("%.1f", percentile), F.lit(" of its own band"))).when(note.isNotNull(), F.concat(F.lit("not evaluated: "), note)).otherwise("—")
+    return F.when(percentile.isNotNull(), F.concat(fixed(percentile, 1), F.lit(" of its own band"))).when(note.isNotNull(), F.concat(F.lit("not evaluated: "), note)).otherwise("—")
 
 
 def run_id(at: Column, strategy: Column) -> Column:

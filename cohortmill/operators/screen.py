@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clean import asset_kind, currency
 from ..functions.statements import fcf_series, mean_of, peg_with_earnings, through_cycle_roic, trend_growth
+from ..functions.text import fixed
 
 RESULT = "struct<passed:boolean,observed:double,threshold:double,note:string,basis:string>"
 
@@ -192,7 +193,7 @@ def run_screen(inputs: DataFrame, selections: list[tuple[str, float]], key: tupl
 
 def reason_of(name: Column, observed: Column, threshold: Column) -> Column:
     """Text of a confirmed fail."""
-    return F.concat(name, F.lit(": "), F.when(observed.isNull(), "fails").otherwise(F.format_string("%.4f", observed)), F.lit(" against "), F.format_string("%.4f", threshold))
+    return F.concat(name, F.lit(": "), F.when(observed.isNull(), "fails").otherwise(fixed(observed, 4)), F.lit(" against "), fixed(threshold, 4))
 
 
 def reason() -> Column:

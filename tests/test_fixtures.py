@@ -387,3 +387,16 @@ def test_matrix_follows_the_signed_return(spark):
 def test_unknown_tax_is_no_rate(spark):
     d = spark.createDataFrame([(100.0, None, 50.0, 1000.0), (100.0, 25.0, 50.0, 1000.0), (100.0, 25.0, None, 1000.0)], "oi double, tax double, pretax double, capital double")
     assert [r.v for r in d.select(st.nopat_roic(*map(F.col, ("oi", "tax", "pretax", "capital"))).alias("v")).collect()] == [0.1, 0.05, 0.1]
+
+
+def test_numbers_are_cut_by_their_exact_value(spark):
+    import random
+
+    rng = random.Random(5)
+    values = [14.85, 14.95, 278.25, 278.15, 0.5, 1.5, 2.5, 0.05, -0.04, 0.0, 9.95, 9.96, 99.95, 999.95, 0.125, 1e15 + 0.5, 123456789012.25, 1e17, *[rng.randrange(10**7) / 100 for _ in range(400)], *[-rng.randrange(10**6) / 1000 for _ in range(200)], *[rng.random() * 10 ** rng.randrange(12) for _ in range(400)]]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for d in (0, 1, 2, 4):
+        got = df.select("v", text.fixed(F.col("v"), d).alias("t")).collect()
+        assert [r.t for r in got] == [f"{r.v:.{d}f}" for r in got]
+    money = df.where("v = 14.85").select(text.large_currency(F.col("v") * 1e6, F.lit("USD")).alias("t"), text.percent(F.lit(0.00125)).alias("p")).first()
+    assert (money.t, money.p) == ("USD 14.8m", "0.1%")
