@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .asof import backward
 from .prices import month_end_closes
-from .rank import mid_percentile
+from .rank import newest, standing
 
 #: Days from a statement's end until it counts as known; oldest month end that may stand for today.
 LAG_DAYS, STALE_DAYS = 90, 45
@@ -23,13 +23,12 @@ def multiples(bars: DataFrame, statements: DataFrame, shares: DataFrame, years:
 
 
 def band(bars: DataFrame, statements: DataFrame, shares: DataFrame, as_of: Column, years: int = 5, min_years: int = 3) -> DataFrame:
-    """ticker, percentile, current, n_months, covered, note: the first reason to abstain, in order."""
-    m = multiples(bars, statements, shares, years, as_of)
-    a = m.groupBy("ticker").agg(F.count(F.lit(1)).alias("n_months"), F.count("multiple").alias("covered"), F.min(F.when(F.col("multiple").isNotNull(), F.col("day"))).alias("first"), F.max(F.when(F.col("multiple").isNotNull(), F.col("day"))).alias("last"), F.max_by(F.when(F.col("multiple").isNotNull(), F.col("multiple")), F.when(F.col("multiple").isNotNull(), F.col("day"))).alias("current"))
-    p = mid_percentile(m.where("multiple is not null").select("ticker", F.col("multiple").alias("value")), a.where("current is not null").select("ticker", F.col("current").alias("value")))
+    """ticker, percentile, current, n_months, covered, note: the first reason to abstain, in order; standing: the percentile whether or not there is one."""
+    m = newest(multiples(bars, statements, shares, years, as_of), "day", "multiple")
+    a = m.groupBy("ticker").agg(F.count(F.lit(1)).alias("n_months"), F.count("multiple").alias("covered"), F.min(F.when(F.col("multiple").isNotNull(), F.col("day"))).alias("first"), F.max(F.when(F.col("multiple").isNotNull(), F.col("day"))).alias("last"), F.max("current").alias("current"), standing("multiple", F.count("multiple")).alias("standing"))
     note = F.when(F.col("n_months") < 2, "fewer than two months").when(F.col("covered") < 2, "fewer than two covered months").when(F.months_between("last", "first") < 12 * min_years - 1, "span too short").when(F.col("covered") / F.col("n_months") < 0.5, "coverage below half").when(F.date_diff(as_of, "last") > STALE_DAYS, "newest month is stale")
-    j = a.join(p.select("ticker", "percentile"), "ticker", "left").withColumn("note", note)
-    return j.select("ticker", F.when(F.col("note").isNull(), F.col("percentile")).alias("percentile"), F.when(F.col("note").isNull(), F.col("current")).alias("current"), "n_months", "covered", "note")
+    j = a.withColumn("note", note)
+    return j.select("ticker", F.when(F.col("note").isNull(), F.col("standing")).alias("percentile"), F.when(F.col("note").isNull(), F.col("current")).alias("current"), "n_months", "covered", "note", "standing")
 
 
 def choose_basis(ebit: Column, net_income: Column, debt: Column, cash: Column, debt_now: Column, cash_now: Column) -> Column:

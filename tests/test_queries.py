@@ -20,3 +20,14 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_valuation_band_of_sparse_names(spark, tmp_path):
+    """Names that are stale, short, or without any covered month stand where the SQL has them."""
+    import duckdb
+
+    con = duckdb.connect()
+    gone = "l_suppkey % 5 = 0 and l_shipdate > timestamp '2001-04-01' or l_suppkey % 5 = 1 and l_shipdate < timestamp '1999-06-01' or l_suppkey % 5 = 2 and l_shipdate not between timestamp '1996-07-01' and timestamp '1996-08-20'"
+    con.execute(f"copy (select * from '{SF}/lineitem.parquet' where not ({gone})) to '{tmp_path}/lineitem.parquet' (format parquet)")
+    cols, got = rows(QUERIES["valuation_band"](spark, str(tmp_path)))
+    assert got == oracle(str(tmp_path), ORACLE_SQL["valuation_band"], cols)
