@@ -25,13 +25,13 @@ def forward_return(bars: DataFrame, starts: DataFrame, max_stale_days: int = 7)
     s = starts.select("ticker", "start", "want_end").distinct()
     # One window of a name's bars and asked dates: the next bar seen from a start, the last one seen from an end, and the name's last.
     ends = [("start", F.col("start")), ("end", F.col("want_end"))]
-    asked = [s.select("ticker", at.alias("__at"), F.lit(2 * i).alias("__side"), F.struct("start", "want_end", F.lit(kind).alias("kind")).alias("__row")) for i, (kind, at) in enumerate(ends)]
+    asked = s.select("ticker", F.explode(F.array(*[F.struct(at.alias("__at"), F.lit(2 * i).alias("__side"), F.struct("start", "want_end", F.lit(kind).alias("kind")).alias("__row")) for i, (kind, at) in enumerate(ends)])).alias("x")).select("ticker", "x.*")
     own = bars.where("close > 0").select("ticker", F.col("day").alias("__at"), F.lit(1).alias("__side"), bar.alias("bar"))
-    both = asked[0].unionByName(asked[1]).unionByName(own, allowMissingColumns=True)
-    w = W.partitionBy("ticker").orderBy("__at", "__side")
-    seen = both.withColumns(
-        {"after": F.first("bar", ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing)), "before": F.last("bar", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)), "last_day": F.max("bar.day").over(W.partitionBy("ticker"))}
-    ).where("__row is not null")
+    both = asked.unionByName(own, allowMissingColumns=True)
+    # What lies ahead is what came before in the opposite order: a frame that ends behind the last row would be read anew for each row.
+    by, sofar = W.partitionBy("ticker"), (W.unboundedPreceding, 0)
+    ahead, behind = (by.orderBy(F.desc("__at"), F.desc("__side")).rowsBetween(*sofar), by.orderBy("__at", "__side").rowsBetween(*sofar))
+    seen = both.withColumns({"last_day": F.max("bar.day").over(by), "before": F.last("bar", ignorenulls=True).over(behind)}).withColumn("after", F.last("bar", ignorenulls=True).over(ahead)).where("__row is not null")
     of = lambda kind, c: F.max(F.when(F.col("__row.kind") == kind, F.col(c)))
     a = seen.groupBy("ticker", F.col("__row.start").alias("start"), F.col("__row.want_end").alias("want_end")).agg(of("start", "after").alias("first"), of("end", "before").alias("final"), F.max("last_day").alias("last_day"))
     # The last bar up to the end counts only if it is not before the first one.

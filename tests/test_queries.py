@@ -31,3 +31,14 @@ def test_valuation_band_of_sparse_names(spark, tmp_path):
     con.execute(f"copy (select * from '{SF}/lineitem.parquet' where not ({gone})) to '{tmp_path}/lineitem.parquet' (format parquet)")
     cols, got = rows(QUERIES["valuation_band"](spark, str(tmp_path)))
     assert got == oracle(str(tmp_path), ORACLE_SQL["valuation_band"], cols)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_forward_return_reads_no_frame_anew(spark):
+    import re
+
+    plan = _plan(QUERIES["asof_forward_return"](spark, SF))
+    assert not re.search(r"RowFrame, currentrow\$\(\), unboundedfollowing", plan) and plan.count("Relation [") == 2  # the names and their bars
