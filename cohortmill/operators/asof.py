@@ -47,9 +47,17 @@ def up_to(dates: DataFrame, bars: DataFrame) -> DataFrame:
 
 
 def at_dates(dates: DataFrame, bars: DataFrame, value: str) -> DataFrame:
-    """(date) x (ticker, day, value): date, ticker, value of the last bar of each name up to each date. A name without one by then has no row."""
-    asked = bars.select("ticker").distinct().crossJoin(F.broadcast(dates.select("date")))  # a row for each result
-    return backward(asked, bars.select("ticker", "day", value), "ticker", "date", "day", value).where(F.col(value).isNotNull()).select("date", "ticker", value)
+    """(date) x (ticker, day, value): date, ticker, value of the last bar of each name up to each date. A name without one by then has no row. The bars are read once: each name's
+    first one brings the dates, a schedule, into the window of its bars."""
+    sched = dates.agg(F.collect_set("date").alias("__dates"))
+    own = bars.where(F.col(value).isNotNull()).select("ticker", F.col("day").cast("date").alias("__at"), "day", F.col(value).alias("__value"))
+    by = W.partitionBy("ticker")
+    own = own.withColumn("__no", F.row_number().over(by.orderBy("day"))).crossJoin(F.broadcast(sched))
+    bar = F.struct(F.col("__at"), F.lit(0).alias("__side"), F.col("__no"), F.col("__value"))
+    asked = F.transform("__dates", lambda d: F.struct(d.alias("__at"), F.lit(1).alias("__side"), F.lit(0).alias("__no"), F.lit(None).cast(own.schema["__value"].dataType).alias("__value")))
+    both = own.select("ticker", F.explode(F.when(F.col("__no") == 1, F.concat(F.array(bar), asked)).otherwise(F.array(bar))).alias("x")).select("ticker", "x.*")
+    seen = both.withColumn("__value", F.last("__value", ignorenulls=True).over(by.orderBy("__at", "__side", "__no").rowsBetween(W.unboundedPreceding, 0)))
+    return seen.where("__side = 1 and __value is not null").select(F.col("__at").alias("date"), "ticker", F.col("__value").alias(value))
 
 
 def close_on_or_before(dates: DataFrame, bars: DataFrame) -> DataFrame:

@@ -42,3 +42,7 @@ def test_forward_return_reads_no_frame_anew(spark):
 
     plan = _plan(QUERIES["asof_forward_return"](spark, SF))
     assert not re.search(r"RowFrame, currentrow\$\(\), unboundedfollowing", plan) and plan.count("Relation [") == 2  # the names and their bars
+
+
+def test_dates_meet_bars_in_one_reading(spark):
+    assert _plan(QUERIES["range_join_upto"](spark, SF)).count("Relation [") == 1
