@@ -126,7 +126,10 @@ def names_in(text: Column) -> Column:
 
 
 def sentences_of(narratives: DataFrame) -> DataFrame:
-    """(run, ticker, narrative) -> run, ticker, i, sentence, parsed: without emphasis and notes of a factor's direction."""
+    """(run, ticker, narrative) -> run, ticker, i, sentence, parsed: without emphasis and notes of a factor's direction.
+
+    Reading narratives costs far more than their bytes tell, by which tasks are cut; so they are dealt over all the tasks of a shuffle."""
+    narratives = narratives.repartition(int(narratives.sparkSession.conf.get("spark.sql.shuffle.partitions")), "run", "ticker")
     parts = F.filter(F.transform(F.split("narrative", STOPS, -1), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
     s = narratives.select("run", "ticker", F.posexplode(parts).alias("i", "sentence"))
     return s.withColumn("parsed", F.regexp_replace(F.regexp_replace("sentence", EMPHASIS, ""), POLARITY, ""))

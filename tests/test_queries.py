@@ -46,3 +46,10 @@ def test_forward_return_reads_no_frame_anew(spark):
 
 def test_dates_meet_bars_in_one_reading(spark):
     assert _plan(QUERIES["range_join_upto"](spark, SF)).count("Relation [") == 1
+
+
+def test_narratives_are_read_by_all_tasks(spark):
+    from cohortmill.operators import narration
+
+    n = spark.createDataFrame([("r", f"S{i}", "It is well. It is not.") for i in range(50)], "run string, ticker string, narrative string").coalesce(1)
+    assert narration.sentences_of(n).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
