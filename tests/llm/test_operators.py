@@ -239,6 +239,16 @@ def test_lm_counts_and_base(spark, docs):
     assert got == want
 
 
+def test_lm_spelling_learns_from_every_word(spark):
+    words = [f"w{i:05d}".encode() for i in range(7000)]
+    rows = [(i, " ".join(f"w{k:05d}" for k in range(i * 700, i * 700 + 700))) for i in range(10)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("train", F.lit(True))
+    parts = lm_score._summaries(lm_score.count_words(d))
+    model = lm_score.Model(1, 1, [], np.ones(lm_score.KINDS))
+    model.set_spelling(lm_score.spell_counts(words))
+    assert lm_score.spelling_sums(parts, model).hits.sum() == 8 * sum(len(w) + 1 for w in words)
+
+
 def test_lm_scores_are_probabilities(spark):
     """Over all texts of at most two tokens from a small vocabulary the probabilities add up to one at most."""
     r = random.Random(8)
