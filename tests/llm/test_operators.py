@@ -249,6 +249,35 @@ def test_lm_spelling_learns_from_every_word(spark):
     assert lm_score.spelling_sums(parts, model).hits.sum() == 8 * sum(len(w) + 1 for w in words)
 
 
+def test_lm_spelling_meets_each_context_once(monkeypatch):
+    """Sums over the distinct bytes in their contexts are those over all bytes, also if few fit at a time."""
+    words = [f"w{i % 5000:05d}".encode() for i in range(7000)] + [b"a\0b", b"\xc3\xa9"]
+    keys = lm_score.spell_keys(words)
+    model = lm_score.Model(1, 1, [], np.ones(lm_score.KINDS))
+    model.set_spelling(lm_score.spell_counts(words))
+    want = model.spell_gathered([(keys, np.ones(len(keys), np.int64))])
+    met, gather = [], lm_score.Sums.gather
+    monkeypatch.setattr(lm_score.Sums, "gather", lambda self, mixer, x, gate, bit, times=None: (met.append(len(bit)), gather(self, mixer, x, gate, bit, times)))
+    for most in (1 << 20, 50):
+        monkeypatch.setattr(lm_score, "SPELL_GRAMS", most)
+        met.clear()
+        got = model.spell_gathered(lm_score.spell_grams([words[:3000], [], words[3000:]]))
+        assert (got.hits == want.hits).all() and np.allclose(got.slope, want.slope, rtol=1e-3, atol=1e-2) and np.allclose(got.curve, want.curve, rtol=1e-3, atol=1e-2)
+        assert sum(met) < 8 * len(keys) / 2
+        assert (lm_score.spell_counts(words) == lm_score.gram_table([(keys, np.ones(len(keys), np.int64))])).all()
+    assert lm_score.spell_counts(words).sum() == lm_score.ORDERS * len(keys)
+
+
+def test_lm_number_tokens():
+    r = random.Random(3)
+    signs = [*" \t\n\v\f\r", "a", "B", "é", "É", "\u3000", "\0", "\x1c", "\x85", "\xa0", "\ud800", "😀"]
+    texts = [[""], ["", ""], *([["".join(r.choice(signs) for _ in range(r.randint(0, 12))) for _ in range(r.randint(1, 6))] for _ in range(500)])]
+    for some in texts:
+        words, want = lm_score.Numbering(), lm_score.Numbering()
+        got = lm_score.number_tokens(some, words)
+        assert [x.tolist() for x in got] == [[want[w] for w in lm_score.split_tokens(t)] for t in some] and list(words) == list(want)
+
+
 def test_lm_scores_are_probabilities(spark):
     """Over all texts of at most two tokens from a small vocabulary the probabilities add up to one at most."""
     r = random.Random(8)
