@@ -54,11 +54,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def placed(docs: DataFrame) -> DataFrame:
-    """doc_id, text, position: the place in the order of the files that ``docs`` was read from, from 0. A row for each file is summed."""
+    """doc_id, text, position: the place in the order of the files that ``docs`` was read from, from 0. A row for each file is summed
+    and broadcast: the driver lists the files anyway, and texts are not shuffled for their place."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
     files = docs.select(F.col("_metadata.file_path").alias("of")).groupBy("of").count()
     before = F.coalesce(F.sum("count").over(W.orderBy("of").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return d.join(files.select("of", before.alias("before")), F.col("file") == F.col("of")).select("doc_id", "text", (F.col("before") + F.col("row")).alias("position"))
+    return d.join(F.broadcast(files.select("of", before.alias("before"))), F.col("file") == F.col("of")).select("doc_id", "text", (F.col("before") + F.col("row")).alias("position"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

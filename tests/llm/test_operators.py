@@ -694,6 +694,25 @@ def test_pipeline_stages(spark, tmp_path):
     assert out.count() == len({i for i, _, c in brute_components([r for r in rows if r[0] in ids]) if i == c})
 
 
+def test_places_in_the_mixture_shuffle_no_text(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    rows = [(i, f"text {i}" if i % 7 else None, "en", "t", 1) for i in range(200)]
+    d = f"{tmp_path}/documents.parquet"
+    spark.createDataFrame(rows, DOCS).repartition(9).write.parquet(d)
+    docs = spark.read.parquet(d)
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = cp.placed(docs)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "hashpartitioning(file" not in plan
+        want = docs.orderBy("_metadata.file_path", "_metadata.row_index").select("doc_id", "text").collect()
+        assert sorted((r.position, r.doc_id, r.text or "") for r in got.collect()) == [(i, r.doc_id, r.text or "") for i, r in enumerate(want)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
 def test_pipeline_on_empty_tables(spark, tmp_path):
     import corpus_pipeline as cp
 
