@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, pack_columns, table, unpack_columns
+from .common import discard, materialise, pack_columns, slices, table, unpack_columns
 from .components import components
 from .shingles import shingle_set
 from .wordblocks import bucket_count
@@ -76,7 +76,7 @@ def sent(docs: DataFrame, words: int, buckets: int) -> DataFrame:
                         rows[k].append(v)
             return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(rows, _ARROW, strict=True)], schema=_ARROW)
 
-        for batch in batches:
+        for batch in slices(batches):
             for d, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 s = shingle_set(text, words)
                 cls = class_id(s) if len(s) else None
@@ -242,7 +242,7 @@ def packed_texts(docs: DataFrame, of: DataFrame, wanted: DataFrame, words: int)
     """cls, n, parity, packed: a compressed text for each wanted class. of: (cls, doc_id), one document for each class."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows: list[tuple] = []
             for text, want in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 s = shingle_set(text, words)
@@ -272,7 +272,7 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int)
                 held[key] = shingle_set(zstandard.ZstdDecompressor().decompress(data).decode("utf-8", "surrogatepass"), words)
             return held[key]
 
-        for batch in batches:
+        for batch in slices(batches):
             a, b, ta, tb = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("a", "b", "t_a", "t_b"))
             ok = []
             for i, (x, y) in enumerate(zip(a, b, strict=True)):

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, materialise, table
+from .common import fold, materialise, slices, table
 
 #: Labelled rows learned from, and lexicon entries, at most; rows that must hold an entry, at least.
 SAMPLE_ROWS, LEXICON, LEAST_ROWS, LEAST_FAMILIES = 24_000, 20_000, 4, 4
@@ -162,7 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn=None) -> Model | None:
     def count(batches):
         for batch in batches:
             tally: dict[str, list[int]] = {}
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for text, toxic in ((t, x) for b in slices([batch]) for t, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
                 has = features(text)
                 family = 1 << min((zlib.crc32(f.encode()) for f in has if f[0] == "="), default=0) % 63 if toxic > 0 else 0
                 for f in (*has, ""):
@@ -184,7 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn=None) -> Model | None:
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # LEXICON entries at most
 
     def look(batches):
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.record_batch([pa.array([observed(t, shared.value) for t in batch.column(0).to_pylist()], pa.list_(pa.int32())), batch.column(1)], names=["hits", "toxic"])
 
     seen = known.mapInArrow(look, "hits array<int>, toxic int").collect()  # SAMPLE_ROWS rows, about, of small integers
@@ -202,7 +202,7 @@ def scored(docs: DataFrame, model: Model | None, name: str = "toxicity") -> Data
 
     def run(batches):
         m = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             s = [0.0 if m is None else m.score(observed(t or "", m.lexicon)) for t in texts]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64())], names=[*batch.schema.names, name])

@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 from cohortmill.llm import ann, bpe, components, html, licenses, lm_score, mixing, ngram_join, spotsigs, toxicity, warc
-from cohortmill.llm.common import fresh_path, pack_places, pack_words, unpack_places, unpack_words
+from cohortmill.llm.common import CHUNK, TAKE_DOCS, fresh_path, pack_places, pack_words, slices, unpack_places, unpack_words
 from cohortmill.llm.shingles import shingle_set
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -713,6 +713,30 @@ def test_places_in_the_mixture_shuffle_no_text(spark, tmp_path):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
 
 
+def test_places_are_packed_without_large_copies():
+    import tracemalloc
+
+    r = np.random.default_rng(5)
+    v = np.where(r.random(8 * CHUNK + 3) < 0.95, r.integers(0, 192, 8 * CHUNK + 3), r.integers(0, 64 << 16, 8 * CHUNK + 3)).astype(np.uint32)
+    tracemalloc.start()
+    try:
+        packed = pack_places(v)
+        assert tracemalloc.get_traced_memory()[1] < 1.5 * v.nbytes
+    finally:
+        tracemalloc.stop()
+    assert (unpack_places(packed) == v).all() and packed[0] == 1
+
+
+def test_slices_keep_all_rows():
+    import pyarrow as pa
+
+    sizes = [2 * TAKE_DOCS + 5, 0, 1, TAKE_DOCS]
+    batches = [pa.record_batch([pa.array([f"{k} {i}" for i in range(n)], pa.string())], names=["text"]) for k, n in enumerate(sizes)]
+    got = list(slices(batches))
+    assert [b.num_rows for b in got] == [TAKE_DOCS, TAKE_DOCS, 5, 1, TAKE_DOCS]
+    assert [t for b in got for t in b.column(0).to_pylist()] == [f"{k} {i}" for k, n in enumerate(sizes) for i in range(n)]
+
+
 def test_pipeline_on_empty_tables(spark, tmp_path):
     import corpus_pipeline as cp
 
