@@ -323,6 +323,63 @@ def test_lm_spelling_adds_up():
     assert sum(2.0 ** m.spelled(one)) < 1.0 and m.spelled([b"ab"])[0] > m.spelled([b"zq"])[0]
 
 
+def test_lm_history_is_worked_out_once_a_step(monkeypatch):
+    """Coded and gathered bits are those of the definition, token by token; logarithms are taken once a step and node, not once a token and level."""
+    rng, c = np.random.default_rng(7), lm_score
+    sizes = np.array([1, 32, 33, 200, 5, 64, 65, 1, 700])
+    leaf = np.minimum(rng.geometric(0.05, sizes.sum()) - 1, c.LEAVES - 1)
+    m = c.Model(1, 1, [], np.ones(c.KINDS))
+    m.set_contexts(rng.integers(0, 5, (c.LEAVES + c.PAIRS) * c.LEAVES))
+    m.mixer.w += rng.normal(0, 0.1, m.mixer.w.shape).astype(np.float32)
+    m.mixer.bins += rng.normal(0, 0.1, m.mixer.bins.shape).astype(np.float32)
+    one, two = c.contexts(leaf, sizes)
+    starts, want, sums = np.repeat(np.cumsum(sizes) - sizes, sizes), np.zeros(len(leaf)), c.Sums(*m.mixer.w.shape)
+    for i, x in enumerate(leaf.tolist()):
+        before = leaf[starts[i] : i - (i - starts[i]) % c.STEP]
+        for j in range(c.LEVELS):
+            node, bit = x >> (c.LEVELS - j), x >> (c.LEVELS - 1 - j) & 1
+            here = before[before >> (c.LEVELS - j) == node] >> (c.LEVELS - 1 - j) & 1
+            none, after_one, after_two = (t.turn[j][a] for t, a in zip(m.trees, (node, (one[i] << j) + node, (two[i] << j) + node), strict=True))
+            p = 2 * c.squash(float(none))
+            v = np.array([none, after_one, after_two, np.clip(np.log((here.sum() + p) / (len(here) - here.sum() + 2 - p)), -9.21024, 9.21024), 0.3])
+            g = j * 6 + int(c.GATES[min(len(here), 255)])
+            z = float(np.clip(m.mixer.w[g] @ v, -12, 12))
+            place = int(c.place_of(np.array([z]))[0])
+            want[i] += np.log2(c.squash((z + float(m.mixer.bins[g, place])) / 2 * (1 if bit else -1)))
+            sums.slope[g] += v * (bit - c.squash(z))
+            sums.curve[g] += np.outer(v, v) * c.squash(z) * (1 - c.squash(z))
+            sums.hits[g, place, bit] += 1
+    met, log = [], np.log
+    monkeypatch.setattr(np, "log", lambda x, **k: (met.append(np.size(x)), log(x, **k))[1])
+    got, gathered = m.coded(leaf, sizes), m.gathered(leaf, sizes)
+    assert sum(met) <= 2 * (c.LEAVES - 1) * (1 + len(leaf) // c.STEP) < 2 * c.LEVELS * len(leaf)
+    assert np.abs(got - want).max() < 1e-3
+    assert np.allclose(gathered.slope, sums.slope, atol=1e-2) and np.allclose(gathered.curve, sums.curve, rtol=1e-3, atol=1e-2) and (gathered.hits == sums.hits).all()
+
+
+def test_lm_contexts_are_refined_online():
+    rng, sizes = np.random.default_rng(3), np.array([1, 40, 7, 90])
+    low = np.append(-rng.exponential(9, sizes.sum() - 1), -5000.0)  # the last: a long word, spelled
+    d = rng.integers(0, 9, len(low))
+    n = np.minimum(rng.integers(0, 9, len(low)), d)
+    n[-1] = d[-1] = 2
+    odds, starts = rng.normal(0, 2, lm_score.LEVELS + 1), np.repeat(np.cumsum(sizes) - sizes, sizes)
+    high = [np.log2(a / b) if a else -40.0 for a, b in zip(n, np.maximum(d, 1), strict=True)]
+    gain = [float(np.clip(h - x, -8, 8)) if b else 0.0 for h, x, b in zip(high, low, d, strict=True)]
+    want = low.copy()
+    for i in np.flatnonzero(d):
+        z = np.clip(odds[lm_score.confident(d[i])] + lm_score.RATE * sum(gain[max(starts[i], i - lm_score.HISTORY) : i]), -14, 14)
+        on, off = -np.logaddexp(0, -z) / np.log(2), -np.logaddexp(0, z) / np.log(2)
+        want[i] = np.logaddexp2(on + high[i], off + low[i]) if n[i] else off + low[i]
+    assert np.allclose(lm_score.refined(low, n, d, sizes, odds), want)
+
+
+def test_lm_own_counts():
+    doc, index = np.repeat([0, 1], [5, 4]), np.array([3, 1, 3, 2, 0, 3, 3, 1, 0])
+    own, of_context = lm_score.own_counts(index, index // 2, doc)
+    assert own.tolist() == [2, 1, 2, 1, 1, 2, 2, 1, 1] and of_context.tolist() == [3, 2, 3, 3, 2, 2, 2, 2, 2]
+
+
 def test_lm_mixer_learns_from_all_blocks(spark, monkeypatch):
     """Weights do not depend on how documents lie in blocks, and neither a long nor a held-out start leaves them untrained."""
     monkeypatch.setattr(lm_score, "STEP_TOKENS", 1000)
